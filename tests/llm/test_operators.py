@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -448,7 +449,7 @@ def test_words_and_pieces_at_every_white_space():
     odd = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() or unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc")]
     texts = [f"ab,{c}cd {c} {c}{c}e'{c}s ́{c}́x\n{c}" for c in odd]
     tok = library("word_bpe_49k.json")
-    assert [x.tolist() for x in token_store.encode_documents(texts, "word_bpe_49k.json")] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in token_store.encode_documents(pa.array(texts), "word_bpe_49k.json")] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     tok = library("byte_bpe_50k.json")
     assert token_counts.count_tokens(texts, "byte_bpe_50k.json", 1000) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
 

@@ -7,7 +7,7 @@ places that don't overlap are replaced at once.  No rule crosses a document's en
 each rule's expansion length, each document's first symbol and the symbols (16 bits each while the symbols fit), so
 one document is decoded without the others.
 
-The file format is a Parquet table of shards (part, before, doc_ids, grammar) in the shared folder.
+The file format is a Parquet table of shards (part, before, n_tokens, doc_ids, grammar) in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,54 +26,125 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import new_path
-from .token_counts import ODD, load
+from .token_counts import load
 
 MAGIC = b"RPG1"
 END_ID = 1
 SHARD_IDS = 1_000_000
-BINS = 21
+BINS = 18
+#: ASCII punctuation but the apostrophe.
+PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Letters below this are composed as they stand.
+PLAIN_LETTERS = "\u0130"
+_ends: dict[str, np.ndarray] = {}
 
 
-def encode_documents(texts: list[str], name: str, cache_words: int = 400_000) -> list[np.ndarray]:
-    """Ids of each whole text.  The tokenizer drops white space and no token crosses it, so each distinct word is
-    encoded once; words meet the library many at a time, with a special token between them as a mark."""
+def encode_documents(texts: pa.Array, name: str, cache_words: int = 800_000) -> list[np.ndarray]:
+    """Ids of each whole text (null: none), each distinct word being encoded once.
+
+    The tokenizer lower-cases, drops white space and takes nothing across it, so texts are cut at ASCII white space and
+    their words made a dictionary by Arrow; ids are looked up for its entries and gathered by its indices."""
     tok, known = load(name)
     kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
-    width = np.dtype(kind).itemsize
-    marks = {v.content: k for k, v in tok.get_added_tokens_decoder().items() if v.special}
-    mark = min(marks, default=None)
+    marks = [x.content for x in tok.get_added_tokens_decoder().values()]
     if len(known) > cache_words:
         known.clear()
-    cut = [[x] if ODD.search(x) else x.split() for x in texts]
-    new = list({w for words in cut for w in words if w not in known})
-    alone = [w for w in new if mark is None or any(m in w for m in marks)]
-    known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(alone, tok.encode_batch_fast(alone, add_special_tokens=False)))
-    if mark is not None:
-        rest = [w for w in new if w not in known]
-        groups = [rest[i : i + 256] for i in range(0, len(rest), 256)]
-        for i in range(0, len(groups), 64):
-            for words, e in zip(groups[i : i + 64], tok.encode_batch_fast([mark.join(g) for g in groups[i : i + 64]], add_special_tokens=False)):
-                ids = np.array(e.ids, kind)
-                at = np.flatnonzero(ids == marks[mark])
-                raw, ends = ids.tobytes(), [*(at * width).tolist(), len(ids) * width]
-                starts = [0, *((at + 1) * width).tolist()]
-                known.update((w, raw[a:b]) for w, a, b in zip(words, starts, ends))
-    return [np.frombuffer(b"".join(map(known.__getitem__, words)), kind) for words in cut]
+    texts = texts.fill_null("")
+    lower = pc.ascii_lower(texts)
+    for m in marks:  # what only lower case would make a special string stays as it is
+        lower = pc.if_else(pc.match_substring(texts, m, ignore_case=True), texts, lower)
+    lists = pc.ascii_split_whitespace(lower)
+    coded = lists.flatten().dictionary_encode()
+    vocabulary = coded.dictionary.to_pylist()
+    _learn(tok, known, [w for w in vocabulary if w not in known], marks, name, kind)
+    parts = [known[w] for w in vocabulary]
+    flat = np.frombuffer(b"".join(parts), kind)
+    length = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
+    start = np.cumsum(length) - length
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    size = length[index]
+    upto = np.cumsum(size)
+    ids = flat[np.repeat(start[index] - (upto - size), size) + np.arange(int(size.sum()))]
+    cut = np.concatenate(([0], upto))[np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+    return np.split(ids, cut[:-1]) if len(cut) else []
+
+
+def _learn(tok, known: dict[str, bytes], words: list[str], marks: list[str], name: str, kind: type) -> None:
+    """Ids of new words into ``known``.
+
+    A word of letters before other characters is its letters and its rest, unless an apostrophe, with which letters go,
+    is in it; such units are single pre-tokens, which end with a token that ends a word, so many meet the library as
+    one text.  Other words meet it as texts of their own."""
+    later: list[tuple[str, str, str]] = []
+    single: set[str] = set()
+    alone: list[str] = []
+    for w in words:
+        if w.isalpha():
+            core, tail = w, ""
+        else:
+            core = w.rstrip(PUNCTUATION)
+            tail = w[len(core) :]
+        if (core.isalpha() or not core) and (core.isascii() or max(core) < PLAIN_LETTERS) and not (tail and any(m in w for m in marks)):
+            if tail:
+                if core:
+                    later.append((w, core, tail))
+                single.add(tail)
+            if core:
+                single.add(core)
+        else:
+            alone.append(w)
+    known[""] = b""
+    _encode_alone(tok, known, alone, kind)
+    _encode_single(tok, known, [u for u in single if u not in known], name, kind)
+    for w, core, tail in later:
+        known[w] = known[core] + known[tail]
+
+
+def _encode_alone(tok, known: dict[str, bytes], units: list[str], kind: type) -> None:
+    known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(units, tok.encode_batch_fast(units, add_special_tokens=False)))
+
+
+def _ends_word(tok, name: str) -> np.ndarray:
+    """For each id whether its token ends a word."""
+    if name not in _ends:
+        suffix = getattr(tok.model, "end_of_word_suffix", None)
+        _ends[name] = np.array([bool(suffix) and (tok.id_to_token(i) or "").endswith(suffix) for i in range(tok.get_vocab_size())])
+    return _ends[name]
+
+
+def _encode_single(tok, known: dict[str, bytes], units: list[str], name: str, kind: type) -> None:
+    """Ids of units that are one pre-token each, 256 to a text; a text in which not each unit is one goes unit by unit."""
+    ends, width = _ends_word(tok, name), np.dtype(kind).itemsize
+    groups = [units[i : i + 256] for i in range(0, len(units), 256)]
+    for i in range(0, len(groups), 64):
+        for words, e in zip(groups[i : i + 64], tok.encode_batch_fast([" ".join(g) for g in groups[i : i + 64]], add_special_tokens=False)):
+            ids = np.array(e.ids, kind)
+            at = ((np.flatnonzero(ends[ids]) + 1) * width).tolist()
+            if len(at) != len(words) or at[-1] != len(ids) * width:
+                _encode_alone(tok, known, words, kind)
+                continue
+            raw = ids.tobytes()
+            known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *at], at))
 
 
 def repair(seq: np.ndarray, last: np.ndarray, base: int, rounds: int = 6, each: int = 2048, least: int = 24) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(symbols, ends of documents, rules by round) of ids below ``base``; ``last`` marks each document's last id."""
-    seq, last = seq.astype(np.uint32), last.copy()
+    """(symbols, ends of documents, rules by round) of ids below ``base``; ``last`` marks each document's last id.
+
+    Symbols stay below 65,536, so a pair is one 32-bit number; a vocabulary that leaves no room gets no rules."""
     rules: list[np.ndarray] = []
-    top = base
+    if base >= 1 << 16:
+        return seq.astype(np.uint32), last, rules
+    seq, top = seq.astype(np.uint32), base
     for _ in range(rounds):
-        if len(seq) < 2:
+        room = min(each, (1 << 16) - top)
+        if len(seq) < 2 or not room:
             break
-        code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        open_ = ~last[:-1]
-        bin_ = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BINS)).astype(np.int32)
-        times = np.bincount(bin_[open_], minlength=1 << BINS)
-        may = np.flatnonzero(open_ & (times >= least)[bin_])
+        code = (seq[:-1] << np.uint32(16)) | seq[1:]
+        bin_ = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BINS)
+        bin_[last[:-1]] = 1 << BINS  # pairs over a document's end
+        times = np.bincount(bin_, minlength=(1 << BINS) + 1)
+        times[-1] = 0
+        may = np.flatnonzero((times >= least)[bin_])
         codes = code[may]
         order = np.sort(codes)
         begin = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if len(order) else np.empty(0, np.int64)
@@ -80,24 +152,27 @@ def repair(seq: np.ndarray, last: np.ndarray, base: int, rounds: int = 6, each:
         best = np.flatnonzero(count >= least)
         if not len(best):
             break
-        best = best[np.lexsort((order[begin[best]], -count[best]))][: min(each, max(0, (1 << 16) - top))]
-        if not len(best):
-            break
-        pairs = np.sort(order[begin[best]])
-        at = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
-        chosen = pairs[at] == codes
+        pairs = order[begin[best[np.lexsort((order[begin[best]], -count[best]))]]][: 2 * room]
+        # of pairs that share a bin the most frequent is taken
+        where = (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - BINS)
+        pairs = pairs[np.sort(np.unique(where, return_index=True)[1])][:room]
+        symbol = np.full((1 << BINS) + 1, -1, np.int32)
+        symbol[(pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - BINS)] = np.arange(len(pairs))
+        at = symbol[bin_[may]]
+        chosen = (at >= 0) & (pairs[at] == codes)
         place, at = may[chosen], at[chosen]
         # where chosen pairs overlap, every other one of the chain from its start
-        chain = np.concatenate(([True], np.diff(place) != 1))
-        head = np.maximum.accumulate(np.where(chain, np.arange(len(place)), 0))
-        free = (np.arange(len(place)) - head) % 2 == 0
+        index = np.arange(len(place))
+        head = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(place) != 1)), index, 0))
+        free = ((index - head) & 1) == 0
         place, at = place[free], at[free]
         seq[place] = top + at
-        last[place] = last[place + 1]
         gone = np.ones(len(seq), bool)
         gone[place + 1] = False
+        last = last.copy()
+        last[place] = last[place + 1]
         seq, last = seq[gone], last[gone]
-        rules.append(np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
+        rules.append(np.stack((pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)), axis=1).astype(np.uint32))
         top += len(pairs)
     return seq, last, rules
 
@@ -175,7 +250,7 @@ def write_tokens(
     hash of the text; repeated rows are written as often.  An empty table gives a table without shards.
     """
     id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("grammar", T.BinaryType())])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("grammar", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
@@ -185,15 +260,14 @@ def write_tokens(
         size = 0
 
         def shard() -> pa.RecordBatch:
-            rows = [{"part": part, "before": before, "doc_ids": names, "grammar": pack(docs, base)}]
-            return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(ids_type)), ("grammar", pa.binary())]))
+            rows = [{"part": part, "before": before, "n_tokens": size, "doc_ids": names, "grammar": pack(docs, base)}]
+            return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(ids_type)), ("grammar", pa.binary())]))
 
         for b in batches:
             ids_type = b.schema.field(0).type
             keys = b.column(0).to_pylist()
-            for lo in range(0, b.num_rows, 512):
-                texts = [x or "" for x in b.column(1).slice(lo, 512).to_pylist()]
-                for key, ids in zip(keys[lo : lo + 512], encode_documents(texts, tokenizer)):
+            for lo in range(0, b.num_rows, 4096):
+                for key, ids in zip(keys[lo : lo + 4096], encode_documents(b.column(1).slice(lo, 4096), tokenizer)):
                     docs.append(np.append(ids, end_id).astype(np.uint32))
                     names.append(key)
                     size += len(ids) + 1
@@ -230,7 +304,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 
     docs = shards.select("part", "before", "doc_ids", "grammar").mapInArrow(run, schema)
     # one row for each part: as many as the write had tasks
-    sums = docs.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    sums = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     firsts = sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))
     return docs.join(firsts, "part").select(id_col, (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
