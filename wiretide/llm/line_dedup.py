@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 #: Applied in order, each to the text that the one before leaves; the second value takes the match's place.
 MARKUP = (
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
-    (r"(?s)<!--.*?-->", ""),
+    (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->", ""),
     (r"(?i)</?(?:address|article|aside|blockquote|body|br|div|dd|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
 )
