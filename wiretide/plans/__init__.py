@@ -1,2 +1,10 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over the driver's tables, with SQL that gives the same rows."""
+
+from .captures import CAPTURE_QUERIES, CAPTURE_SQL
+from .tables import ORACLE_SQL as TABLE_SQL
+from .tables import TABLE_QUERIES
+
+QUERIES = {**TABLE_QUERIES, **CAPTURE_QUERIES}
+ORACLE_SQL = {**TABLE_SQL, **CAPTURE_SQL}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
