@@ -59,7 +59,8 @@ def with_fingerprint(df: DataFrame, keep: list[str], text_col: str = "text", shi
 
 def _variants(fps: DataFrame) -> DataFrame:
     """fp -> (fp, key) for each of the 64 bits struck out of its segment."""
-    rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    # spread first: few bytes of fingerprints become 64 times as many rows
+    rows = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
     value = F.expr(
         "shiftrightunsigned(fp & ~shiftleft(1L, bit), CASE WHEN bit < 21 THEN 0 WHEN bit < 42 THEN 21 ELSE 42 END)"
         " & CASE WHEN bit < 42 THEN 2097151L ELSE 4194303L END"
