@@ -109,3 +109,29 @@ def call_media(calls_: DataFrame, streams: DataFrame) -> DataFrame:
 def wifi_networks(wifi: DataFrame) -> DataFrame:
     b = wifi.where("subtype IN ('beacon', 'probe response') AND ssid IS NOT NULL")
     return b.groupBy("capture_id", "ssid").agg(F.sort_array(F.collect_set("bssid")).alias("bssids"), F.sort_array(F.collect_set("security")).alias("security"), F.count("*").alias("beacons"))
+
+
+def host_roles(hosts_: DataFrame) -> DataFrame:
+    """Server (serves a low port), external, hub (over 20 peers) or client."""
+    role = F.when(F.exists("ports_served", lambda p: p < 1024), "server").when(~F.col("is_private"), "external").when(F.col("n_peers") > 20, "hub").otherwise("client")
+    return hosts_.withColumn("role", role)
+
+
+def hardware(macs: DataFrame, vendors: DataFrame, mac: str = "mac") -> DataFrame:
+    """Vendor of each hardware address by its first three bytes (``vendors``: prefix as six hex digits, vendor), or what kind of
+    address it is."""
+    clean = F.lower(F.regexp_replace(mac, "[:.-]", ""))
+    kind = F.when(clean.startswith("ffffff"), "Broadcast").when(clean.startswith("01005e") | clean.startswith("3333"), "Multicast")
+    local = F.when(F.conv(F.substring(clean, 1, 2), 16, 10).cast("int").bitwiseAND(2) > 0, "Locally administered")
+    m = macs.withColumn("prefix", F.substring(clean, 1, 6))
+    return m.join(vendors.select(F.lower("prefix").alias("prefix"), "vendor"), "prefix", "left").withColumn("vendor", F.coalesce(kind, "vendor", local)).drop("prefix")
+
+
+def statistics(tables: dict[str, DataFrame]) -> DataFrame:
+    """(capture_id, name, value): how much of each kind of record a capture has."""
+    out = None
+    for name in ("dns", "http_requests", "tls", "smb", "ntlm", "kerberos", "ics", "mqtt", "sip", "quic", "files", "credentials"):
+        rows = tables[name].groupBy("capture_id").agg(F.count("*").alias("value")).select("capture_id", F.lit(name).alias("name"), "value")
+        out = rows if out is None else out.union(rows)
+    names = tables["dns"].select("capture_id", F.explode("queries.name").alias("n")).distinct().groupBy("capture_id").agg(F.count("*").alias("value"))
+    return out.union(names.select("capture_id", F.lit("domains"), "value"))

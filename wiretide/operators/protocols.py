@@ -37,19 +37,21 @@ def starts(data: Column, *heads: bytes) -> Column:
     return out
 
 
+def read(parse: Callable[[bytes], dict | None], data: bytes | None) -> dict | None:
+    """What ``parse`` makes of the bytes; null if it can't."""
+    try:
+        return parse(data) if data else None
+    except (IndexError, ValueError, struct.error):
+        return None
+
+
 def parser(kind: pa.StructType) -> Callable:
     """An Arrow function from a parser of one payload to a struct or null; what it can't read is null."""
 
     def wrap(parse: Callable[[bytes], dict | None]) -> Callable:
         @arrow_udf(from_arrow_type(kind))
         def run(values: pa.Array) -> pa.Array:
-            out = []
-            for v in values.to_pylist():
-                try:
-                    out.append(parse(v) if v else None)
-                except (IndexError, ValueError, struct.error):
-                    out.append(None)
-            return pa.array(out, kind)
+            return pa.array([read(parse, v) for v in values.to_pylist()], kind)
 
         return run
 

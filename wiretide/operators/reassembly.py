@@ -156,6 +156,14 @@ def http_files(streams_: DataFrame, least: int = 64) -> DataFrame:
     return got.select("capture_id", F.lit("HTTP").alias("protocol"), F.when(F.col("to_server"), F.col("client")).otherwise(F.col("server")).alias("source"), F.when(F.col("to_server"), F.col("server")).otherwise(F.col("client")).alias("target"), name.alias("name"), "ts", "number", F.col("body").alias("data"))
 
 
+def raw_files(streams_: DataFrame, least: int = 64) -> DataFrame:
+    """Files that FTP data connections carry whole, told by their first bytes; text and unknown ones are left out."""
+    s = streams_.where(((F.col("server_port") == 20) | (F.col("client_port") == 20)) & (F.octet_length("data") >= least))
+    s = s.where(file_type(F.col("data")).isNotNull())
+    end = lambda a, b: F.when(F.col("to_server"), F.col(a)).otherwise(F.col(b))
+    return s.select("capture_id", F.lit("FTP-Data").alias("protocol"), end("client", "server").alias("source"), end("server", "client").alias("target"), F.lit("").alias("name"), F.col("first_seen").alias("ts"), "number", "data")
+
+
 def smb_files(smb: DataFrame, names: DataFrame) -> DataFrame:
     """Files that SMB2 Write requests carry, in order of offset within one conversation; named by its first Create with
     a dot in it.  Writes of one offset count once; a hole ends the file."""

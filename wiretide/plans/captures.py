@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
-from ..operators import facts, protocols, reassembly
+from ..operators import credentials, facts, programs, protocols, quic, reassembly
 from ..operators.decode import decode
 from ..sources.pcap import SCHEMA, capture_info, read_captures
 from . import report
@@ -41,7 +41,10 @@ def tables(packets: DataFrame, persist: bool = False) -> Tables:
     t["wifi_networks"] = facts.wifi_networks(t["wifi"])
     t["streams"] = reassembly.streams(whole)
     t["smb_names"] = protocols.smb_names(t["smb"])
-    t["files"] = reassembly.described(reassembly.http_files(t["streams"]).unionByName(reassembly.smb_files(t["smb"], t["smb_names"])))
+    t["quic_hellos"] = quic.hellos(whole)
+    carved = reassembly.http_files(t["streams"]).unionByName(reassembly.smb_files(t["smb"], t["smb_names"])).unionByName(reassembly.raw_files(t["streams"]))
+    t["files"], t["programs"] = reassembly.described(carved), programs.programs(carved)
+    t["credentials"] = credentials.exposed(t["streams"]).unionByName(credentials.ntlm_exposed(t["ntlm"]))
     return t
 
 

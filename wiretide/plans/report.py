@@ -92,3 +92,45 @@ def misp(findings: DataFrame, indicators: DataFrame) -> DataFrame:
     a = indicators.select("capture_id", F.to_json(F.struct(kind.alias("type"), F.lit("Network activity").alias("category"), F.col("value"), F.lit(True).alias("to_ids"))).alias("attribute"))
     f = findings.where(F.col("severity").isin("critical", "high", "medium"))
     return a.union(f.select("capture_id", F.to_json(F.struct(F.lit("comment").alias("type"), F.lit("Other").alias("category"), F.col("title").alias("value"), F.lit(False).alias("to_ids"))).alias("attribute")))
+
+
+def verdict(risk: DataFrame, findings: DataFrame) -> DataFrame:
+    """A sentence for each capture: its band and how many grave findings stand behind it."""
+    n = findings.groupBy("capture_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), F.count("*").alias("all"))
+    return risk.join(n, "capture_id", "left").select("capture_id", "risk", "band", F.format_string("Risk %d of 100 (%s): %d findings, %d critical and %d high.", F.col("risk"), F.col("band"), F.coalesce("all", F.lit(0)), F.coalesce("critical", F.lit(0)), F.coalesce("high", F.lit(0))).alias("verdict"))
+
+
+def html(t: Tables, findings: DataFrame, hosts: int = 120) -> str:
+    """A page of one report: verdicts, findings and the ``hosts`` riskiest hosts, all text escaped.  Only what the page shows
+    comes to the driver."""
+    from html import escape
+
+    def rows(df: DataFrame, cols: list[str], n: int) -> str:
+        head = "".join(f"<th>{escape(c)}</th>" for c in cols)
+        body = "".join("<tr>" + "".join(f"<td>{escape(str('' if r[c] is None else r[c]))}</td>" for c in cols) + "</tr>" for r in df.select(*cols).limit(n).collect())
+        return f"<table><tr>{head}</tr>{body}</table>"
+
+    rank = F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).when(F.col("severity") == "low", 1).otherwise(0)
+    parts = [
+        "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Capture report</title></head><body><h1>Capture report</h1>",
+        rows(verdict(capture_risk(findings), findings).orderBy("capture_id"), ["capture_id", "verdict"], 100),
+        "<h2>Findings</h2>", rows(findings.orderBy(rank.desc(), F.col("count").desc(), "id"), ["severity", "id", "title", "count", "hosts"], 500),
+        "<h2>Hosts</h2>", rows(top_hosts(t, findings, hosts).orderBy(F.col("risk").desc(), F.col("bytes").desc()), ["ip", "risk", "bytes", "n_peers"], hosts), "</body></html>",
+    ]
+    return "".join(parts)
+
+
+def write(t: Tables, findings: DataFrame, path: str) -> None:
+    """Findings and fact tables as Parquet by capture, findings as compressed JSON and CSV, indicators as STIX."""
+    findings.write.mode("append").partitionBy("capture_id").parquet(f"{path}/findings")
+    for name in ("hosts", "flows", "timeline"):
+        t[name].write.mode("append").partitionBy("capture_id").parquet(f"{path}/{name}")
+    findings.write.mode("append").option("compression", "gzip").json(f"{path}/json")
+    as_csv(findings).write.mode("append").option("header", True).csv(f"{path}/csv")
+    stix(findings, iocs(t, findings)).select("object").write.mode("append").text(f"{path}/stix")
+    capture_risk(findings).withColumn("created", F.current_timestamp()).write.mode("append").parquet(f"{path}/runs")
+
+
+def history(spark, path: str, n: int = 200) -> DataFrame:
+    """The latest ``n`` runs of a report folder."""
+    return spark.read.parquet(f"{path}/runs").orderBy(F.col("created").desc()).limit(n)

@@ -454,6 +454,31 @@ def executable_transfer(t: Tables) -> DataFrame:
     return findings(t["files"].where("category = 'executable' AND protocol IN ('HTTP', 'FTP', 'TFTP', 'FTP-Data')"), "file.executable_transfer", "A program was transferred", "high", "Malware", F.col("target"), ["name", "kind", "sha256", "source", "target"])
 
 
+@rule("file.suspicious_imports")
+def suspicious_imports(t: Tables) -> DataFrame:
+    return findings(t["programs"].where(F.size("suspicious") >= 3), "file.suspicious_imports", "A program that reaches into others", "high", "Malware", F.col("source"), ["name", "sha256", "imphash", "suspicious"])
+
+
+def _credentials(t: Tables, where: str, name: str, title: str, severity: str) -> DataFrame:
+    return findings(t["credentials"].where(where), name, title, severity, "Credentials", F.col("client"), ["protocol", "method", "username", "client", "server"])
+
+
+@rule("credentials.cleartext")
+def credentials_cleartext(t: Tables) -> DataFrame:
+    return _credentials(t, "secret_kind = 'password'", "credentials.cleartext", "Passwords in the clear", "critical")
+
+
+@rule("credentials.crackable_hashes")
+def credentials_crackable(t: Tables) -> DataFrame:
+    return _credentials(t, "secret_kind IN ('hash', 'challenge-response') AND crackable", "credentials.crackable_hashes", "Log-ins that can be guessed offline", "high")
+
+
+@rule("credentials.tokens")
+def credentials_tokens(t: Tables) -> DataFrame:
+    bearer = t["http_requests"].where(F.lower("authorization").startswith("bearer ") & ~F.col("dst_port").isin(443, 8443))
+    return findings(bearer, "credentials.tokens", "Access tokens in the clear", "medium", "Credentials", F.col("src_ip"), ["src_ip", "dst_ip", "host"])
+
+
 @rule("voip.activity")
 def voip_activity(t: Tables) -> DataFrame:
     return findings(t["sip"], "voip.activity", "Telephony", "info", "Telephony", F.col("src_ip"), ["method", "src_ip", "dst_ip"])
@@ -498,7 +523,7 @@ def media_loss(t: Tables) -> DataFrame:
 @rule("phishing.lookalike_domain")
 def lookalike(t: Tables) -> DataFrame:
     asked = t["dns"].select("capture_id", "ts", "src_ip", F.explode("queries.name").alias("name"))
-    seen = asked.union(t["http_requests"].select("capture_id", "ts", "src_ip", "host")).union(t["tls"].select("capture_id", "ts", "src_ip", "sni"))
+    seen = asked.union(t["http_requests"].select("capture_id", "ts", "src_ip", "host")).union(t["tls"].select("capture_id", "ts", "src_ip", "sni")).union(t["quic_hellos"].select("capture_id", "ts", "src_ip", "sni"))
     n = seen.where("name IS NOT NULL").groupBy("capture_id", F.lower("name").alias("name")).agg(F.min("ts").alias("ts"), F.min("src_ip").alias("src_ip"))
     return findings(n.withColumn("brand", patterns.imitates(F.col("name"))).where("brand IS NOT NULL"), "phishing.lookalike_domain", "A name close to a known one", "high", "Phishing", F.col("src_ip"), ["name", "brand", "src_ip"])
 
