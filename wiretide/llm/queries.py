@@ -33,8 +33,7 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
     return rows.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
-        F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("spans"),
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
     )
 
 
@@ -84,4 +83,57 @@ SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - l
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": _line_sql()}
+_CAPS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _mix_sql(block: int = 128) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    md5(concat_ws('|', '42', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(rank - 1) % 3 + 1] AS w FROM s),
+p AS (SELECT *, source_size * (10 // w) AS per FROM w),
+l AS (SELECT *, 3 * sum(source_size) OVER () - 4 * coalesce(sum(source_size) OVER (ORDER BY per, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l,
+    sum(w) OVER (ORDER BY per, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM p),
+c AS (SELECT *, 4 * source_size * ws <= l * w AS capped FROM l),
+o AS (SELECT l AS ol, ws AS ows FROM c WHERE NOT capped ORDER BY per, rank LIMIT 1),
+t AS (SELECT source, source_size, rank, CASE WHEN capped OR ows IS NULL THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(w AS DOUBLE) * CAST(ol AS DOUBLE) / CAST(2 * ows AS DOUBLE) END AS target FROM c LEFT JOIN o ON true),
+e AS (SELECT *, sum(target) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hi, sum(target) OVER () AS total FROM t),
+n AS (SELECT unnest(range(CAST(greatest(1, floor((SELECT max(total) FROM e) / {block} + 0.5)) AS BIGINT))) AS i),
+u AS (SELECT i * {source_mix.GOLDEN!r} - floor(i * {source_mix.GOLDEN!r}) AS u FROM n),
+b AS (SELECT rank, count(*) * {block} AS upto FROM u JOIN e ON u >= (hi - target) / total AND u < hi / total GROUP BY rank),
+a AS (SELECT d.doc_id, d.size, e.source_size, e.target, coalesce(b.upto, 0) AS upto, sum(d.size) OVER (PARTITION BY e.rank ORDER BY h, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS pos
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN b ON b.rank = e.rank)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(pos + size, upto) - pos) + greatest(0, least(pos + source_size + size, upto) - pos - source_size) AS BIGINT) AS taken FROM a
+"""
+
+
+_REPEATS_SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM t)),
+c AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM w JOIN c USING (m)),
+g AS (SELECT r, i, sum(CASE WHEN step IS NULL OR step > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM s),
+p AS (SELECT r, k, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, k),
+l AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS q FROM p),
+h AS (SELECT r, string_agg(substr(x, 2 * q + 1, 2 * (a - q)), '' ORDER BY a) AS head, max(b) AS upto, count(*) AS n_spans, sum(b - a) AS n_removed FROM l JOIN t USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(upto, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN h USING (r)
+"""
+
+_DECONTAMINATE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_CAPS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_CAPS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+k AS (SELECT item_id, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM k)),
+dw AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS p FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw))),
+m AS (SELECT r, i, k, item_id FROM dw JOIN bw USING (k, p)),
+h AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS j FROM m) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_source_mix": _mix_sql(), "op4_suffix_dedup": _REPEATS_SQL, "op6_decontaminate": _DECONTAMINATE_SQL, "op9_line_dedup": _line_sql()}

@@ -10,6 +10,8 @@ of all rows is spread over many tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,7 +21,8 @@ from .common import materialise
 WEIGHTS = (5, 2, 1)
 EPOCHS = 2
 GOLDEN = 0.6180339887498949
-BUCKETS = 512
+#: Leading digits by which a source's stream is cut for running sums: 4,096 parts.
+BUCKET_DIGITS = 3
 #: Parts of [0, 1) by which points meet their source.
 BINS = 4096
 CHUNK = 4096
@@ -31,6 +34,11 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffled(id_: Column, text: Column, seed: int) -> Column:
+    """A document's place in its source's stream: hex digits by id and text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(id_.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_num: int = 3, share_den: int = 2, epochs: int = EPOCHS) -> DataFrame:
     """(source, size) rows -> source, source_size, rank (code point order, null last), target.
 
@@ -74,7 +82,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     t = t.select("rank", ((F.col("hi") - F.col("target")) / total).alias("lo"), (F.col("hi") / total).alias("hi"))
     t = t.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * BINS), F.least(F.floor(F.col("hi") * BINS), F.lit(BINS - 1)))))
     product = F.col("id") * F.lit(GOLDEN)
-    s = targets.sparkSession.range(max(1, round(total / block))).withColumn("u", product - F.floor(product)).withColumn("bin", F.floor(F.col("u") * BINS))
+    s = targets.sparkSession.range(max(1, math.floor(total / block + 0.5))).withColumn("u", product - F.floor(product)).withColumn("bin", F.floor(F.col("u") * BINS))
     s = s.join(t, "bin").where("u >= lo AND u < hi")
     s = s.withColumn("chunk", F.floor(F.col("id") / CHUNK)).select("rank", "chunk", "id")
     sums = s.groupBy("rank", "chunk").agg(F.count("*").alias("n"))
@@ -83,9 +91,9 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     return inner.join(first, ["rank", "chunk"]).select("rank", (F.col("first") + F.col("r")).alias("block"))
 
 
-def stream_places(rows: DataFrame, by: str, size: str, order: list[Column], buckets: int = BUCKETS) -> DataFrame:
-    """rows and ``at``: the sum of ``size`` of the rows of the same ``by`` that come before, in a hashed order."""
-    rows = rows.withColumn("__b", F.pmod(order[0], F.lit(buckets)))
+def stream_places(rows: DataFrame, by: str, size: str, order: list[Column]) -> DataFrame:
+    """rows and ``at``: the sum of ``size`` of the rows of the same ``by`` that come before, in order of hex digits."""
+    rows = rows.withColumn("__b", F.substring(order[0], 1, BUCKET_DIGITS))
     sums = rows.groupBy(by, "__b").agg(F.sum(size).alias("__n"))
     first = sums.select(by, "__b", (F.sum("__n").over(W.partitionBy(by).orderBy("__b")) - F.col("__n")).alias("__first"))
     inner = rows.withColumn("__in", F.sum(size).over(W.partitionBy(by, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(size))
@@ -102,7 +110,7 @@ def mix(
     source of its own, last.  Rows that repeat an id take part each, in an order by a hash of id and text.  An empty table gives no rows.
     """
     extra = [F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep or [])]
-    docs = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), id_col, F.xxhash64(text_col)).alias("h"), *extra)
+    docs = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), shuffled(F.col(id_col), F.col(text_col), seed).alias("h"), *extra)
     docs = materialise(docs, "sizes")
     targets = materialise(source_targets(docs), "targets")
     docs = docs.join(targets, docs.source.eqNullSafe(targets.source)).drop("source")
