@@ -53,7 +53,7 @@ def parser(kind: pa.StructType) -> Callable:
         def run(values: pa.Array) -> pa.Array:
             return pa.array([read(parse, v) for v in values.to_pylist()], kind)
 
-        return run
+        return run.asNondeterministic()  # else a filter on the result parses once more
 
     return wrap
 
