@@ -16,6 +16,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of one Arrow batch: texts can be long, and JVM and worker hold several batches each.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose Arrow batches hold BATCH_BYTES at most unless the session sets another bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def append_columns(
     df: DataFrame,
     column: str,
@@ -38,7 +50,7 @@ def append_columns(
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(cols.index(k)) for k in keep] + fn(b.column(at)), names=names)
 
-    return df.select(*[df[c] for c in cols]).mapInArrow(run, schema)
+    return bounded_batches(df).select(*[df[c] for c in cols]).mapInArrow(run, schema)
 
 
 def as_bytes(values: pa.Array) -> list[bytes | None]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import new_path
+from .common import bounded_batches, new_path
 from .token_counts import load
 
 MAGIC = b"RPG1"
@@ -39,16 +39,14 @@ PLAIN_LETTERS = "\u0130"
 _ends: dict[str, np.ndarray] = {}
 
 
-def encode_documents(texts: pa.Array, name: str, cache_words: int = 800_000) -> list[np.ndarray]:
+def encode_documents(texts: pa.Array, name: str, cache_words: int = 200_000) -> list[np.ndarray]:
     """Ids of each whole text (null: none), each distinct word being encoded once.
 
     The tokenizer lower-cases, drops white space and takes nothing across it, so texts are cut at ASCII white space and
-    their words made a dictionary by Arrow; ids are looked up for its entries and gathered by its indices."""
+    their words made a dictionary by Arrow; ids are looked up for its entries and gathered by its indices.  Over ``cache_words`` known words only those are kept that these texts repeat."""
     tok, known = load(name)
     kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
     marks = [x.content for x in tok.get_added_tokens_decoder().values()]
-    if len(known) > cache_words:
-        known.clear()
     texts = texts.fill_null("")
     lower = pc.ascii_lower(texts)
     for m in marks:  # what only lower case would make a special string stays as it is
@@ -62,6 +60,10 @@ def encode_documents(texts: pa.Array, name: str, cache_words: int = 800_000) ->
     length = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
     start = np.cumsum(length) - length
     index = coded.indices.to_numpy(zero_copy_only=False)
+    if len(known) > cache_words:  # words seen once here are the least likely to come again
+        often = np.flatnonzero(np.bincount(index, minlength=len(parts)) > 1).tolist()
+        known.clear()
+        known.update((vocabulary[i], parts[i]) for i in often)
     size = length[index]
     upto = np.cumsum(size)
     ids = flat[np.repeat(start[index] - (upto - size), size) + np.arange(int(size.sum()))]
@@ -266,8 +268,8 @@ def write_tokens(
         for b in batches:
             ids_type = b.schema.field(0).type
             keys = b.column(0).to_pylist()
-            for lo in range(0, b.num_rows, 4096):
-                for key, ids in zip(keys[lo : lo + 4096], encode_documents(b.column(1).slice(lo, 4096), tokenizer)):
+            for lo in range(0, b.num_rows, 2048):
+                for key, ids in zip(keys[lo : lo + 2048], encode_documents(b.column(1).slice(lo, 2048), tokenizer)):
                     docs.append(np.append(ids, end_id).astype(np.uint32))
                     names.append(key)
                     size += len(ids) + 1
@@ -278,7 +280,7 @@ def write_tokens(
             yield shard()
 
     path = path or new_path(df.sparkSession, "tokens")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(run, schema).write.parquet(path)
     return path
 
