@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialise
+from .common import as_bytes, bounded_batches, materialise
 
 LENGTH = 200
 ANCHOR = 48
@@ -215,7 +215,7 @@ _RUN = ["key", "data", "least", "most", "n", "id", "h", "at", "end"]
 def _runs(docs: DataFrame, keys: DataFrame, length: int, anchor: int) -> DataFrame:
     """Runs of the documents whose anchors are in the document's ``keys``.
 
-    Runs that a batch has more than once are repeated: their places come out at once as merged spans (data null), and
+    Runs that a task meets more than once (in 24 MB of runs) are repeated: their places come out at once as merged spans (data null), and
     the run itself without a place (n = 2).
     """
     id_type = docs.schema["id"].dataType
@@ -237,11 +237,11 @@ def _runs(docs: DataFrame, keys: DataFrame, length: int, anchor: int) -> DataFra
                 rows += [(h, None, None, None, None, name, h, a, e) for a, e in merge(spans)]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=_RUN)
 
+        seen: dict[tuple[bytes, int], list] = {}
+        again: list[tuple] = []
+        size = 0
         for b in batches:
             types[5] = b.schema.field(0).type
-            seen: dict[tuple[bytes, int], list] = {}
-            again: list[tuple] = []
-            size = 0
             for name, h, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3)):
                 place, key, first, last = anchors(text, length, anchor)
                 want = np.sort(wanted.values.to_numpy())
@@ -260,6 +260,7 @@ def _runs(docs: DataFrame, keys: DataFrame, length: int, anchor: int) -> DataFra
                 if size > 24_000_000 or len(again) > 500_000:
                     yield flush(seen, again)
                     seen, again, size = {}, [], 0
+        if types[5] is not None:
             yield flush(seen, again)
 
     joined = docs.join(keys, (docs.id.eqNullSafe(keys.kid)) & (docs.h == keys.kh)).select(docs.id, docs.h, "text", "keys")
@@ -351,7 +352,7 @@ def _hot_spans(runs: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(documents as id, h, text; id, h, spans): the merged byte spans to remove from each text that has any."""
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = bounded_batches(df).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     long_ = docs.where(F.octet_length("text") >= length)
     schema = T.StructType([T.StructField("key", T.LongType()), docs.schema["id"], T.StructField("h", T.LongType()), T.StructField("c", T.LongType())])
 
