@@ -12,6 +12,7 @@ The file format is a Parquet table of shards (part, before, n_tokens, doc_ids, g
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,33 +38,43 @@ PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and
 #: Letters below this are composed as they stand.
 PLAIN_LETTERS = "\u0130"
 _ends: dict[str, np.ndarray] = {}
+_older: dict[str, dict[str, bytes]] = {}
 
 
-def encode_documents(texts: pa.Array, name: str, cache_words: int = 200_000) -> list[np.ndarray]:
+def encode_documents(texts: pa.Array, name: str, cache_words: int = 500_000) -> list[np.ndarray]:
     """Ids of each whole text (null: none), each distinct word being encoded once.
 
     The tokenizer lower-cases, drops white space and takes nothing across it, so texts are cut at ASCII white space and
-    their words made a dictionary by Arrow; ids are looked up for its entries and gathered by its indices.  Over ``cache_words`` known words only those are kept that these texts repeat."""
+    their words made a dictionary by Arrow; ids are looked up for its entries and gathered by its indices.  Two generations of about ``cache_words`` words are remembered."""
     tok, known = load(name)
     kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
     marks = [x.content for x in tok.get_added_tokens_decoder().values()]
     texts = texts.fill_null("")
     lower = pc.ascii_lower(texts)
-    for m in marks:  # what only lower case would make a special string stays as it is
-        lower = pc.if_else(pc.match_substring(texts, m, ignore_case=True), texts, lower)
+    if marks:  # what only lower case would make a special string stays as it is
+        head = os.path.commonprefix(marks)
+        hit = pc.match_substring(texts, head) if head and not head.isalpha() and head == head.upper() else pa.array([True] * len(texts))
+        lower = pc.if_else(hit, texts, lower)
     lists = pc.ascii_split_whitespace(lower)
     coded = lists.flatten().dictionary_encode()
     vocabulary = coded.dictionary.to_pylist()
-    _learn(tok, known, [w for w in vocabulary if w not in known], marks, name, kind)
+    older = _older.setdefault(name, {})
+    missing = []
+    for w in vocabulary:
+        if w not in known:
+            if w in older:
+                known[w] = older[w]
+            else:
+                missing.append(w)
+    _learn(tok, known, missing, marks, name, kind)
     parts = [known[w] for w in vocabulary]
     flat = np.frombuffer(b"".join(parts), kind)
     length = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
     start = np.cumsum(length) - length
     index = coded.indices.to_numpy(zero_copy_only=False)
-    if len(known) > cache_words:  # words seen once here are the least likely to come again
-        often = np.flatnonzero(np.bincount(index, minlength=len(parts)) > 1).tolist()
+    if len(known) > cache_words:  # two generations: words that don't come again leave with the older one
+        _older[name] = dict(known)
         known.clear()
-        known.update((vocabulary[i], parts[i]) for i in often)
     size = length[index]
     upto = np.cumsum(size)
     ids = flat[np.repeat(start[index] - (upto - size), size) + np.arange(int(size.sum()))]
@@ -278,6 +289,7 @@ def write_tokens(
                         before, size, docs, names = before + size, 0, [], []
         if docs:
             yield shard()
+        _older.pop(tokenizer, None)
 
     path = path or new_path(df.sparkSession, "tokens")
     rows = bounded_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
