@@ -478,6 +478,24 @@ def test_lines_against_sql(spark, sf_dir):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_lines_of_one_page_stay(spark):
+    import duckdb
+
+    nav = "<nav>Home</nav>"
+    made = [(10 * n + i, f"http://h{n}.example/{i}", f"{nav}<p>Text {i}</p>{'<p>Both</p>' if i < 2 else ''}") for n in (2, 3, 4) for i in range(n)]
+    df = spark.createDataFrame(made, "page_id long, url string, html string")
+    got = {r.page_id: r for r in line_dedup.drop_site_lines(df).collect()}
+    assert [got[i].text for i in (20, 21)] == ["Home\nText 0\nBoth", "Home\nText 1\nBoth"]  # too few pages
+    assert [got[i].text for i in (30, 31, 32)] == ["Text 0", "Text 1", "Text 2"]
+    assert [got[i].text for i in (40, 41, 42, 43)] == ["Text 0", "Text 1", "Text 2", "Text 3"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", made)
+    for name, least in (("op9_line_dedup", 1), ("op9_line_dedup_two_pages", 2)):
+        want = con.execute(queries.ORACLE_SQL[name]).fetchall()
+        assert Counter(map(tuple, line_dedup.drop_site_lines(df, least=least).select("page_id", "host", "n_lines", "n_dropped", "text").collect())) == Counter(want)
+
+
 # pipeline -----------------------------------------------------------------------------------------------------
 
 

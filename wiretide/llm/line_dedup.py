@@ -35,15 +35,15 @@ def lines_of(html: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def drop_site_lines(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.3, min_pages: int = 3) -> DataFrame:
+def drop_site_lines(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.3, min_pages: int = 3, least: int = 2) -> DataFrame:
     """One row per input row: id, host, n_lines, n_dropped and text, the lines that stay.
 
-    A line goes if its host has ``min_pages`` pages or more and over ``ratio`` of them contain it.  Pages without a
-    host keep all lines; null and empty pages have none but count for their host.  Repeated rows count as pages each.
+    A line goes if its host has ``min_pages`` pages or more, and over ``ratio`` of them and ``least`` pages at least
+    contain it: what stands on one page only is that page's content.  Pages without a host keep all lines; null and empty pages have none but count for their host.  Repeated rows count as pages each.
     """
     pages = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(html_col)).alias("lines"))
     total = pages.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     held = pages.where("host IS NOT NULL").select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    common = held.join(total, "host").where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("common"))
+    common = held.join(total, "host").where((F.col("n") > ratio * F.col("pages")) & (F.col("n") >= least)).groupBy("host").agg(F.collect_list("line").alias("common"))
     rows = pages.join(common, "host", "left").withColumn("kept", F.expr("CASE WHEN common IS NULL THEN lines ELSE filter(lines, x -> NOT array_contains(common, x)) END"))
     return rows.select(F.col("id").alias(id_col), "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))

@@ -46,6 +46,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL has it: on a host of three pages, each line counts as repeated."""
+    return line_dedup.drop_site_lines(read_table(spark, sf_dir, "pages"), least=1)
+
+
+def op9_line_dedup_two_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines go only where two pages of the host or more have them."""
     return line_dedup.drop_site_lines(read_table(spark, sf_dir, "pages"))
 
 
@@ -61,11 +67,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_source_mix, op3_secret_scan, op4_suffix_dedup, op5_simhash_dedup, op6_decontaminate, op7_license_scan, op8_token_store, op9_line_dedup, op10_token_counts, pipeline)
+    for f in (op1_quality_rules, op2_source_mix, op3_secret_scan, op4_suffix_dedup, op5_simhash_dedup, op6_decontaminate, op7_license_scan, op8_token_store, op9_line_dedup, op9_line_dedup_two_pages, op10_token_counts, pipeline)
 }
 
 
-def _line_sql() -> str:
+def _line_sql(more: str = "") -> str:
     text = "coalesce(html, '')"
     for pattern, to in line_dedup.MARKUP:
         text = f"regexp_replace({text}, '{pattern}', {'chr(10)' if to else chr(39) * 2}, 'g')"
@@ -76,7 +82,7 @@ WITH pages_ AS (
   FROM pages),
 total AS (SELECT host, count(*) AS pages FROM pages_ WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 3),
 held AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM pages_ WHERE host IS NOT NULL) GROUP BY host, line),
-common AS (SELECT host, list(line) AS common FROM held JOIN total USING (host) WHERE n > 0.3 * pages GROUP BY host),
+common AS (SELECT host, list(line) AS common FROM held JOIN total USING (host) WHERE n > 0.3 * pages{more} GROUP BY host),
 rows_ AS (SELECT page_id, p.host, lines, CASE WHEN common IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(common, x)) END AS kept
   FROM pages_ p LEFT JOIN common c ON p.host = c.host)
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM rows_
@@ -136,4 +142,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mix": _mix_sql(), "op4_suffix_dedup": _REPEATS_SQL, "op6_decontaminate": _DECONTAMINATE_SQL, "op9_line_dedup": _line_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_source_mix": _mix_sql(), "op4_suffix_dedup": _REPEATS_SQL, "op6_decontaminate": _DECONTAMINATE_SQL, "op9_line_dedup": _line_sql(), "op9_line_dedup_two_pages": _line_sql(" AND n >= 2")}
