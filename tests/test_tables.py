@@ -34,3 +34,11 @@ def test_every_query_is_registered(spark, sf_dir):
     assert set(plans.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_whole_scores_see_all_events(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for name in ("noisy_or_score_whole", "host_risk_whole"):
+        rows = plans.QUERIES[name](spark, sf_dir).collect()
+        assert sum(r.n for r in rows) == e.where("user_id IS NOT NULL").count()
+        assert len(rows) == e.select("user_id").distinct().count()

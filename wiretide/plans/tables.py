@@ -384,6 +384,25 @@ def host_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.host_risk(table(spark, sf_dir, "events").where("value > 60").withColumn("severity", F.expr(SEVERITY)), "user_id", "severity")
 
 
+@query(f"""WITH f AS (SELECT user_id, event_type, event_id, CASE {SEVERITY} WHEN 'critical' THEN 0.42 WHEN 'high' THEN 0.24 WHEN 'medium' THEN 0.10 WHEN 'low' THEN 0.035 ELSE 0 END AS w,
+  CASE {CONF} WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.75 ELSE 0.5 END AS c FROM events),
+p AS (SELECT user_id, CAST(w AS DOUBLE) * CAST(c AS DOUBLE) * pow(0.5, row_number() OVER (PARTITION BY user_id, event_type ORDER BY w DESC, event_id) - 1) AS p FROM f WHERE w > 0),
+r AS (SELECT user_id, CAST(round((1 - exp(sum(ln(1 - p)))) * 100) AS BIGINT) AS risk FROM p GROUP BY user_id)
+SELECT user_id, risk, n FROM r JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) USING (user_id)""")
+def noisy_or_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as findings, and their number, as risks come near 100."""
+    e = table(spark, sf_dir, "events")
+    f = e.select("user_id", "event_type", "event_id", F.expr(SEVERITY).alias("severity"), F.expr(CONF).alias("confidence"))
+    return patterns.risk_score(f, "user_id", "event_type", "severity", "confidence", "event_id").join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
+
+
+@query(f"""SELECT user_id, CAST(least(100, sum(CASE {SEVERITY} WHEN 'critical' THEN 40 WHEN 'high' THEN 20 WHEN 'medium' THEN 8 WHEN 'low' THEN 3 ELSE 0 END)) AS BIGINT) AS risk, count(*) AS n FROM events GROUP BY user_id""")
+def host_risk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as findings, and their number, as risks come near 100."""
+    e = table(spark, sf_dir, "events")
+    return patterns.host_risk(e.withColumn("severity", F.expr(SEVERITY)), "user_id", "severity").join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
+
+
 @query("""WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-20'), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-05')
 SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN b.user_id IS NULL THEN 'new' WHEN a.user_id IS NULL THEN 'missing' ELSE 'common' END AS state
 FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type""")
