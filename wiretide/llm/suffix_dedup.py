@@ -362,7 +362,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in as_bytes(b.column(2)):
                 k, c = np.unique(anchors(text, length, anchor)[1], return_counts=True)
                 keys.append(k)
-                times.append(np.minimum(c, 2))
+                times.append(c)
             rows = pa.array(np.repeat(np.arange(b.num_rows), [len(k) for k in keys]))
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(times))], names=schema.names)
