@@ -28,6 +28,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A column name like ``name`` that no column has, whatever its case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def append_columns(
     df: DataFrame,
     column: str,
