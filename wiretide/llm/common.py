@@ -36,6 +36,14 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
+def fresh_prefix(taken: list[str], name: str) -> str:
+    """A prefix like ``__name_`` with which no column begins, whatever its case."""
+    prefix = f"__{name}_"
+    while any(c.lower().startswith(prefix.lower()) for c in taken):
+        prefix += "_"
+    return prefix
+
+
 def append_columns(
     df: DataFrame,
     column: str,

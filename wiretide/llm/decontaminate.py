@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, materialise
+from .common import append_columns, as_bytes, fresh_prefix, materialise
 
 WINDOW = 13
 SAMPLE = 8
@@ -224,13 +224,15 @@ def find_contamination(
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one.  Texts and items that are null
     or without words have no windows and no hits; an item id that is null counts for hits only, items with the same
-    id are one, repeated rows keep a row each.  Items are sent to the tasks in blocks of about ``block_bytes`` of
+    id are one, repeated rows keep a row each.  An empty table gives no rows, an empty benchmark no hits.  Very long texts
+    are searched whole.  Items are sent to the tasks in blocks of about ``block_bytes`` of
     text; a benchmark of more blocks is searched in as many passes, whose spans are merged.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    seen = None
+    seen, p = None, fresh_prefix(df.columns, "d")
+    need = list(dict.fromkeys([*keep, text_col])) if blocks > 1 else keep
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = sorted((((r.name, words_of(r.text.encode() if r.text else None)) for r in block.toLocalIterator())), key=lambda r: (r[0] or "", r[1]))
@@ -247,24 +249,24 @@ def find_contamination(
                 pa.array([i for _, _, i in found], pa.list_(pa.string())),
             ]
 
-        fields = [T.StructField("__n", T.LongType()), T.StructField("__spans", _SPANS), T.StructField("__items", T.ArrayType(T.StringType()))]
+        fields = [T.StructField(p + "n", T.LongType()), T.StructField(p + "spans", _SPANS), T.StructField(p + "items", T.ArrayType(T.StringType()))]
         if seen is None:
-            need = list(dict.fromkeys([*keep, text_col])) if blocks > 1 else keep
             seen = append_columns(df, text_col, fields, run, need)
         else:
-            before = seen.withColumn("__in", F.struct(F.col(text_col).alias("text"), F.struct(F.col("__spans").alias("spans"), F.col("__items").alias("items")).alias("hits")))
-            seen = append_columns(before.drop("__n", "__spans", "__items"), "__in", fields, run, [c for c in before.columns if not c.startswith("__")])
+            before = seen.withColumn(p + "in", F.struct(F.col(text_col).alias("text"), F.struct(F.col(p + "spans").alias("spans"), F.col(p + "items").alias("items")).alias("hits")))
+            seen = append_columns(before.drop(p + "n", p + "spans", p + "items"), p + "in", fields, run, need)
         if k + 1 < blocks:
             seen = materialise(seen, "contamination")
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    out = seen.select(*keep, F.col("__n").alias(prefix + "n_words"), F.col("__spans").alias(prefix + "spans"), F.col("__items").alias(prefix + "items"), hit.alias(prefix + "n_hit"))
+    hit = F.aggregate(p + "spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    out = seen.select(*keep, F.col(p + "n").alias(prefix + "n_words"), F.col(p + "spans").alias(prefix + "spans"), F.col(p + "items").alias(prefix + "items"), hit.alias(prefix + "n_hit"))
     n, h = F.col(prefix + "n_words"), F.col(prefix + "n_hit")
     return out.withColumn(prefix + "contaminated", (h > 0) & (20 * h >= n))
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of df that aren't contaminated, all columns."""
-    return find_contamination(df, benchmark, df.columns, text_col, prefix="__d_").where("NOT __d_contaminated").select(*df.columns)
+    p = fresh_prefix(df.columns, "c")
+    return find_contamination(df, benchmark, df.columns, text_col, prefix=p).where(~F.col(p + "contaminated")).select(*df.columns)
 
 
 def items_digest(items: list[str]) -> str:

@@ -3,7 +3,8 @@
 Lines of a page are what its block elements part.  For each host the pages that contain a line are counted (a page
 counts once; partial counts are summed before the shuffle) and divided by the host's pages; a line over the ratio is
 boilerplate.  A host can have no more than (mean distinct lines a page) / ratio such lines, so they travel as one array for each
-host, and pages meet it in an equality join that adaptive execution splits where a host is hot.
+host.  Pages are parsed once; where all those arrays are small, by their summed bytes, they go to the pages, which then
+aren't shuffled, else both are dealt by host and salt.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
+#: Tasks to which the pages of one host are dealt.
+SALTS = 32
 #: Applied in order, each to the text that the one before leaves; the second value takes the match's place.
 MARKUP = (
     (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->", ""),
@@ -35,15 +40,24 @@ def lines_of(html: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def drop_site_lines(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.3, min_pages: int = 3, least: int = 2) -> DataFrame:
+def drop_site_lines(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.3, min_pages: int = 3, least: int = 2, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """One row per input row: id, host, n_lines, n_dropped and text, the lines that stay.
 
     A line goes if its host has ``min_pages`` pages or more, and over ``ratio`` of them and ``least`` pages at least
     contain it: what stands on one page only is that page's content.  Pages without a host keep all lines; null and empty pages have none but count for their host.  Repeated rows count as pages each.
+    An empty table gives no rows.  Very long pages are read whole.  Other columns are left out.
     """
     pages = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(html_col)).alias("lines"))
+    pages = materialise(pages, "lines")
     total = pages.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     held = pages.where("host IS NOT NULL").select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     common = held.join(total, "host").where((F.col("n") > ratio * F.col("pages")) & (F.col("n") >= least)).groupBy("host").agg(F.collect_list("line").alias("common"))
-    rows = pages.join(common, "host", "left").withColumn("kept", F.expr("CASE WHEN common IS NULL THEN lines ELSE filter(lines, x -> NOT array_contains(common, x)) END"))
+    common = materialise(common, "boilerplate")
+    size = common.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("common", "\n")) + 16 * F.size("common"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        rows = pages.join(F.broadcast(common), "host", "left")
+    else:  # a hot host's pages are dealt to several tasks
+        dealt = pages.withColumn("salt", F.pmod(F.xxhash64("id", "lines"), F.lit(SALTS)))
+        rows = dealt.join(common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left")
+    rows = rows.withColumn("kept", F.expr("CASE WHEN common IS NULL THEN lines ELSE filter(lines, x -> NOT array_contains(common, x)) END"))
     return rows.select(F.col("id").alias(id_col), "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))

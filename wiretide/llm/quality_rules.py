@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes
+from .common import append_columns, as_bytes, fresh_prefix
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -129,7 +129,11 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, max_rules: int = 16, max_conditions: int = 4, min_precision: float = 0.9) -> list[Rule]:
-    """Ordered rules that reject; ``part`` (0, 1 or 2) deals the rows to growing (0, 1) and pruning (2)."""
+    """Ordered rules that reject; ``part`` (0, 1 or 2) deals the rows to growing (0, 1) and pruning (2).
+
+    A list has ``max_rules`` rules of ``max_conditions`` thresholds at most; thresholds are tried at 65 quantiles of the rows
+    that a rule still covers.  Learning ends at the first rule that is right on less than ``min_precision`` of its rows.
+    """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
     while len(rules) < max_rules:
@@ -158,11 +162,14 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, max_rules
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labelled: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Statistics, verdict and part of at most ``max_labelled`` labelled documents, chosen by a hash of the id."""
+    """Statistics, verdict and part of at most ``max_labelled`` labelled documents, chosen by a hash of the id; one row for
+    each id, however many documents have it."""
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("__label"))
     few = one.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)  # the bound that lets it be broadcast
-    rows = with_statistics(df.select(id_col, text_col).join(F.broadcast(few), id_col), [id_col, "__label"], text_col)
-    table = rows.select("__label", F.pmod(F.xxhash64(F.lit("part"), id_col), F.lit(3)).alias("__part"), *[F.expr(e).cast("double").alias("f_" + k) for k, e in FEATURES.items()])
+    few = few.select(F.col(id_col).alias("id"), "__label")
+    some = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
+    rows = with_statistics(some, ["id", "__label"], "text").groupBy("id").agg(F.min(F.struct("__label", *COUNTS)).alias("s")).select("id", "s.*")
+    table = rows.select("__label", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(3)).alias("__part"), *[F.expr(e).cast("double").alias("f_" + k) for k, e in FEATURES.items()])
     got = table.toPandas().sort_values(["__part", "__label", *("f_" + k for k in FEATURES)], kind="stable")
     return {k: got["f_" + k].to_numpy() for k in FEATURES}, got["__label"].to_numpy() == 0, got["__part"].to_numpy()
 
@@ -194,7 +201,8 @@ def quality_rules(
 
     Null, empty and wordless texts fail the base rule.  Without labels (or with one verdict only) the list is empty
     and ``kept`` is the base rule's.  Labels that are null are left out; a document labelled twice has the lower one.
-    Repeated rows and ids keep a row each; a null id is never a labelled one.
+    Repeated rows and ids keep a row each; a null id is never a labelled one.  An empty table gives no rows.  Very long
+    texts are read whole.  Rules that gain alike are taken in the order of FEATURES, >= before <=, least threshold first.
     """
     x, bad, part = labelled_sample(df, labels, id_col, text_col, label_col, max_labelled)
     rules = learn(x, bad, part) if len(bad) else []
@@ -205,4 +213,5 @@ def quality_rules(
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that the rules keep, all columns."""
-    return quality_rules(df, labels, id_col, text_col, keep=df.columns, prefix="__q_").where("__q_kept").select(*df.columns)
+    q = fresh_prefix(df.columns, "q")
+    return quality_rules(df, labels, id_col, text_col, keep=df.columns, prefix=q).where(F.col(q + "kept")).select(*df.columns)

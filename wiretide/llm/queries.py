@@ -15,7 +15,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(read_table(spark, sf_dir, "documents"))
+    return source_mix.mix(read_table(spark, sf_dir, "documents")).drop("slot")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

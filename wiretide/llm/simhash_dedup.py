@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, materialise
+from .common import append_columns, as_bytes, fresh, materialise
 
 SEED = 42
 #: First bit and width of each segment; with three segments four differing bits leave one segment with one at most.
@@ -59,8 +59,9 @@ def with_fingerprint(df: DataFrame, keep: list[str], text_col: str = "text", shi
 
 def _variants(fps: DataFrame) -> DataFrame:
     """fp -> (fp, key) for each of the 64 bits struck out of its segment."""
-    # spread first: few bytes of fingerprints become 64 times as many rows
-    rows = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    # spread first: few bytes of fingerprints become 64 times as many rows; by a hash, as they may be dealt by fp already
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    rows = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
     value = F.expr(
         "shiftrightunsigned(fp & ~shiftleft(1L, bit), CASE WHEN bit < 21 THEN 0 WHEN bit < 42 THEN 21 ELSE 42 END)"
         " & CASE WHEN bit < 42 THEN 2097151L ELSE 4194303L END"
@@ -185,12 +186,12 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def classes(prints: DataFrame, id_col: str, most: int = MAX_BITS) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of ``prints`` (id, fp)."""
+    """(fp, root, component_id) for each distinct fingerprint of ``prints`` (id, fp)."""
     fps = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(fingerprint_links(fps.select("fp"), most))
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(ids, "root").select("fp", "least", "component_id")
+    return named.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = MAX_BITS) -> DataFrame:
@@ -198,7 +199,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null, empty and wordless texts have fingerprint zero and link like any other; under ``shingle`` words the whole
     sequence is the one shingle.  Repeated rows and ids each keep a row.  Null ids stay null and never name a
-    component that has another id.  An empty table gives no rows.  Other columns are left out.
+    component that has another id.  An empty table gives no rows.  Other columns are left out.  Very long texts are read
+    whole.
     """
     prints = materialise(with_fingerprint(df, [id_col], text_col, shingle), "fingerprints")
     named = classes(prints, id_col, most).select("fp", "component_id")
@@ -206,13 +208,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = MAX_BITS) -> DataFrame:
-    """The rows of df whose id names their component: one of each group of near-duplicates, all columns.
+    """One row of each group of near-duplicates, all columns: that of the least id; one without an id only if none has one.
 
-    Rows that repeat both id and fingerprint are one row.  Rows with a null id can't be told apart and stay.
+    Rows that repeat both id and fingerprint are one row.  An empty table gives no rows.
     """
-    fp = "__fp"
+    fp = fresh(df.columns, "fp")
     marked = with_fingerprint(df, df.columns, text_col, shingle, fp)
-    prints = materialise(marked.select(id_col, F.col(fp).alias("fp")), "fingerprints")
-    heads = classes(prints.where(F.col(id_col).isNotNull()), id_col, most).where("least = component_id").select(F.col("fp").alias(fp), F.col("component_id").alias(id_col))
-    one = marked.join(heads, [id_col, fp], "left_semi").dropDuplicates([id_col, fp])
-    return one.unionByName(marked.where(F.col(id_col).isNull())).select(*df.columns)
+    prints = materialise(marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")), "fingerprints")
+    least = prints.groupBy("fp").agg(F.min("id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("h")
+    heads = least.join(classes(prints, "id", most).select("fp", "root"), "fp").groupBy("root").agg(first).select("h.id", "h.fp")
+    one = marked.join(heads, marked[id_col].eqNullSafe(heads["id"]) & (marked[fp] == heads["fp"]), "left_semi")
+    return one.dropDuplicates([id_col, fp]).select(*[one[c] for c in df.columns])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import fresh, fresh_prefix, materialise
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 2
@@ -71,14 +71,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_n
 
 
 def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """(rank, target) -> (rank, block): the blocks that the slots take, each block of a source at most once.
+    """(rank, target) -> (rank, block, slot): the blocks that the slots take, each block of a source at most once.
 
     A source has as many slots as points fall into its part of [0, 1), to within a few blocks its target.
     """
     t = targets.where("target > 0").withColumn("hi", F.sum("target").over(W.orderBy("rank")))
     total = t.agg(F.max("hi")).first()[0]
     if total is None:
-        return targets.select("rank", F.lit(0).cast("long").alias("block")).limit(0)
+        return targets.select("rank", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot")).limit(0)
     t = t.select("rank", ((F.col("hi") - F.col("target")) / total).alias("lo"), (F.col("hi") / total).alias("hi"))
     t = t.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * BINS), F.least(F.floor(F.col("hi") * BINS), F.lit(BINS - 1)))))
     product = F.col("id") * F.lit(GOLDEN)
@@ -88,7 +88,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     sums = s.groupBy("rank", "chunk").agg(F.count("*").alias("n"))
     first = sums.select("rank", "chunk", (F.sum("n").over(W.partitionBy("rank").orderBy("chunk")) - F.col("n")).alias("first"))
     inner = s.withColumn("r", F.row_number().over(W.partitionBy("rank", "chunk").orderBy("id")) - 1)
-    return inner.join(first, ["rank", "chunk"]).select("rank", (F.col("first") + F.col("r")).alias("block"))
+    return inner.join(first, ["rank", "chunk"]).select("rank", (F.col("first") + F.col("r")).alias("block"), F.col("id").alias("slot"))
 
 
 def stream_places(rows: DataFrame, by: str, size: str, order: list[Column]) -> DataFrame:
@@ -103,7 +103,8 @@ def stream_places(rows: DataFrame, by: str, size: str, order: list[Column]) -> D
 def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, seed: int = 42, keep: list[str] | None = None
 ) -> DataFrame:
-    """One row per input row: id, size, source_size, target and taken, the words that the mix takes of the document.
+    """One row per input row: id, size, source_size, target, taken, the words that the mix takes of the document, and slot,
+    the first place of the mix's order that takes any of them (null if none does).
 
     ``taken`` is at most twice the size, and a source's sum is within a few blocks of its target; larger blocks make
     fewer slots for a larger mix.  Null, empty and wordless texts have size 0 and nothing taken; null is a
@@ -119,22 +120,26 @@ def mix(
     pass_ = placed.where("size > 0").select("row", "rank", "size", F.explode(F.array(F.col("at"), F.col("at") + F.col("source_size"))).alias("a"))
     parts = pass_.select("row", "rank", "a", (F.col("a") + F.col("size")).alias("e"), F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block))).alias("block"))
     parts = parts.select("row", "rank", "block", (F.least("e", (F.col("block") + 1) * block) - F.greatest("a", F.col("block") * block)).alias("words"))
-    got = parts.join(schedule(targets, block), ["rank", "block"]).groupBy("row").agg(F.sum("words").alias("taken"))
+    got = parts.join(schedule(targets, block), ["rank", "block"]).groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
     return placed.join(got, "row", "left").select(
-        F.col("__id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep or [])]
+        F.col("__id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot", *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep or [])]
     )
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128) -> DataFrame:
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, slot: str | None = None) -> DataFrame:
     """The mix as documents, all columns of df: each row as often as it is taken, to whole copies (half up).
 
+    ``slot`` names a column for the first slot that takes the document; sorted by it, rows stand in the order of the mix.
     A document that the mix cuts is the last of its source's stream, so a source is off by one document at most.
-    Rows equal in id, source and text share what they are given alike.
+    Rows equal in id, source and text share what they are given alike.  Rows without words are in no mix, so a table
+    without words, or an empty one, gives none.
     """
-    take = mix(df.select(id_col, text_col, source_col, F.xxhash64(text_col).alias("__t")), id_col, text_col, source_col, block, keep=["__t", source_col])
-    times = take.where("size > 0").groupBy(F.col(id_col).alias("__i"), F.col("__t"), F.col(source_col).alias("__s")).agg(F.sum("taken").alias("__k"), F.sum("size").alias("__z"))
-    copies = F.floor((2 * F.col("__k") + F.col("__z")) / (2 * F.col("__z")))
-    marked = df.withColumn("__h", F.xxhash64(text_col))
-    on = marked[id_col].eqNullSafe(times["__i"]) & (marked["__h"] == times["__t"]) & marked[source_col].eqNullSafe(times["__s"])
-    rows = marked.join(times.withColumn("__c", copies).where("__c > 0"), on)
-    return rows.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c")))).select(*[marked[c] for c in df.columns])
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("t"))
+    take = mix(rows, "id", "text", "source", block, keep=["t", "source"])
+    times = take.where("size > 0").groupBy("id", "t", "source").agg(F.sum("taken").alias("k"), F.sum("size").alias("z"), F.min("slot").alias("slot"))
+    p = fresh_prefix(df.columns, "m")
+    times = times.withColumn("c", F.floor((2 * F.col("k") + F.col("z")) / (2 * F.col("z")))).where("c > 0").select(*[F.col(c).alias(p + c) for c in ("id", "t", "source", "c", "slot")])
+    hashed = df.withColumn(p + "h", F.xxhash64(text_col))
+    on = hashed[id_col].eqNullSafe(F.col(p + "id")) & (F.col(p + "h") == F.col(p + "t")) & hashed[source_col].eqNullSafe(F.col(p + "source"))
+    again = hashed.join(times, on).withColumn(p + "again", F.explode(F.sequence(F.lit(1).cast("long"), F.col(p + "c"))))
+    return again.select(*df.columns, *([F.col(p + "slot").alias(fresh(df.columns, slot))] if slot else []))

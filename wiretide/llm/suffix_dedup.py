@@ -342,10 +342,10 @@ def _hot_spans(runs: DataFrame, length: int) -> DataFrame:
     placed = rows.where("n = 1").select("data", "most", "id", "h", "at").join(kinds.select("data", "most", "times"), ["data", "most"])
     whole = placed.where("times >= 2").select("id", "h", "at", (F.col("at") + F.octet_length("data")).alias("end"))
     windows = kinds.select("data", "most", "times", F.explode(F.sequence(F.lit(0), F.col("most") - F.col("least"))).alias("off"))
-    windows = windows.select(F.xxhash64("data", "most").alias("run"), "times", "off", F.unhex(F.md5(F.expr(f"substring(data, off + 1, {length})"))).alias("digest"))
+    windows = windows.select(F.md5("data").alias("run"), "most", "times", "off", F.unhex(F.md5(F.expr(f"substring(data, off + 1, {length})"))).alias("digest"))
     twice = windows.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
-    offs = windows.where("times = 1").join(twice, "digest", "left_semi").groupBy("run").agg(F.collect_list("off").alias("offs"))  # at most 153
-    single = placed.where("times = 1").withColumn("run", F.xxhash64("data", "most")).join(offs, "run")
+    offs = windows.where("times = 1").join(twice, "digest", "left_semi").groupBy("run", "most").agg(F.collect_list("off").alias("offs"))  # at most 153
+    single = placed.where("times = 1").withColumn("run", F.md5("data")).join(offs, ["run", "most"])
     part = single.select("id", "h", "at", F.explode("offs").alias("off")).select("id", "h", (F.col("at") + F.col("off")).alias("at"), (F.col("at") + F.col("off") + length).alias("end"))
     return done.union(whole).union(part)
 

@@ -4,8 +4,9 @@ A text is cut before each run of white space that follows something else.  For b
 such a cut, so each piece is made of whole pre-tokens and its token count does not depend on its neighbours.  Pieces
 are counted once per distinct piece; a document's count is the sum over its piece frequencies.
 
-The distinct pieces and their counts live beside the rows (one table for each Python worker, emptied at
-``cache_pieces`` entries), so neither the pieces of all documents nor any ids are ever shuffled.
+Within a task, the distinct pieces of each group of documents are counted once and joined to the documents' piece
+frequencies.  Counts of short pieces are remembered for the groups that follow (one table for each Python worker,
+emptied at ``cache_pieces`` of them), so neither the pieces of all documents nor any ids are ever shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from .common import append_columns
 PIECE = re.compile(r"\s*\S+|\s+")
 #: White space for Python only: such texts are not cut.
 ODD = re.compile(r"[\x1c-\x1f]")
+#: Documents whose pieces are counted together, pieces sent to the library at once, characters of a remembered piece.
+GROUP = 256
+SENT = 4096
+SHORT = 64
 _loaded: dict = {}
 
 
@@ -57,15 +62,20 @@ def pieces_of(text: str, specials: tuple[str, ...]) -> list[str]:
 def count_tokens(texts: list[str], name: str, cache_pieces: int) -> list[int]:
     tok, known = load(name)
     specials = tuple(x.content for x in tok.get_added_tokens_decoder().values())
-    if len(known) > cache_pieces:
-        known.clear()
     out: list[int] = []
-    for at in range(0, len(texts), 256):
-        freqs = [Counter(pieces_of(x, specials)) for x in texts[at : at + 256]]
+    for at in range(0, len(texts), GROUP):
+        freqs = [Counter(pieces_of(x, specials)) for x in texts[at : at + GROUP]]
         new = list({p for f in freqs for p in f if p not in known})
-        for i in range(0, len(new), 4096):
-            known.update((p, len(e)) for p, e in zip(new[i : i + 4096], tok.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)))
+        long_: list[str] = []
+        for i in range(0, len(new), SENT):
+            part = new[i : i + SENT]
+            known.update((p, len(e)) for p, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)))
+            long_ += [p for p in part if len(p) > SHORT]
         out += [sum(map(int.__mul__, map(known.__getitem__, f), f.values())) for f in freqs]
+        for p in long_:
+            del known[p]
+        if len(known) > cache_pieces:
+            known.clear()
     return out
 
 
@@ -75,7 +85,8 @@ def token_counts(
     """One row per input row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Null and empty texts have none; special strings inside texts count as the library has them by default.  Repeated
-    rows and ids keep a row each, null ids stay null, other columns are left out.
+    rows and ids keep a row each, null ids stay null, other columns are left out.  An empty table gives no rows.  Very long
+    texts are counted whole; one with a special string is a single piece.
     """
 
     def run(values: pa.Array) -> list[pa.Array]:

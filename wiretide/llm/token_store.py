@@ -38,6 +38,7 @@ PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and
 #: Letters below this are composed as they stand.
 PLAIN_LETTERS = "\u0130"
 _ends: dict[str, np.ndarray] = {}
+_known: dict[str, dict[str, bytes]] = {}
 _older: dict[str, dict[str, bytes]] = {}
 
 
@@ -46,7 +47,7 @@ def encode_documents(texts: pa.Array, name: str, cache_words: int = 500_000) ->
 
     The tokenizer lower-cases, drops white space and takes nothing across it, so texts are cut at ASCII white space and
     their words made a dictionary by Arrow; ids are looked up for its entries and gathered by its indices.  Two generations of about ``cache_words`` words are remembered."""
-    tok, known = load(name)
+    tok, known = load(name)[0], _known.setdefault(name, {})
     kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
     marks = [x.content for x in tok.get_added_tokens_decoder().values()]
     texts = texts.fill_null("")
