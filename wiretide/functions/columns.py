@@ -133,9 +133,27 @@ def file_type(data: Column) -> Column:
     return out
 
 
-def file_category(kind: Column) -> Column:
-    return by_map(kind, {k: c for _, k, c in fixed.FILE_MAGICS})
+def identified(data: Column) -> Column:
+    """Type of a file by its content: first bytes, what a zip or RIFF container holds, else whether it is text."""
+    head = F.decode(F.substring(data, 1, 8192), "ISO-8859-1")
+    zipped = F
+    for marker, kind, _ in fixed.ZIP_SUBTYPES:
+        zipped = zipped.when(head.contains(marker), F.lit(kind))
+    form = F.substring(data, 9, 4)
+    riff = F.when(form == F.lit(b"WAVE"), "wav").when(form == F.lit(b"AVI "), "avi").when(form == F.lit(b"WEBP"), "webp").otherwise("riff")
+    known = file_type(data)
+    start = F.substring(head, 1, 512)
+    low = F.lower(start)
+    script = F.when(low.contains("<?php"), "php").when(low.contains("function") & low.contains("var "), "js").when(low.contains("powershell") | low.contains("-encodedcommand"), "ps1").otherwise("txt")
+    shown = F.regexp_count(start, F.lit(r"[\x09\x0A\x0D\x20-\x7E]"))
+    text = F.when((F.length(start) > 0) & (shown > 0.92 * F.length(start)), script).otherwise("bin")
+    return F.when(known == "zip", zipped.otherwise("zip")).when(known == "riff", riff).otherwise(F.coalesce(known, text))
+
+
+def identified_category(kind: Column) -> Column:
+    more = {"wav": "media", "avi": "media", "webp": "image", "php": "script", "js": "script", "ps1": "script", "txt": "text", "bin": "unknown"}
+    return by_map(kind, {k: c for _, k, c in fixed.FILE_MAGICS} | {k: c for _, k, c in fixed.ZIP_SUBTYPES} | more)
 
 
 def risk_band(score: Column) -> Column:
-    return F.when(score >= 75, "critical").when(score >= 50, "high").when(score >= 25, "medium").when(score >= 10, "low").otherwise("minimal")
+    return F.when(score >= 75, "critical").when(score >= 50, "high").when(score >= 25, "elevated").when(score >= 10, "low").otherwise("clean")

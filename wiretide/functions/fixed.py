@@ -198,6 +198,16 @@ FILE_MAGICS = (
     (b"#!/", "script", "script"),
 )
 
+# Names within zip containers (name, type, category), first match wins.
+ZIP_SUBTYPES = (
+    ("word/", "docx", "document"),
+    ("xl/", "xlsx", "document"),
+    ("ppt/", "pptx", "document"),
+    ("META-INF/MANIFEST", "jar", "executable"),
+    ("AndroidManifest", "apk", "executable"),
+    ("vbaProject.bin", "docm", "document"),
+)
+
 # Weights of severities and confidences in risk scores.
 RISK_WEIGHTS = {"critical": 0.42, "high": 0.24, "medium": 0.10, "low": 0.035, "info": 0.0}
 CONFIDENCE = {"high": 1.0, "medium": 0.75, "low": 0.5}

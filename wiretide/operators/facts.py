@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.columns import by_map, is_private, service_name
+from . import intervals
 from .protocols import RTP_CODECS
 
 SYN, ACK, FIN, RST = 2, 16, 1, 4
@@ -57,10 +59,47 @@ def flows(packets: DataFrame) -> DataFrame:
     return f.withColumns({"duration": F.col("last_seen") - F.col("first_seen"), "service": service_name(F.least("sport", "dport"), F.col("protocol") == 17), "src_private": is_private(F.col("src")), "dst_private": is_private(F.col("dst"))})
 
 
-def protocol_counts(packets: DataFrame) -> DataFrame:
-    udp = F.col("protocol") == 17
-    name = F.when(F.col("arp_op").isNotNull(), "ARP").when(F.col("protocol").isNull(), "Non-IP").when(F.col("protocol").isin(1, 58), "ICMP").when(F.col("src_port").isNotNull(), service_name(F.least("src_port", "dst_port"), udp)).otherwise(F.concat(F.lit("IP proto "), F.col("protocol").cast("string")))
-    return packets.groupBy("capture_id", name.alias("name")).agg(F.count("*").alias("packets"), F.sum("wirelen").alias("bytes"))
+def connection_events(packets: DataFrame, flows_: DataFrame) -> DataFrame:
+    """(capture_id, src, dst, dport, us): when each conversation over TCP or UDP was opened.
+
+    A TCP conversation is opened by each bare SYN.  One without any is opened by its first packet and by each that comes
+    over two seconds after the last such one, so three packets of one check-in are one event.
+    """
+    p = packets.where("src_ip IS NOT NULL AND protocol IN (6, 17) AND ts > 0").withColumn("us", F.round(F.col("ts") * 1e6).cast("long"))
+    opened = p.where(_flag(SYN) & ~_flag(ACK) & (F.col("protocol") == 6)).select("capture_id", F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"), F.coalesce("dst_port", F.lit(0).cast("long")).alias("dport"), "us")
+    end = lambda ip, port: F.struct(F.col(ip).alias("ip"), F.coalesce(port, F.lit(0).cast("long")).alias("port"))
+    low = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    silent = flows_.where("protocol IN (6, 17) AND syns = 0").select("capture_id", "protocol", *low(end("src", "sport"), end("dst", "dport")), "src", "dst", "dport")
+    text = lambda c: F.concat_ws(" ", f"{c}.ip", F.col(f"{c}.port").cast("string")).alias(c)
+    silent = silent.select("capture_id", "protocol", text("a"), text("b"), "src", "dst", "dport")
+    times = p.where("protocol = 17 OR tcp_flags & 18 <> 2").select("capture_id", "protocol", *low(end("src_ip", "src_port"), end("dst_ip", "dst_port")), "us").select("capture_id", "protocol", text("a"), text("b"), "us")
+    held = intervals.kept(times, ["capture_id", "protocol", "a", "b"], "us", 2_000_000).join(silent, ["capture_id", "protocol", "a", "b"])
+    return opened.union(held.select("capture_id", "src", "dst", "dport", "us"))
+
+
+# Names of transport protocols.
+TRANSPORTS = {1: "ICMP", 2: "IGMP", 4: "IP-in-IP", 6: "TCP", 17: "UDP", 41: "IPv6", 47: "GRE", 50: "ESP", 51: "AH", 58: "ICMPv6", 88: "EIGRP", 89: "OSPF", 103: "PIM", 112: "VRRP", 132: "SCTP"}
+
+
+def protocol_counts(packets: DataFrame, datagrams: DataFrame | None = None) -> DataFrame:
+    """(capture_id, name, packets, bytes): packets by transport, beside ARP, what isn't IP, name service messages (NBNS) and
+    datagrams put together from fragments (Reassembled)."""
+    transport = F.coalesce(by_map(F.col("protocol"), TRANSPORTS), F.concat(F.lit("IP proto "), F.col("protocol").cast("string")))
+    name = F.when(F.col("arp_op").isNotNull(), "ARP").when(F.col("src_ip").isNull() | F.col("dst_ip").isNull(), "Non-IP").otherwise(transport)
+    count = lambda df, what: df.groupBy("capture_id", what.alias("name")).agg(F.count("*").alias("packets"), F.sum("wirelen").alias("bytes"))
+    names = packets.where("protocol = 17 AND (src_port = 137 OR dst_port = 137) AND octet_length(payload) > 0")
+    out = count(packets, name).union(count(names, F.lit("NBNS")))
+    return out if datagrams is None else out.union(count(datagrams, F.lit("Reassembled")))
+
+
+def encapsulations(packets: DataFrame) -> DataFrame:
+    """(capture_id, name, packets): what encloses packets, by the first word of its name."""
+    return packets.select("capture_id", F.explode("encapsulation").alias("e")).groupBy("capture_id", F.split("e", " ")[0].alias("name")).agg(F.count("*").alias("packets"))
+
+
+def links(packets: DataFrame) -> DataFrame:
+    """(capture_id, linktype, ethertype, packets)."""
+    return packets.groupBy("capture_id", "linktype", "ethertype").agg(F.count("*").alias("packets"))
 
 
 def timeline(packets: DataFrame) -> DataFrame:
@@ -135,3 +174,50 @@ def statistics(tables: dict[str, DataFrame]) -> DataFrame:
         out = rows if out is None else out.union(rows)
     names = tables["dns"].select("capture_id", F.explode("queries.name").alias("n")).distinct().groupBy("capture_id").agg(F.count("*").alias("value"))
     return out.union(names.select("capture_id", F.lit("domains"), "value"))
+
+
+def smb_summary(smb: DataFrame, commands: int = 12, pairs: int = 50) -> DataFrame:
+    """(capture_id, kind, name, messages): messages of each version, the ``commands`` most frequent requests and the ``pairs`` of
+    client and server with most messages."""
+
+    def top(df: DataFrame, kind: str, name: Column, most: int) -> DataFrame:
+        n = df.groupBy("capture_id", name.alias("name")).agg(F.count("*").alias("messages"))
+        place = F.row_number().over(W.partitionBy("capture_id").orderBy(F.col("messages").desc(), "name"))
+        return n.withColumn("r", place).where(F.col("r") <= most).select("capture_id", F.lit(kind).alias("kind"), "name", "messages")
+
+    whole = top(smb, "version", F.col("version"), 10).union(top(smb.where("NOT is_response"), "command", F.col("command"), commands))
+    return whole.union(top(smb, "pair", F.concat_ws(" > ", "src_ip", "dst_ip"), pairs))
+
+
+def profile(t: dict[str, DataFrame]) -> DataFrame:
+    """One row for each capture: its traits, how many hosts are inside, outside and on IPv6, its ten most frequent services, the
+    twelve largest shares of protocols, and a sentence that says what kind of traffic it is."""
+    by = ["capture_id"]
+    ranked = lambda df, value, n, name: df.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(F.col(value).desc(), "name"))).where(F.col("r") <= n).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("r", "name", value))).alias(name))
+    strip = lambda c, value: F.transform(c, lambda x: F.struct(x["name"].alias("name"), x[value].alias(value)))
+    v6 = F.col("ip").contains(":")
+    h = t["hosts"].groupBy(*by).agg(F.count_if("is_private").alias("inside"), F.count_if(~F.col("is_private")).alias("outside"), F.count_if(v6).alias("ipv6"), F.count_if(~v6).alias("ipv4"))
+    services = t["flows"].where("service <> ''").groupBy(*by, F.col("service").alias("name")).agg(F.count("*").alias("flows"))
+    of = lambda *names: F.coalesce(F.sum(F.when(F.col("name").isin(*names), F.col("flows"))), F.lit(0))
+    s = services.groupBy(*by).agg(of("SMB", "Kerberos").alias("windows"), of("HTTP").alias("http"), of("HTTPS").alias("https"))
+    counts = t["protocol_counts"].groupBy(*by, "name").agg(F.sum("packets").alias("n"))
+    shares = counts.join(counts.groupBy(*by).agg(F.sum("n").alias("all")), by).select(*by, "name", F.round(F.col("n") / F.col("all"), 6).alias("share"))
+    icmp = shares.where("name = 'ICMP'").select(*by, F.col("share").alias("icmp"))
+    dns = t["dns"].groupBy(*by).agg(F.count("*").alias("dns"))
+    vlan = t["encapsulations"].where("name = 'VLAN'").select(*by, F.lit(True).alias("vlan")).distinct()
+    rows = t["info"].select(*by, "packets", (F.col("last_ts") - F.col("first_ts")).alias("span"))
+    for part in (h, s, icmp, dns, vlan, ranked(services, "flows", 10, "top_services"), ranked(shares, "share", 12, "protocol_share")):
+        rows = rows.join(part, by, "left")
+    rows = rows.fillna(0, ["inside", "outside", "ipv6", "ipv4", "windows", "http", "https", "dns", "icmp", "span"]).fillna(False, ["vlan"])
+    tests = {
+        "windows-domain": "windows > 0", "web-traffic": "http > 20", "encrypted-web": "https > 20", "dns-heavy": "dns > 0.15 * packets", "internet-facing": "outside > 3 * inside AND outside > 0", "internal-only": "inside > 0 AND outside = 0",
+        "icmp-heavy": "icmp > 0.2", "vlan-tagged": "vlan", "dual-stack": "ipv6 > 0 AND ipv4 > 0", "ipv6-only": "ipv6 > 0 AND ipv4 = 0",
+    }
+    rows = rows.withColumn("traits", F.filter(F.array(*[F.when(F.expr(e), F.lit(n)) for n, e in tests.items()]), lambda x: x.isNotNull()))
+    has = lambda n: F.array_contains("traits", n)
+    shape = F.when(has("windows-domain"), "a Windows domain").when(has("dns-heavy"), "name look-ups").when(has("encrypted-web") & ~has("web-traffic"), "encrypted web pages").when(has("web-traffic"), "web pages").when(has("icmp-heavy"), "ICMP").otherwise("traffic of many kinds")
+    scope = F.when(has("internet-facing"), "that crosses the network's edge").when((F.col("inside") > 0) & (F.col("outside") > 0), "between inside hosts and outside services").otherwise("inside one network")
+    span = F.col("span")
+    length = F.when(span >= 3600, F.format_string("%.1f hours", span / 3600)).when(span >= 60, F.format_string("%.1f minutes", span / 60)).otherwise(F.format_string("%.1f seconds", span))
+    said = F.concat(F.format_string("%d packets in ", F.col("packets")), length, F.format_string(", %d inside and %d outside hosts: mostly ", F.col("inside"), F.col("outside")), shape, F.lit(" "), scope, F.lit("."))
+    return rows.select(*by, "traits", F.col("inside").alias("internal_hosts"), F.col("outside").alias("external_hosts"), F.col("ipv6").alias("ipv6_hosts"), strip("top_services", "flows").alias("top_services"), strip("protocol_share", "share").alias("protocol_share"), said.alias("summary"))

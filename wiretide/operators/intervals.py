@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +50,35 @@ def periodic(stats: DataFrame) -> Column:
     return (F.col("n_gaps") >= 7) & F.col("median_us").between(900_000, 86_400_000_000) & (F.col("cv") <= 0.55) & (F.col("mad_ratio") <= 0.45)
 
 
+def kept(df: DataFrame, keys: list[str], us: str, window_us: int) -> DataFrame:
+    """Keys and time of the events that are kept: the first of each key and each that is over ``window_us`` after the last
+    kept one.  Rows stream past in order of key and time, so a key of any size needs one time in memory."""
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(us, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = b.column(len(keys)).to_numpy(zero_copy_only=False)
+            new = np.zeros(b.num_rows, bool)
+            for c in b.columns[: len(keys)]:
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            first = [c[0].as_py() for c in b.columns[: len(keys)]]
+            begins = np.concatenate(([0], np.flatnonzero(new)))
+            keep = []
+            for s, e in zip(begins.tolist(), [*begins[1:].tolist(), b.num_rows]):
+                i = s + int(np.searchsorted(t[s:e], last + window_us, "right")) if s == 0 and first == key else s
+                while i < e:
+                    keep.append(i)
+                    last = int(t[i])
+                    i += int(np.searchsorted(t[i:e], last + window_us, "right"))
+            key = [c[b.num_rows - 1].as_py() for c in b.columns[: len(keys)]]
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return df.select(*keys, us).repartition(*keys).sortWithinPartitions(*keys, us).mapInArrow(run, schema)
+
+
 def collapse(df: DataFrame, key: str, us: str, window_us: int) -> DataFrame:
     """Per key: n_events, n_kept, first_us, last_us, where an event is kept if it is over ``window_us`` after the last
     kept one.  Rows stream past in order of key and time, so a key of any size needs one counter."""

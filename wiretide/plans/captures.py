@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 import struct
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,49 +17,92 @@ from ..operators import credentials, facts, programs, protocols, quic, reassembl
 from ..operators.decode import decode
 from ..sources.pcap import SCHEMA, capture_info, read_captures
 from . import report
-from .rules import Tables, detect
+from .rules import detect
 
 
-def tables(packets: DataFrame, persist: bool = False) -> Tables:
-    """All tables of captures; lazy, so a rule computes the tables that it reads and no others.
+#: What is written once where tables are stored: all that several rules or reports read and that costs a parser or a shuffle.
+STORED = (
+    "decoded", "datagrams", "dns", "http_requests", "http_responses", "tls", "certificates", "icmp", "arp", "smb", "ntlm", "kerberos", "ics", "mqtt", "ssdp", "quic", "quic_hellos", "sip", "rtp_streams", "calls", "call_media", "wifi",
+    "hosts", "flows", "connection_events", "streams", "carved", "files", "programs", "credentials", "info",
+)
 
-    Fragmented datagrams are put together and decoded with the packets.  ``persist`` keeps the decoded packets (in memory,
-    else on disk; lost parts are made again) where many rules read them.
+
+class CaptureTables(dict):
+    """Tables by name, each made when it is first asked for; ``store`` writes those of STORED once."""
+
+    def __init__(self, makers: dict[str, Callable[[CaptureTables], DataFrame]], store: Callable[[DataFrame, str], DataFrame] | None = None):
+        super().__init__()
+        self.makers, self.store = makers, store
+
+    def __missing__(self, name: str) -> DataFrame:
+        made = self.makers[name](self)
+        self[name] = self.store(made, name) if self.store and name in STORED else made
+        return self[name]
+
+
+def tables(packets: DataFrame, persist: bool = False) -> CaptureTables:
+    """All tables of captures, made when they are asked for.
+
+    Captures are decoded in one pass; fragmented datagrams are put together and decoded with the packets.  ``persist`` writes
+    what several readers need as Parquet to the shared folder, so each parser and each shuffle runs once.
     """
-    decoded = decode(packets)
-    if persist:
-        decoded = decoded.persist(StorageLevel.MEMORY_AND_DISK)
-    whole = decoded.where("NOT is_fragment").unionByName(reassembly.datagrams(decoded))
-    t: Tables = {"packets": whole, "info": capture_info(packets)}
-    t |= {f.__name__: f(whole) for f in (protocols.dns, protocols.http_requests, protocols.http_responses, protocols.tls, protocols.certificates, protocols.icmp, protocols.arp, protocols.dhcp, protocols.smb, protocols.ntlm, protocols.kerberos, protocols.ics, protocols.mqtt, protocols.coap, protocols.ssdp, protocols.quic, protocols.sip, protocols.rtp)}
-    t["wifi"] = protocols.wifi(packets)
-    t |= {f.__name__: f(whole) for f in (facts.hosts, facts.flows, facts.protocol_counts, facts.timeline)}
-    t["arp_owners"] = facts.arp_owners(t["arp"])
-    t["calls"] = facts.calls(t["sip"])
-    t["rtp_streams"] = facts.rtp_streams(t["rtp"])
-    t["call_media"] = facts.call_media(t["calls"], t["rtp_streams"])
-    t["wifi_networks"] = facts.wifi_networks(t["wifi"])
-    t["streams"] = reassembly.streams(whole)
-    t["smb_names"] = protocols.smb_names(t["smb"])
-    t["quic_hellos"] = quic.hellos(whole)
-    carved = reassembly.http_files(t["streams"]).unionByName(reassembly.smb_files(t["smb"], t["smb_names"])).unionByName(reassembly.raw_files(t["streams"]))
-    t["files"], t["programs"] = reassembly.described(carved), programs.programs(carved)
-    t["credentials"] = credentials.exposed(t["streams"]).unionByName(credentials.ntlm_exposed(t["ntlm"]))
-    return t
+    raw = packets.withColumn("frame", F.when(F.col("linktype").isin(105, 127), F.col("data")))
+    keep = ("capture_id", "number", "ts", "caplen", "wirelen", "linktype", "frame")
+    makers: dict[str, Callable[[CaptureTables], DataFrame]] = {
+        "decoded": lambda t: decode(raw, keep),
+        "datagrams": lambda t: reassembly.datagrams(t["decoded"]),
+        "packets": lambda t: t["decoded"].where("NOT is_fragment").drop("linktype", "frame").unionByName(t["datagrams"]),
+        "info": lambda t: capture_info(t["decoded"]),
+        "wifi": lambda t: protocols.wifi(t["decoded"].where("frame IS NOT NULL").select("capture_id", "number", "ts", "linktype", F.col("frame").alias("data"))),
+        "arp_owners": lambda t: facts.arp_owners(t["arp"]),
+        "calls": lambda t: facts.calls(t["sip"]),
+        "rtp_streams": lambda t: facts.rtp_streams(t["rtp"]),
+        "call_media": lambda t: facts.call_media(t["calls"], t["rtp_streams"]),
+        "wifi_networks": lambda t: facts.wifi_networks(t["wifi"]),
+        "connection_events": lambda t: facts.connection_events(t["packets"], t["flows"]),
+        "protocol_counts": lambda t: facts.protocol_counts(t["packets"], t["datagrams"]),
+        "encapsulations": lambda t: facts.encapsulations(t["decoded"]),
+        "links": lambda t: facts.links(t["decoded"]),
+        "smb_names": lambda t: protocols.smb_names(t["smb"]),
+        "quic_hellos": lambda t: quic.hellos(t["packets"]),
+        "carved": lambda t: reassembly.http_files(t["streams"]).unionByName(reassembly.smb_files(t["streams"], t["smb"])).unionByName(reassembly.raw_files(t["streams"])),
+        "files": lambda t: reassembly.described(t["carved"]),
+        "programs": lambda t: programs.programs(t["carved"]),
+        "credentials": lambda t: credentials.exposed(t["streams"]).unionByName(credentials.ntlm_exposed(t["ntlm"])),
+        "stream_summaries": lambda t: reassembly.summaries(t["streams"]),
+        "profile": lambda t: facts.profile(t),
+        "smb_summary": lambda t: facts.smb_summary(t["smb"]),
+    }
+    for f in (protocols.dns, protocols.http_requests, protocols.http_responses, protocols.tls, protocols.certificates, protocols.icmp, protocols.arp, protocols.dhcp, protocols.smb, protocols.ntlm, protocols.kerberos, protocols.ics, protocols.mqtt, protocols.coap, protocols.ssdp, protocols.quic, protocols.sip, protocols.rtp, facts.hosts, facts.flows, facts.timeline, reassembly.streams):
+        makers[f.__name__] = lambda t, f=f: f(t["packets"])
+    return CaptureTables(makers, written if persist else None)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for what driver and executors share; a local one only where none is named."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="wiretide-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder: cuts the lineage and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the checkpoint folder that the cluster names; a local one only where none is named."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wiretide-"))
-    return df.checkpoint()
+    return written(df, "settled")
 
 
-def analyse(spark: SparkSession, path: str) -> tuple[Tables, DataFrame]:
-    """Tables and findings of the captures under a path; the findings are settled, as all reports read them."""
+def analyse(spark: SparkSession, path: str) -> tuple[CaptureTables, DataFrame]:
+    """Tables and findings of the captures under a path.  Each table that rules or reports share is written once, and so are
+    the rules' events and the findings."""
     t = tables(read_captures(spark, path), persist=True)
-    return t, settled(detect(t))
+    return t, settled(detect(t, store=written))
 
 
 def made_packets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import csv_guard, defang, risk_band, subnet
 from ..operators import patterns
-from .rules import Tables
+from .rules import Tables, rank_of
 
 
 def capture_risk(findings: DataFrame) -> DataFrame:
@@ -95,9 +95,14 @@ def misp(findings: DataFrame, indicators: DataFrame) -> DataFrame:
 
 
 def verdict(risk: DataFrame, findings: DataFrame) -> DataFrame:
-    """A sentence for each capture: its band and how many grave findings stand behind it."""
-    n = findings.groupBy("capture_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), F.count("*").alias("all"))
-    return risk.join(n, "capture_id", "left").select("capture_id", "risk", "band", F.format_string("Risk %d of 100 (%s): %d findings, %d critical and %d high.", F.col("risk"), F.col("band"), F.coalesce("all", F.lit(0)), F.coalesce("critical", F.lit(0)), F.coalesce("high", F.lit(0))).alias("verdict"))
+    """A sentence for each capture by its band; from "high" up with the number of grave findings behind it."""
+    n = findings.groupBy("capture_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
+    grave = F.format_string("%d critical and %d high findings", F.coalesce("critical", F.lit(0)), F.coalesce("high", F.lit(0)))
+    band = F.col("band")
+    said = F.when(band == "clean", "Nothing malicious was found; the traffic looks like routine.").when(band == "low", "Routine traffic with small faults; nothing says that a host is compromised.")
+    said = said.when(band == "elevated", "Suspicious traffic that an analyst should see; no single proof of a compromise.")
+    said = said.when(band == "high", F.concat(F.lit("Strong signs of malice ("), grave, F.lit("): examine the hosts named."))).otherwise(F.concat(F.lit("A compromise is likely ("), grave, F.lit("): treat the hosts named as suspect and respond to an incident.")))
+    return risk.join(n, "capture_id", "left").select("capture_id", "risk", "band", said.alias("verdict"))
 
 
 def html(t: Tables, findings: DataFrame, hosts: int = 120) -> str:
@@ -110,7 +115,7 @@ def html(t: Tables, findings: DataFrame, hosts: int = 120) -> str:
         body = "".join("<tr>" + "".join(f"<td>{escape(str('' if r[c] is None else r[c]))}</td>" for c in cols) + "</tr>" for r in df.select(*cols).limit(n).collect())
         return f"<table><tr>{head}</tr>{body}</table>"
 
-    rank = F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).when(F.col("severity") == "low", 1).otherwise(0)
+    rank = rank_of(F.col("severity"))
     parts = [
         "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Capture report</title></head><body><h1>Capture report</h1>",
         rows(verdict(capture_risk(findings), findings).orderBy("capture_id"), ["capture_id", "verdict"], 100),

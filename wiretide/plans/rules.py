@@ -8,6 +8,7 @@ report's format.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,35 +19,52 @@ from ..functions.columns import by_map, entropy, ip4_number, first_range, is_pri
 from ..operators import intervals, patterns
 
 Tables = dict[str, DataFrame]
+#: Rules as findings, and as the events that findings are folded of.
 RULES: dict[str, Callable[[Tables], DataFrame]] = {}
+EVENTS: dict[str, Callable[[Tables], DataFrame]] = {}
 MOST_EVIDENCE = 12
 MOST_HOSTS = 20
+SEVERITIES = ("info", "low", "medium", "high", "critical")
 
 
 def rule(name: str) -> Callable:
     def add(f: Callable[[Tables], DataFrame]) -> Callable:
-        RULES[name] = f
+        EVENTS[name] = f
+        RULES[name] = lambda t: folded(f(t))
         return f
 
     return add
 
 
+def rank_of(severity: Column) -> Column:
+    return F.when(severity == "critical", 4).when(severity == "high", 3).when(severity == "medium", 2).when(severity == "low", 1).otherwise(0)
+
+
 def findings(
     rows: DataFrame, name: Column | str, title: Column | str, severity: Column | str, category: str, host: Column, evidence: list[str], first: str = "ts", last: str | None = None, by: list[str] | None = None, confidence: str = "high", least: int = 1
 ) -> DataFrame:
-    """One finding for each capture (and ``by``) of its rows, with the least hosts and pieces of evidence by value; these
-    are numbered before they are collected, so no array outgrows its limit."""
+    """Events of one schema: rows that make one finding for each capture, id and title (and ``by``) if there are ``least``."""
     col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    rank = F.when(col(severity) == "critical", 4).when(col(severity) == "high", 3).when(col(severity) == "medium", 2).when(col(severity) == "low", 1).otherwise(0)
-    rows = rows.withColumns({"__id": col(name), "__title": col(title), "__rank": rank, "__host": host, "__e": F.to_json(F.struct(*evidence))})
-    keys = ["capture_id", "__id", "__title", *(by or [])]
-    total = rows.groupBy(*keys).agg(F.count("*").alias("count"), F.max("__rank").alias("__rank"), F.min(first).alias("first_seen"), F.max(last or first).alias("last_seen")).where(F.col("count") >= least)
-    some = lambda c, n: rows.where(F.col(c).isNotNull()).select(*keys, c).distinct().withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(c))).where(F.col("__r") <= n).groupBy(*keys).agg(F.array_sort(F.collect_list(c)).alias(c))
-    out = total.join(some("__host", MOST_HOSTS), keys, "left").join(some("__e", MOST_EVIDENCE), keys, "left")
-    name_of = F.element_at(F.array(*[F.lit(s) for s in ("info", "low", "medium", "high", "critical")]), F.col("__rank") + 1)
+    apart = F.to_json(F.struct(*by)) if by else F.lit("")
+    return rows.select(
+        "capture_id", col(name).alias("id"), col(title).alias("title"), apart.alias("apart"), rank_of(col(severity)).alias("rank"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(least).alias("least"),
+        host.cast("string").alias("host"), F.to_json(F.struct(*evidence)).alias("evidence"), F.col(first).cast("double").alias("first"), F.col(last or first).cast("double").alias("last"),
+    )
+
+
+def folded(events: DataFrame) -> DataFrame:
+    """Findings of events, with the least hosts and pieces of evidence by value; these are numbered before they are
+    collected, so no array outgrows its limit."""
+    keys = ["capture_id", "id", "title", "apart"]
+    total = events.groupBy(*keys).agg(
+        F.count("*").alias("count"), F.max("rank").alias("rank"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), F.min("category").alias("category"), F.min("confidence").alias("confidence"), F.max("least").alias("least")
+    ).where("count >= least")
+    some = lambda c, n: events.where(F.col(c).isNotNull()).select(*keys, c).distinct().withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(c))).where(F.col("r") <= n).groupBy(*keys).agg(F.array_sort(F.collect_list(c)).alias(c))
+    out = total.join(some("host", MOST_HOSTS), keys, "left").join(some("evidence", MOST_EVIDENCE), keys, "left")
+    none = F.array().cast("array<string>")
     return out.select(
-        "capture_id", F.col("__id").alias("id"), F.col("__title").alias("title"), name_of.alias("severity"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"),
-        F.coalesce("__host", F.array().cast("array<string>")).alias("hosts"), "count", F.col("first_seen").cast("double").alias("first_seen"), F.col("last_seen").cast("double").alias("last_seen"), F.coalesce("__e", F.array().cast("array<string>")).alias("evidence"),
+        "capture_id", "id", "title", F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("rank") + 1).alias("severity"), "category", "confidence",
+        F.coalesce("host", none).alias("hosts"), "count", "first_seen", "last_seen", F.coalesce("evidence", none).alias("evidence"),
     )
 
 
@@ -83,14 +101,16 @@ def syn_unanswered(t: Tables) -> DataFrame:
 
 
 def beacons(t: Tables) -> DataFrame:
-    """Scored periodic connections of each source, target and port."""
+    """Scored periodic connections of each source, target and port, by their connection events."""
     key = ["capture_id", "src", "dst", "dport"]
-    f = t["flows"].where(no_group_address("dst") & (F.col("first_seen") > 0)).withColumn("us", F.round(F.col("first_seen") * 1e6).cast("long"))
-    stats = intervals.interval_stats(f, key, "us")
-    sums = f.groupBy(*key).agg(F.count("*").alias("n_events"), F.avg(F.col("bytes_out") + F.col("bytes_in")).alias("mean_bytes"), F.min("first_seen").alias("ts"), F.max("last_seen").alias("end"), F.bool_or(F.col("src_private") & ~F.col("dst_private")).alias("external"))
-    rows = stats.join(sums, key)
-    rows = rows.where((F.col("n_events") >= 8) & intervals.periodic(rows))
-    return rows.withColumn("score", intervals.periodicity(F.col("n_events"), F.col("mean_bytes"), F.col("external"), F.col("cv"), F.col("mad_ratio"))).withColumn("median_s", F.round(F.col("median_us") / 1e6, 2)).where("score >= 55")
+    e = t["connection_events"].where(no_group_address("dst"))
+    stats = intervals.interval_stats(e, key, "us")
+    times = e.groupBy(*key).agg(F.count("*").alias("n_events"), (F.min("us") / 1e6).alias("ts"), (F.max("us") / 1e6).alias("end"))
+    size = t["flows"].where(F.col("protocol").isin(6, 17)).groupBy(*key).agg(F.sum(F.col("bytes_out") + F.col("bytes_in")).alias("bytes"), F.bool_or(~F.col("dst_private")).alias("external"))
+    rows = stats.join(times.where("n_events >= 8"), key).join(size, key)
+    rows = rows.where(intervals.periodic(rows))
+    score = intervals.periodicity(F.col("n_gaps"), F.col("bytes") / F.col("n_events"), F.col("external"), F.col("cv"), F.col("mad_ratio"))
+    return rows.withColumn("score", score).withColumn("median_s", F.round(F.col("median_us") / 1e6, 2)).where("score >= 55")
 
 
 @rule("c2.beacon")
@@ -193,7 +213,8 @@ def http_credentials(t: Tables) -> DataFrame:
 @rule("exfil.large_upload")
 def large_upload(t: Tables) -> DataFrame:
     f = t["flows"].where("src_private AND NOT dst_private AND bytes_out >= 5000000 AND bytes_out >= 4 * greatest(1, bytes_in)")
-    return findings(f, "exfil.large_upload", "Large upload to an outside host", F.when(F.col("bytes_out") > 100_000_000, "high").otherwise("medium"), "Data exfiltration", F.col("src"), ["src", "dst", "dport", "bytes_out", "bytes_in"], first="first_seen", last="last_seen")
+    f = f.join(f.groupBy("capture_id").agg(F.sum("bytes_out").alias("total")), "capture_id")
+    return findings(f, "exfil.large_upload", "Large upload to an outside host", F.when(F.col("total") > 100_000_000, "high").otherwise("medium"), "Data exfiltration", F.col("src"), ["src", "dst", "dport", "bytes_out", "bytes_in"], first="first_seen", last="last_seen")
 
 
 @rule("lateral.service")
@@ -475,13 +496,16 @@ def credentials_crackable(t: Tables) -> DataFrame:
 
 @rule("credentials.tokens")
 def credentials_tokens(t: Tables) -> DataFrame:
-    bearer = t["http_requests"].where(F.lower("authorization").startswith("bearer ") & ~F.col("dst_port").isin(443, 8443))
-    return findings(bearer, "credentials.tokens", "Access tokens in the clear", "medium", "Credentials", F.col("src_ip"), ["src_ip", "dst_ip", "host"])
+    bearer = t["http_requests"].where(F.lower("authorization").startswith("bearer ") & ~F.col("dst_port").isin(443, 8443)).select("capture_id", "ts", F.col("src_ip").alias("client"), F.col("dst_ip").alias("server"), F.lit("Bearer").alias("method"))
+    kept = t["credentials"].where("secret_kind = 'token'").select("capture_id", "ts", "client", "server", "method")
+    return findings(bearer.union(kept), "credentials.tokens", "Access tokens in the clear", "medium", "Credentials", F.col("client"), ["client", "server", "method"])
 
 
 @rule("voip.activity")
 def voip_activity(t: Tables) -> DataFrame:
-    return findings(t["sip"], "voip.activity", "Telephony", "info", "Telephony", F.col("src_ip"), ["method", "src_ip", "dst_ip"])
+    calls = t["sip"].select("capture_id", "ts", "method", "src_ip", "dst_ip")
+    media = t["rtp_streams"].select("capture_id", F.col("first_seen").alias("ts"), F.lit("RTP").alias("method"), "src_ip", "dst_ip")
+    return findings(calls.union(media), "voip.activity", "Telephony", "info", "Telephony", F.col("src_ip"), ["method", "src_ip", "dst_ip"])
 
 
 @rule("voip.unencrypted_media")
@@ -541,22 +565,33 @@ def truncated(t: Tables) -> DataFrame:
     return findings(i, "capture.truncated", "Packets were cut when captured", "info", "Capture", F.lit(None).cast("string"), ["truncated_packets", "packets"], first="first_ts", last="last_ts")
 
 
-def detect(t: Tables, only: list[str] | None = None) -> DataFrame:
-    """The findings of all rules (or ``only`` some), and of cheap hosting among the hosts that grave ones name."""
-    out = None
-    for name, f in RULES.items():
-        if only is None or name in only:
-            rows = f(t)
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
+@rule("capture.drops")
+def drops(t: Tables) -> DataFrame:
+    return findings(t["info"].where("drops > 0"), "capture.drops", "The capturing host dropped packets", "info", "Capture", F.lit(None).cast("string"), ["drops", "packets"], first="first_ts", last="last_ts")
+
+
+def detect(t: Tables, only: list[str] | None = None, store: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """The findings of all rules (or ``only`` some), and of cheap hosting among the hosts that grave ones name.
+
+    The rules' events are one table (which ``store`` writes once, as three aggregates read it), so all rules together have
+    the shuffles of one.
+    """
+    names = [n for n in EVENTS if only is None or n in only]
+    if not names:
         raise ValueError("no such rule")
-    return out if only is not None else out.unionByName(disposable_hosting(out))
+    store = store or (lambda df, name: df)
+    out = folded(store(reduce(DataFrame.unionByName, [EVENTS[n](t) for n in names]), "events"))
+    if only is not None:
+        return out
+    out = store(out, "raised")
+    return out.unionByName(folded(disposable_hosting(out)))
 
 
 def disposable_hosting(found: DataFrame) -> DataFrame:
-    """Hosts of critical and high findings in ranges that rent by the hour."""
-    named = found.where(F.col("severity").isin("critical", "high")).select("capture_id", F.explode("hosts").alias("ip"), F.col("first_seen").alias("ts"))
-    named = named.union(found.where(F.col("severity").isin("critical", "high")).select("capture_id", F.explode("evidence").alias("e"), "first_seen").select("capture_id", F.coalesce(F.get_json_object("e", "$.dst"), F.get_json_object("e", "$.dst_ip")), "first_seen"))
+    """Events of cheap hosting: hosts of critical and high findings in ranges that rent by the hour."""
+    grave = found.where(F.col("severity").isin("critical", "high"))
+    said = grave.select("capture_id", F.explode("evidence").alias("e"), F.col("first_seen").alias("ts")).select("capture_id", F.coalesce(F.get_json_object("e", "$.dst"), F.get_json_object("e", "$.dst_ip")).alias("ip"), "ts")
+    named = grave.select("capture_id", F.explode("hosts").alias("ip"), F.col("first_seen").alias("ts")).union(said)
     owner = first_range(ip4_number(F.col("ip")), [(c, o) for c, o, k in fixed.KNOWN_NETWORKS if k == "vps"], F.lit(None))
     hit = named.where("ip IS NOT NULL").groupBy("capture_id", "ip").agg(F.min("ts").alias("ts")).withColumn("operator", owner).where("operator IS NOT NULL")
     return findings(hit, "infra.disposable_hosting", "Suspicious host at a cheap provider", "low", "Infrastructure", F.col("ip"), ["ip", "operator"], confidence="medium")

@@ -254,11 +254,15 @@ class PcapSource(DataSource):
 
 
 def capture_info(packets: DataFrame) -> DataFrame:
-    """One row per capture: packets, bytes on the wire and captured, first and last time, cut packets."""
+    """One row per capture: packets, bytes on the wire and captured, first and last time, cut packets, and the packets that the
+    capturing host says it dropped (column ``drops`` of the packets, if they have one)."""
     from pyspark.sql import functions as F
 
+    drops = F.col("drops") if "drops" in packets.columns else F.lit(0).cast("long")
+
     return packets.groupBy("capture_id").agg(
         F.count("*").alias("packets"), F.sum("wirelen").alias("bytes_on_wire"), F.sum("caplen").alias("bytes_captured"),
         F.min(F.when(F.col("ts") != 0, F.col("ts"))).alias("first_ts"), F.max(F.when(F.col("ts") != 0, F.col("ts"))).alias("last_ts"),
         F.count_if(F.col("caplen") < F.col("wirelen")).alias("truncated_packets"), F.sort_array(F.collect_set("linktype")).alias("linktypes"),
+        F.max(drops).alias("drops"),
     )
