@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column
@@ -89,6 +90,57 @@ def ip_scope(ip: Column) -> Column:
     return F.when(ip.rlike(IP4), first_range(ip4_number(ip), list(fixed.SPECIAL_RANGES), F.lit("public")))
 
 
+IP6 = r"(?i)^(?=.*:)(?!.*::.*::)[0-9a-f:]{2,39}$"
+
+
+def ip6_digits(ip: Column) -> Column:
+    """The 32 hex digits of an IPv6 address, so that ranges compare as texts; null for other strings."""
+
+    def groups(text: Column) -> Column:
+        return F.filter(F.split(text, ":"), lambda x: x != "")
+
+    low = F.lower(ip)
+    left, right = groups(F.substring_index(low, "::", 1)), groups(F.when(low.contains("::"), F.substring_index(low, "::", -1)).otherwise(F.lit("")))
+    fill = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+    whole = F.array_join(F.transform(F.concat(left, fill, right), lambda x: F.lpad(x, 4, "0")), "")
+    return F.when(ip.rlike(IP6) & (F.length(whole) == 32), whole)
+
+
+def first_range6(digits: Column, ranges: list[tuple[str, str]], otherwise: Column) -> Column:
+    """Label of the first IPv6 range that holds the address."""
+
+    def label_of(d: Column) -> Column:
+        out = F
+        for cidr, label in ranges:
+            net = ipaddress.ip_network(cidr)
+            out = out.when(d.between(net.network_address.packed.hex(), net.broadcast_address.packed.hex()), F.lit(label))
+        return out.otherwise(otherwise)
+
+    return let(digits, label_of)
+
+
+def enriched(ip: Column) -> Column:
+    """What fixed tables say of an address: (operator, category, scope, registry, country_hint); scope is null for no address."""
+    none = F.lit(None).cast("string")
+    n, d = ip4_number(ip), ip6_digits(ip)
+    named = [(c, f"{name}|{scope}") for (c, scope), name in zip(fixed.SPECIAL_RANGES, fixed.SPECIAL_NAMES)]
+    special = F.coalesce(first_range(n, named, none), first_range6(d, [(c, f"{name}|{scope}") for c, name, scope in fixed.SPECIAL_RANGES_V6], none))
+    known = F.coalesce(first_range(n, [(c, f"{o}|{k}") for c, o, k in fixed.KNOWN_NETWORKS], none), first_range6(d, [(c, f"{o}|{k}") for c, o, k in fixed.KNOWN_NETWORKS_V6], none))
+    octet = F.floor(n / (1 << 24))
+    registry = F
+    for name, spans in fixed.REGISTRIES.items():
+        registry = registry.when(reduce(lambda a, b: a | b, [octet.between(*s) for s in spans]), F.lit(name))
+    for name, heads in fixed.REGISTRIES_V6.items():
+        registry = registry.when(F.substring(d, 1, 4).isin(*heads), F.lit(name))
+    first, second = (lambda x: F.substring_index(x, "|", 1)), (lambda x: F.substring_index(x, "|", -1))
+    valid = n.isNotNull() | d.isNotNull()
+    operator = F.coalesce(first(special), first(known))
+    return F.struct(
+        operator.alias("operator"), F.coalesce(second(special), second(known)).alias("category"), F.when(valid, F.coalesce(second(special), F.lit("public"))).alias("scope"),
+        F.when(special.isNull(), registry.otherwise(none)).alias("registry"), F.when(special.isNull(), by_map(operator, fixed.COUNTRY_HINTS)).alias("country_hint"),
+    )
+
+
 def is_private(ip: Column) -> Column:
     """Internal by its range.  IPv6: all but global unicast, documentation and transition ranges included."""
     n = ip4_number(ip)

@@ -50,6 +50,17 @@ SPECIAL_RANGES = (
     ("224.0.0.0/4", "multicast"),
     ("240.0.0.0/4", "reserved"),
 )
+#: Names of the reserved ranges above, in their order, and the reserved IPv6 ranges (range, name, purpose).
+SPECIAL_NAMES = (
+    "This network", "Private network", "Carrier-grade NAT", "Loopback", "Link-local", "Private network", "Documentation", "Private network", "Benchmark testing",
+    "Documentation", "Documentation", "Multicast", "Reserved",
+)
+SPECIAL_RANGES_V6 = (
+    ("fc00::/7", "Unique local", "private"),
+    ("fe80::/10", "Link-local", "link-local"),
+    ("ff00::/8", "Multicast", "multicast"),
+    ("2001:db8::/32", "Documentation", "documentation"),
+)
 #: IPv4 ranges that count as internal.
 PRIVATE_RANGES = (
     "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.0.170/31", "192.0.2.0/24",
@@ -117,6 +128,37 @@ KNOWN_NETWORKS = (
     ("5.188.206.0/24", "Bulletproof hosting", "suspicious"),
 )
 
+# IPv6 ranges of known operators (range, operator, category), first match wins.
+KNOWN_NETWORKS_V6 = (
+    ("2606:4700::/32", "Cloudflare", "cdn"),
+    ("2001:4860::/32", "Google", "cloud"),
+    ("2600:1f00::/24", "Amazon AWS", "cloud"),
+    ("2620:1ec::/36", "Microsoft", "cloud"),
+    ("2a03:2880::/32", "Meta", "service"),
+    ("2001:678::/29", "RIPE allocation", "registry"),
+)
+# Registries by the first number of an IPv4 address (from, to), first match wins, and by the first group of an IPv6 one.
+REGISTRIES = {
+    "ARIN": ((3, 3), (4, 4), (6, 9), (11, 24), (26, 26), (28, 30), (32, 35), (38, 38), (40, 40), (44, 45), (47, 48), (50, 50), (52, 56), (63, 76), (96, 100), (104, 108), (128, 129), (130, 132), (134, 137), (139, 140), (142, 144), (146, 148), (152, 152), (155, 162), (164, 174), (184, 184), (192, 192), (198, 199), (204, 209), (216, 216)),
+    "RIPE": ((2, 2), (5, 5), (25, 25), (31, 31), (37, 37), (46, 46), (51, 51), (57, 57), (62, 62), (77, 95), (109, 109), (141, 141), (145, 145), (149, 149), (151, 151), (176, 178), (185, 188), (193, 195), (212, 213), (217, 217)),
+    "APNIC": ((1, 1), (14, 14), (27, 27), (36, 36), (39, 39), (42, 43), (49, 49), (58, 61), (101, 103), (110, 126), (133, 133), (150, 150), (153, 153), (163, 163), (171, 171), (175, 175), (180, 183), (202, 203), (210, 211), (218, 223)),
+    "LACNIC": ((179, 179), (181, 181), (186, 191), (200, 201)),
+    "AFRINIC": ((41, 41), (102, 102), (105, 105), (154, 154), (196, 197)),
+}
+REGISTRIES_V6 = {
+    "IANA allocation": ("2001",),
+    "RIPE": ("2a00", "2a01", "2a02", "2a03", "2a04", "2a05", "2a06"),
+    "APNIC": ("2400", "2401", "2402", "2403", "2404", "2405", "2406", "2407"),
+    "ARIN": ("2600", "2601", "2602", "2603", "2604", "2605", "2606", "2607"),
+    "LACNIC": ("2800", "2801", "2802", "2803"),
+    "AFRINIC": ("2c00", "2c01"),
+}
+# Countries of the largest operators.
+COUNTRY_HINTS = {
+    "Hetzner": "DE", "OVH": "FR", "Scaleway": "FR", "Vultr": "US", "DigitalOcean": "US", "Linode": "US", "Amazon AWS": "US",
+    "Google Cloud": "US", "Microsoft Azure": "US", "Cloudflare": "US", "GitHub": "US", "Meta": "US", "Akamai": "US", "Fastly": "US",
+}
+
 # Public suffixes of two labels.
 TWO_PART_SUFFIXES = ("co.uk", "com.tr", "co.jp", "com.au", "com.br", "co.in", "org.uk", "net.tr", "gov.uk", "ac.uk", "com.cn", "edu.tr")
 

@@ -6,6 +6,8 @@ set, which an incident's owner may need to tell one password from another accoun
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,45 +21,54 @@ def _b64(value: Column) -> Column:
 
 
 def exposed(streams: DataFrame, disclose: bool = False) -> DataFrame:
-    """FTP, POP3, IMAP, SMTP, Telnet and HTTP log-ins of reassembled streams (``reassembly.streams``)."""
+    """FTP, POP3, IMAP, SMTP, Telnet and HTTP log-ins of reassembled streams (``reassembly.streams``): each that a stream
+    has, wherever it stands, once."""
     key = ["capture_id", "client", "client_port", "server", "server_port"]
-    side = lambda up, name: streams.where(F.col("to_server") if up else ~F.col("to_server")).select(*key, text(F.substring("data", 1, 65536)).alias(name), "number", F.col("first_seen").alias("ts"))
-    up, down = side(True, "said"), side(False, "answer").drop("number", "ts")
+    side = lambda up, name: streams.where(F.col("to_server") if up else ~F.col("to_server")).select(*key, text(F.col("data")).alias(name), "number", F.col("first_seen").alias("ts"))
+    up, down = side(True, "said"), side(False, "answer").drop("number", "ts").where(F.col("server_port") == 23)  # only Telnet's answers are read
     s = up.join(down, key, "left").withColumn("answer", F.coalesce("answer", F.lit("")))
     said, answer = F.col("said"), F.col("answer")
-    find = lambda p, g=1, c=said: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
+    every = lambda p, g=1: F.regexp_extract_all(said, F.lit(p), g)
     port = lambda *p: F.col("server_port").isin(*p)
+    part = lambda x, i: F.try_element_at(x, F.lit(i))
+
+    def rows(where: Column, protocol: str, method: str, found: Column, of: Callable[[Column], tuple[Column, Column]], kind: str = "password", crackable: bool = False) -> Column:
+        def one(x: Column) -> Column:
+            user, secret = of(x)
+            return F.struct(F.lit(protocol).alias("protocol"), F.lit(method).alias("method"), user.alias("username"), secret.alias("secret"), F.lit(kind).alias("secret_kind"), F.lit(crackable).alias("crackable"))
 
-    def row(where: Column, protocol: str, method: Column | str, user: Column, secret: Column, kind: str = "password", crackable: bool = False) -> Column:
-        m = method if isinstance(method, Column) else F.lit(method)
-        return F.when(where & secret.isNotNull(), F.struct(F.lit(protocol).alias("protocol"), m.alias("method"), user.alias("username"), secret.alias("secret"), F.lit(kind).alias("secret_kind"), F.lit(crackable).alias("crackable")))
+        return F.when(where, F.transform(found, one))
 
-    user_pass = (find(r"(?im)^USER ([^\r\n]+)"), find(r"(?im)^PASS ([^\r\n]+)"))
-    imap = r'(?im)^\S+ LOGIN "?([^"\s]+)"? "?([^"\r\n]+?)"?\r?$'
-    plain = F.split(_b64(find(r"(?im)^(?:\S+ )?AUTH(?:ENTICATE)? PLAIN\s+([A-Za-z0-9+/=]+)")), "\0")
-    login = r"(?is)AUTH LOGIN\r?\n([A-Za-z0-9+/=]+)\r?\n([A-Za-z0-9+/=]+)"
-    cram = F.split(_b64(find(r"(?is)AUTH CRAM-MD5\r?\n([A-Za-z0-9+/=]+)")), " ")
-    basic = F.split(_b64(find(r"(?im)^Authorization: Basic ([A-Za-z0-9+/=]+)")), ":", 2)
-    form = r"(?i)[?&\s](?:user(?:name)?|login|email)=([^&\s]+)&(?:[^\s]*&)?pass(?:word|wd)?=([^&\s]+)"
-    digest = find(r"(?im)^Authorization: Digest ([^\r\n]+)")
+    pairs = lambda p: F.arrays_zip(every(p, 1).alias("a"), every(p, 2).alias("b"))
+    both = lambda x: (x["a"], x["b"])
+    plain = lambda x: (lambda c: (part(c, 2), part(c, 3)))(F.split(_b64(x), "\0"))
+    cram = lambda x: (lambda c: (part(c, 1), part(c, 2)))(F.split(_b64(x), " "))
+    basic = lambda x: (lambda c: (part(c, 1), part(c, 2)))(F.split(_b64(x), ":", 2))
+    decoded = lambda x: tuple(F.coalesce(F.try_url_decode(x[k]), x[k]) for k in ("a", "b"))
+    digest = lambda x: (F.regexp_extract(x, 'username="([^"]*)"', 1), F.nullif(F.regexp_extract(x, 'response="([0-9a-f]{32})"', 1), F.lit("")))
+    user_pass = r"(?im)^USER ([^\r\n]+)\r?\n(?:(?!USER |PASS )[^\r\n]*\r?\n){0,8}PASS ([^\r\n]+)"
     # a terminal's keys, with what it asks kept out; backspaces would be part of the secret
     keys = F.split(F.regexp_replace(F.regexp_replace(said, "\xff[\xfb-\xfe].", ""), "\0", ""), r"\r\n?|\n")
-    found = F.array(
-        row(port(21), "FTP", "USER/PASS", *user_pass), row(port(110), "POP3", "USER/PASS", *user_pass),
-        row(port(110), "POP3", "APOP", find(r"(?im)^APOP (\S+) "), find(r"(?im)^APOP \S+ ([0-9a-f]{32})"), "hash", True),
-        row(port(143), "IMAP", "LOGIN", find(imap, 1), find(imap, 2)),
-        row(port(25, 587, 110, 143), "SMTP", "AUTH PLAIN", F.try_element_at(plain, F.lit(2)), F.try_element_at(plain, F.lit(3))),
-        row(port(25, 587), "SMTP", "AUTH LOGIN", _b64(find(login, 1)), _b64(find(login, 2))),
-        row(port(25, 587, 110, 143), "SMTP", "AUTH CRAM-MD5", F.try_element_at(cram, F.lit(1)), F.try_element_at(cram, F.lit(2)), "challenge-response", True),
-        row(port(23) & F.lower(answer).rlike("login:|password:"), "Telnet", "login", F.try_element_at(keys, F.lit(1)), F.nullif(F.try_element_at(keys, F.lit(2)), F.lit(""))),
-        row(said.rlike(r"^[A-Z]+ [^\r\n]+ HTTP/"), "HTTP", "HTTP Basic", F.try_element_at(basic, F.lit(1)), F.try_element_at(basic, F.lit(2))),
-        row(said.rlike(r"^[A-Z]+ [^\r\n]+ HTTP/"), "HTTP", "form", F.coalesce(F.try_url_decode(find(form, 1)), find(form, 1)), F.coalesce(F.try_url_decode(find(form, 2)), find(form, 2))),
-        row(said.rlike(r"^[A-Z]+ [^\r\n]+ HTTP/"), "HTTP", "HTTP Digest", find(r'username="([^"]*)"', 1, digest), find(r'response="([0-9a-f]{32})"', 1, digest), "hash", True),
-    )
-    rows = s.withColumn("c", F.explode(F.filter(found, lambda x: x.isNotNull()))).select("capture_id", "client", "server", "server_port", "number", "ts", "c.*")
+    asked = port(23) & F.lower(answer).rlike("login:|password:") & (part(keys, 2) != "")
+    http = said.rlike(r"^[A-Z]+ [^\r\n]+ HTTP/")
+    found = [
+        rows(port(21), "FTP", "USER/PASS", pairs(user_pass), both), rows(port(110), "POP3", "USER/PASS", pairs(user_pass), both),
+        rows(port(110), "POP3", "APOP", pairs(r"(?im)^APOP (\S+) ([0-9a-f]{32})"), both, "hash", True),
+        rows(port(143), "IMAP", "LOGIN", pairs(r'(?im)^\S+ LOGIN "?([^"\s]+)"? "?([^"\r\n]+?)"?\r?$'), both),
+        rows(port(25, 587, 110, 143), "SMTP", "AUTH PLAIN", every(r"(?im)^(?:\S+ )?AUTH(?:ENTICATE)? PLAIN\s+([A-Za-z0-9+/=]+)"), plain),
+        rows(port(25, 587), "SMTP", "AUTH LOGIN", pairs(r"(?is)AUTH LOGIN\r?\n([A-Za-z0-9+/=]+)\r?\n([A-Za-z0-9+/=]+)"), lambda x: (_b64(x["a"]), _b64(x["b"]))),
+        rows(port(25, 587, 110, 143), "SMTP", "AUTH CRAM-MD5", every(r"(?is)AUTH CRAM-MD5\r?\n([A-Za-z0-9+/=]+)"), cram, "challenge-response", True),
+        rows(asked, "Telnet", "login", F.array(F.struct(part(keys, 1).alias("a"), part(keys, 2).alias("b"))), both),
+        rows(http, "HTTP", "HTTP Basic", every(r"(?im)^Authorization: Basic ([A-Za-z0-9+/=]+)"), basic),
+        rows(http, "HTTP", "form", pairs(r"(?i)[?&\s](?:user(?:name)?|login|email)=([^&\s]+)&(?:[^\s]*?&)?pass(?:word|wd)?=([^&\s]+)"), decoded),
+        rows(http, "HTTP", "HTTP Digest", every(r"(?im)^Authorization: Digest ([^\r\n]+)"), digest, "hash", True),
+    ]
+    none = F.array().cast("array<struct<protocol:string,method:string,username:string,secret:string,secret_kind:string,crackable:boolean>>")
+    whole = F.array_distinct(F.filter(F.flatten(F.array(*[F.coalesce(x, none) for x in found])), lambda x: x["secret"].isNotNull()))
+    out = s.withColumn("c", F.explode(whole)).select("capture_id", "client", "server", "server_port", "number", "ts", "c.*")
     if not disclose:
-        rows = rows.withColumn("secret", F.sha2("secret", 256))
-    return rows.select(*COLUMNS)
+        out = out.withColumn("secret", F.sha2("secret", 256))
+    return out.select(*COLUMNS)
 
 
 def ntlm_exposed(ntlm: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.columns import csv_guard, defang, risk_band, subnet
-from ..operators import patterns
+from ..functions.columns import csv_guard, defang, is_private, registered_domain, risk_band, subnet
+from ..operators import patterns, reassembly
 from .rules import Tables, rank_of
 
 
@@ -32,12 +32,15 @@ def top_hosts(t: Tables, findings: DataFrame, n: int = 500) -> DataFrame:
 
 
 def graph(t: Tables, findings: DataFrame, nodes: int = 300, edges: int = 900) -> tuple[DataFrame, DataFrame]:
-    """The riskiest and busiest hosts, and the conversations between them, with sizes for drawing."""
+    """The riskiest and busiest hosts, and the conversations between them, with sizes for drawing; an edge is suspect
+    if critical or high findings name both its ends."""
     n = top_hosts(t, findings, nodes).select("capture_id", "ip", "risk", "bytes", subnet(F.col("ip")).alias("group"))
     n = n.withColumn("weight", F.round(F.pow(F.col("bytes") / F.max("bytes").over(W.partitionBy("capture_id")), F.lit(0.4)), 4))
     e = t["flows"].groupBy("capture_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum(F.col("bytes_out") + F.col("bytes_in")).alias("bytes"), F.sum("packets").alias("packets"))
-    keep = n.select("capture_id", "ip")
-    e = e.join(keep.withColumnRenamed("ip", "a"), ["capture_id", "a"], "left_semi").join(keep.withColumnRenamed("ip", "b"), ["capture_id", "b"], "left_semi")
+    grave = findings.where(F.col("severity").isin("critical", "high")).select("capture_id", F.explode("hosts").alias("ip")).distinct().withColumn("grave", F.lit(True))
+    ends = n.select("capture_id", "ip").join(grave, ["capture_id", "ip"], "left")
+    end = lambda c: ends.select("capture_id", F.col("ip").alias(c), F.coalesce("grave", F.lit(False)).alias(f"g{c}"))
+    e = e.join(end("a"), ["capture_id", "a"]).join(end("b"), ["capture_id", "b"]).withColumn("suspect", F.col("ga") & F.col("gb")).drop("ga", "gb")
     e = e.withColumn("__r", F.row_number().over(W.partitionBy("capture_id").orderBy(F.col("bytes").desc(), "a", "b"))).where(F.col("__r") <= edges).drop("__r")
     return n, e.withColumn("weight", F.round(F.pow(F.col("bytes") / F.max("bytes").over(W.partitionBy("capture_id")), F.lit(0.35)), 4))
 
@@ -49,8 +52,6 @@ def iocs(t: Tables, findings: DataFrame) -> DataFrame:
     said = grave.select("capture_id", F.explode("evidence").alias("e"))
     names = said.select("capture_id", F.explode(F.array(*[F.get_json_object("e", f"$.{k}") for k in ("domain", "host", "sni", "name", "dst", "dst_ip")])).alias("v")).where("v IS NOT NULL")
     is_ip = F.col("v").rlike(r"^\d{1,3}(\.\d{1,3}){3}$|:")
-    from ..functions.columns import is_private
-
     ips = findings.where(F.col("severity").isin("critical", "high", "medium")).select("capture_id", F.explode("hosts").alias("v")).union(names.where(is_ip))
     out = ips.where(is_ip & ~is_private(F.col("v"))).select("capture_id", F.lit("ip").alias("kind"), "v")
     out = out.union(names.where(~is_ip & F.col("v").contains(".")).select("capture_id", F.lit("domain"), "v"))
@@ -65,6 +66,17 @@ def compare(now: DataFrame, before: DataFrame) -> DataFrame:
     return patterns.compare(now, before, ["id", "title"])
 
 
+def compare_captures(now: tuple[Tables, DataFrame], before: tuple[Tables, DataFrame]) -> DataFrame:
+    """(kind, value, state) of findings, hosts and domains of two analysed captures: new, missing or common."""
+
+    def values(t: Tables, found: DataFrame) -> DataFrame:
+        names = t["dns"].select(F.explode("queries.name").alias("value"))
+        out = found.select(F.lit("finding").alias("kind"), F.concat_ws(": ", "id", "title").alias("value"))
+        return out.union(t["hosts"].select(F.lit("host"), "ip")).union(names.select(F.lit("domain"), registered_domain(F.lower("value"))))
+
+    return patterns.compare(values(*now).where("value IS NOT NULL"), values(*before).where("value IS NOT NULL"), ["kind", "value"])
+
+
 def as_csv(df: DataFrame) -> DataFrame:
     """Flat text columns that a spreadsheet shows and doesn't run."""
     flat = [F.array_join(c, "; ").alias(c) if kind.startswith("array<string") else F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes]
@@ -72,18 +84,59 @@ def as_csv(df: DataFrame) -> DataFrame:
     return rows.select(*[csv_guard(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes])
 
 
+def csv_tables(t: Tables, findings: DataFrame) -> dict[str, DataFrame]:
+    """The six tables of a report for spreadsheets: findings, hosts, flows, files, credentials, iocs."""
+    scope = F.when(F.col("is_private"), "internal").otherwise("external")
+    version = F.when(F.col("ip").contains(":"), 6).otherwise(4)
+    named = t["tls"].where("sni IS NOT NULL").groupBy("capture_id", F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"), F.col("dst_port").alias("dport")).agg(F.min("sni").alias("sni"))
+    flows = t["flows"].join(named, ["capture_id", "src", "dst", "dport"], "left")
+    hosts = t["hosts"].join(host_risks(findings), ["capture_id", "ip"], "left")
+    made = {
+        "findings": findings.select("capture_id", "severity", "confidence", "category", "title", "count", "id", F.array_join("hosts", " ").alias("hosts"), "first_seen", "last_seen"),
+        "hosts": hosts.select("capture_id", "ip", version.alias("ip_version"), F.get("macs", F.lit(0)).alias("mac"), scope.alias("scope"), (F.col("packets_sent") + F.col("packets_received")).alias("packets"), (F.col("bytes_sent") + F.col("bytes_received")).alias("bytes"), F.col("n_peers").alias("peers"), F.array_join(F.transform("ports_served", lambda p: p.cast("string")), " ").alias("ports_served"), F.coalesce("risk", F.lit(0)).alias("risk")),
+        "flows": flows.select("capture_id", F.col("src").alias("source"), F.col("dst").alias("destination"), F.col("dport").alias("port"), "protocol", "service", "packets", (F.col("bytes_out") + F.col("bytes_in")).alias("bytes"), "duration", F.coalesce("sni", F.lit("")).alias("sni")),
+        "files": t["files"].select("capture_id", F.col("name").alias("filename"), F.col("kind").alias("type"), "size", "md5", "sha256", "entropy", "source", F.col("target").alias("destination"), "protocol", F.array_join("signatures.name", " | ").alias("signatures")),
+        "credentials": t["credentials"].select("capture_id", "protocol", "method", "username", "secret", "secret_kind", "client", "server", F.col("server_port").alias("port"), "crackable"),
+        "iocs": iocs(t, findings).select("capture_id", F.col("kind").alias("type"), "value", "defanged"),
+    }
+    return {name: as_csv(df) for name, df in made.items()}
+
+
+def _uuid(*c: Column | str) -> Column:
+    """A UUID (name-based form) of columns."""
+    h = F.md5(F.concat_ws("|", *c))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+#: Techniques that rule families stand for, by their public numbers.
+TECHNIQUES = {"recon": "T1046", "c2": "T1071", "dns": "T1071.004", "exfil": "T1048", "lateral": "T1021", "tunnel": "T1572", "abuse": "T1496", "spoof": "T1557.002", "anonymity": "T1090.003", "ntlm": "T1550.002", "kerberos": "T1558", "ransomware": "T1486", "malware": "T1105", "file": "T1105", "credentials": "T1040", "cleartext": "T1040", "phishing": "T1566", "web": "T1190"}
+
+
 def stix(findings: DataFrame, indicators: DataFrame) -> DataFrame:
     """STIX 2.1 objects, one JSON text a row: an indicator for each IOC, a note for each finding."""
-    pattern = F.when(F.col("kind") == "ip", F.concat(F.lit("[ipv4-addr:value = '"), "value", F.lit("']"))).when(F.col("kind") == "domain", F.concat(F.lit("[domain-name:value = '"), "value", F.lit("']"))).when(F.col("kind") == "sha256", F.concat(F.lit("[file:hashes.'SHA-256' = '"), "value", F.lit("']"))).otherwise(F.concat(F.lit("[x-ja3:value = '"), "value", F.lit("']")))
+    value = F.regexp_replace("value", r"(['\\])", r"\\$1")
+    form = F.when(F.col("kind") == "ip", F.when(F.col("value").contains(":"), "ipv6-addr:value").otherwise("ipv4-addr:value")).when(F.col("kind") == "domain", "domain-name:value").when(F.col("kind") == "sha256", "file:hashes.'SHA-256'").otherwise("x-ja3:value")
+    pattern = F.concat(F.lit("["), form, F.lit(" = '"), value, F.lit("']"))
     score = F.when(F.col("kind") == "sha256", 70).when(F.col("kind") == "ja3", 40).otherwise(60)
+    i = indicators.select("capture_id", F.to_json(F.struct(F.lit("indicator").alias("type"), F.lit("2.1").alias("spec_version"), F.concat(F.lit("indicator--"), _uuid("kind", "value")).alias("id"), F.lit("stix").alias("pattern_type"), pattern.alias("pattern"), score.alias("confidence"))).alias("object"))
+    n = findings.select("capture_id", F.to_json(F.struct(F.lit("note").alias("type"), F.lit("2.1").alias("spec_version"), F.concat(F.lit("note--"), _uuid("capture_id", "id", "title")).alias("id"), F.col("title").alias("abstract"), F.concat_ws(" ", "severity", "category").alias("content"))).alias("object"))
+    return i.union(n)
 
-    def uuid(*c):
-        h = F.md5(F.concat_ws("|", *c))
-        return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
-    i = indicators.select("capture_id", F.to_json(F.struct(F.lit("indicator").alias("type"), F.lit("2.1").alias("spec_version"), F.concat(F.lit("indicator--"), uuid("kind", "value")).alias("id"), F.lit("stix").alias("pattern_type"), pattern.alias("pattern"), score.alias("confidence"))).alias("object"))
-    n = findings.select("capture_id", F.to_json(F.struct(F.lit("note").alias("type"), F.lit("2.1").alias("spec_version"), F.concat(F.lit("note--"), uuid("capture_id", "id", "title")).alias("id"), F.col("title").alias("abstract"), F.concat_ws(" ", "severity", "category").alias("content"))).alias("object"))
-    return i.union(n)
+def stix_bundle(findings: DataFrame, indicators: DataFrame, created: str | None = None) -> DataFrame:
+    """A STIX 2.1 bundle for each capture, one object a row: who made it, a technique for each kind of finding, indicators, notes,
+    and the report that refers to them.  The objects of a bundle are joined by whoever needs one file (``bundle`` has its id)."""
+    now = F.lit(created) if created else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    base = lambda kind, *key: [F.lit(kind).alias("type"), F.lit("2.1").alias("spec_version"), F.concat(F.lit(f"{kind}--"), _uuid(F.lit(kind), *key)).alias("id"), now.alias("created"), now.alias("modified")]
+    captures_ = findings.select("capture_id").distinct()
+    who = captures_.select("capture_id", F.to_json(F.struct(*base("identity", F.lit("wiretide")), F.lit("wiretide").alias("name"), F.lit("system").alias("identity_class"))).alias("object"))
+    used = findings.select("capture_id", F.element_at(F.create_map(*[F.lit(x) for kv in TECHNIQUES.items() for x in kv]), F.split("id", r"\.")[0]).alias("technique")).where("technique IS NOT NULL").distinct()
+    refs = F.array(F.struct(F.lit("mitre-attack").alias("source_name"), F.col("technique").alias("external_id")))
+    attack = used.select("capture_id", F.to_json(F.struct(*base("attack-pattern", "technique"), F.col("technique").alias("name"), refs.alias("external_references"))).alias("object"))
+    whole = stix(findings, indicators).union(attack).union(who)
+    listed = whole.groupBy("capture_id").agg(F.array_sort(F.collect_set(F.get_json_object("object", "$.id"))).alias("object_refs"))
+    report_ = listed.select("capture_id", F.to_json(F.struct(*base("report", "capture_id"), F.concat(F.lit("Capture "), "capture_id").alias("name"), now.alias("published"), F.array(F.lit("observed-data")).alias("report_types"), "object_refs")).alias("object"))
+    return whole.union(report_).select("capture_id", F.concat(F.lit("bundle--"), _uuid("capture_id")).alias("bundle"), "object")
 
 
 def misp(findings: DataFrame, indicators: DataFrame) -> DataFrame:
@@ -94,6 +147,20 @@ def misp(findings: DataFrame, indicators: DataFrame) -> DataFrame:
     return a.union(f.select("capture_id", F.to_json(F.struct(F.lit("comment").alias("type"), F.lit("Other").alias("category"), F.col("title").alias("value"), F.lit(False).alias("to_ids"))).alias("attribute")))
 
 
+#: MISP's threat levels (1 the highest) by band.
+THREAT_LEVELS = {"critical": "1", "high": "1", "elevated": "2", "low": "3", "clean": "4"}
+
+
+def misp_events(findings: DataFrame, risk: DataFrame) -> DataFrame:
+    """The MISP event of each capture as JSON: threat level, state of analysis and tags; its attributes are ``misp``'s rows."""
+    used = findings.select("capture_id", F.element_at(F.create_map(*[F.lit(x) for kv in TECHNIQUES.items() for x in kv]), F.split("id", r"\.")[0]).alias("technique")).where("technique IS NOT NULL")
+    tags = used.groupBy("capture_id").agg(F.array_sort(F.collect_set(F.format_string('mitre-attack-pattern:"%s"', "technique"))).alias("tags"))
+    level = F.element_at(F.create_map(*[F.lit(x) for kv in THREAT_LEVELS.items() for x in kv]), F.col("band"))
+    every = F.concat(F.array(F.format_string('wiretide:risk="%s"', "band")), F.coalesce("tags", F.array().cast("array<string>")))
+    event = F.struct(F.concat(F.lit("Capture "), "capture_id").alias("info"), level.alias("threat_level_id"), F.lit("2").alias("analysis"), F.lit("0").alias("distribution"), F.transform(every, lambda x: F.struct(x.alias("name"))).alias("Tag"))
+    return risk.join(tags, "capture_id", "left").select("capture_id", F.to_json(F.struct(event.alias("Event"))).alias("event"))
+
+
 def verdict(risk: DataFrame, findings: DataFrame) -> DataFrame:
     """A sentence for each capture by its band; from "high" up with the number of grave findings behind it."""
     n = findings.groupBy("capture_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
@@ -118,22 +185,36 @@ def html(t: Tables, findings: DataFrame, hosts: int = 120) -> str:
     rank = rank_of(F.col("severity"))
     parts = [
         "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Capture report</title></head><body><h1>Capture report</h1>",
+        *[f"<p>{escape(r.capture_id)} <meter min='0' max='100' low='25' high='50' value='{r.risk}'>{r.risk}</meter></p>" for r in capture_risk(findings).orderBy("capture_id").limit(100).collect()],
         rows(verdict(capture_risk(findings), findings).orderBy("capture_id"), ["capture_id", "verdict"], 100),
         "<h2>Findings</h2>", rows(findings.orderBy(rank.desc(), F.col("count").desc(), "id"), ["severity", "id", "title", "count", "hosts"], 500),
+        "<h2>Files</h2>", rows(t["files"].orderBy(F.size("signatures").desc(), F.col("size").desc()).withColumn("signs", F.array_join("signatures.name", ", ")), ["name", "kind", "size", "sha256", "source", "target", "signs"], 200),
+        "<h2>Credentials</h2>", rows(t["credentials"].orderBy("protocol", "username"), ["protocol", "method", "username", "secret_kind", "client", "server"], 200),
+        "<h2>Protocols</h2>", rows(t["protocol_counts"].orderBy(F.col("packets").desc(), "name"), ["name", "packets", "bytes"], 50),
         "<h2>Hosts</h2>", rows(top_hosts(t, findings, hosts).orderBy(F.col("risk").desc(), F.col("bytes").desc()), ["ip", "risk", "bytes", "n_peers"], hosts), "</body></html>",
     ]
     return "".join(parts)
 
 
-def write(t: Tables, findings: DataFrame, path: str) -> None:
-    """Findings and fact tables as Parquet by capture, findings as compressed JSON and CSV, indicators as STIX."""
+def write(t: Tables, findings: DataFrame, path: str, with_bodies: bool = False) -> None:
+    """Findings and fact tables as Parquet by capture, findings as compressed JSON, six tables as CSV, STIX and MISP objects as
+    JSON lines; with ``with_bodies`` also the carved files' contents, each once, by SHA-256."""
+    risk = capture_risk(findings)
     findings.write.mode("append").partitionBy("capture_id").parquet(f"{path}/findings")
     for name in ("hosts", "flows", "timeline"):
         t[name].write.mode("append").partitionBy("capture_id").parquet(f"{path}/{name}")
+    for name in ("profile", "files", "stream_summaries", "smb_summary", "protocol_counts"):
+        t[name].write.mode("append").parquet(f"{path}/{name}")
     findings.write.mode("append").option("compression", "gzip").json(f"{path}/json")
-    as_csv(findings).write.mode("append").option("header", True).csv(f"{path}/csv")
-    stix(findings, iocs(t, findings)).select("object").write.mode("append").text(f"{path}/stix")
-    capture_risk(findings).withColumn("created", F.current_timestamp()).write.mode("append").parquet(f"{path}/runs")
+    for name, df in csv_tables(t, findings).items():
+        df.write.mode("append").option("header", True).csv(f"{path}/csv/{name}")
+    found = iocs(t, findings)
+    stix_bundle(findings, found).select("object").write.mode("append").text(f"{path}/stix")
+    misp(findings, found).select("attribute").write.mode("append").text(f"{path}/misp/attributes")
+    misp_events(findings, risk).select("event").write.mode("append").text(f"{path}/misp/events")
+    if with_bodies:
+        reassembly.bodies(t["carved"]).write.mode("append").parquet(f"{path}/bodies")
+    risk.withColumn("created", F.current_timestamp()).write.mode("append").parquet(f"{path}/runs")
 
 
 def history(spark, path: str, n: int = 200) -> DataFrame:

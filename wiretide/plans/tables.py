@@ -241,6 +241,15 @@ def credential_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lower(F.regexp_extract("text", CRED, 1)).alias("parameter"), F.md5(F.regexp_extract("text", CRED, 2)).alias("secret_md5"))
 
 
+@query(f"""WITH m AS (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '{CRED.replace(chr(39), chr(39) * 2)}', 1), regexp_extract_all(text, '{CRED.replace(chr(39), chr(39) * 2)}', 2))) AS m FROM documents)
+SELECT doc_id, lower(m[1]) AS parameter, md5(m[2]) AS secret_md5 FROM m""")
+def credential_params_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each match of each text, not the first one only."""
+    every = lambda g: F.regexp_extract_all("text", F.lit(CRED), g)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.arrays_zip(every(1).alias("a"), every(2).alias("b"))).alias("m"))
+    return d.select("doc_id", F.lower("m.a").alias("parameter"), F.md5("m.b").alias("secret_md5"))
+
+
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, 'AKIA[A-Z0-9]{16}')) AS BIGINT) AS n_cloud, CAST(len(regexp_extract_all(text, '-----BEGIN [A-Z ]+-----')) AS BIGINT) AS n_pem, CAST(len(regexp_extract_all(text, '[0-9a-f]{32,}')) AS BIGINT) AS n_hex FROM documents")
 def exposed_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda p, a: F.regexp_count("text", F.lit(p)).cast("long").alias(a)
@@ -370,20 +379,6 @@ SEVERITY = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'h
 CONF = "CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END"
 
 
-@query(f"""WITH f AS (SELECT user_id, event_type, event_id, CASE {SEVERITY} WHEN 'critical' THEN 0.42 WHEN 'high' THEN 0.24 WHEN 'medium' THEN 0.10 WHEN 'low' THEN 0.035 ELSE 0 END AS w,
-  CASE {CONF} WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.75 ELSE 0.5 END AS c FROM events WHERE event_id % 40 = user_id % 40),
-p AS (SELECT user_id, CAST(w AS DOUBLE) * CAST(c AS DOUBLE) * pow(0.5, row_number() OVER (PARTITION BY user_id, event_type ORDER BY w DESC, event_id) - 1) AS p FROM f WHERE w > 0)
-SELECT user_id, CAST(round((1 - exp(sum(ln(1 - p)))) * 100) AS BIGINT) AS risk FROM p GROUP BY user_id""")
-def noisy_or_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "events").where("event_id % 40 = user_id % 40").select("user_id", "event_type", "event_id", F.expr(SEVERITY).alias("severity"), F.expr(CONF).alias("confidence"))
-    return patterns.risk_score(f, "user_id", "event_type", "severity", "confidence", "event_id")
-
-
-@query(f"""SELECT user_id, CAST(least(100, sum(CASE {SEVERITY} WHEN 'critical' THEN 40 WHEN 'high' THEN 20 WHEN 'medium' THEN 8 WHEN 'low' THEN 3 ELSE 0 END)) AS BIGINT) AS risk FROM events WHERE value > 60 GROUP BY user_id""")
-def host_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.host_risk(table(spark, sf_dir, "events").where("value > 60").withColumn("severity", F.expr(SEVERITY)), "user_id", "severity")
-
-
 @query(f"""WITH f AS (SELECT user_id, event_type, event_id, CASE {SEVERITY} WHEN 'critical' THEN 0.42 WHEN 'high' THEN 0.24 WHEN 'medium' THEN 0.10 WHEN 'low' THEN 0.035 ELSE 0 END AS w,
   CASE {CONF} WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.75 ELSE 0.5 END AS c FROM events),
 p AS (SELECT user_id, CAST(w AS DOUBLE) * CAST(c AS DOUBLE) * pow(0.5, row_number() OVER (PARTITION BY user_id, event_type ORDER BY w DESC, event_id) - 1) AS p FROM f WHERE w > 0),
