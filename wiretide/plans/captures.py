@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import micros
 from ..operators import credentials, facts, programs, protocols, quic, reassembly
 from ..operators.decode import decode
-from ..sources.pcap import SCHEMA, capture_info, read_captures
+from ..sources.pcap import SCHEMA, capture_info, probe, read_captures
+from ..sources.store import written
 from . import report
 from .rules import detect
 
@@ -78,22 +77,6 @@ def tables(packets: DataFrame, persist: bool = False) -> CaptureTables:
     return CaptureTables(makers, written if persist else None)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for what driver and executors share; a local one only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="wiretide-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def settled(df: DataFrame) -> DataFrame:
     return written(df, "settled")
 
@@ -102,6 +85,7 @@ def analyse(spark: SparkSession, path: str) -> tuple[CaptureTables, DataFrame]:
     """Tables and findings of the captures under a path.  Each table that rules or reports share is written once, and so are
     the rules' events and the findings."""
     t = tables(read_captures(spark, path), persist=True)
+    t.makers["info"] = lambda t: capture_info(t["decoded"]).drop("drops").join(probe(spark, path, whole=True).drop("linktypes"), "capture_id", "left")
     return t, settled(detect(t, store=written))
 
 

@@ -2,10 +2,10 @@
 
 Two ways in, one parser:
 
-* ``read_captures`` goes through Spark's ``binaryFile`` reader, so captures may lie in any store that Spark reads; a
-  file (up to 2 GB) is one task's work, many files are many tasks'.
-* the ``pcap`` data source cuts a large uncompressed file on a mounted path into byte ranges: the driver hops over record
-  headers once, and each range carries what its reader needs (byte order, interfaces, the number of its first packet).
+* ``read_captures`` lists paths and sizes; tasks look for the first record of each byte range of a large file, count what
+  begins in it, and read the ranges with the number of their first packet and the interfaces known there.  Files in stores
+  that tasks can't open come whole through Spark's ``binaryFile`` reader (2 GB at most).
+* the ``pcap`` data source reads one file on a mounted path, where the driver hops over record headers once.
 
 gzip, bzip2 and zstd captures are unpacked as they are read and are one range each.
 """
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .store import written
+
 SCHEMA = T.StructType(
     [
         T.StructField("capture_id", T.StringType()),
@@ -58,6 +60,8 @@ class State:
     linktype: int = 1
     interfaces: list = field(default_factory=list)  # (linktype, ticks per second, offset)
     number: int = 0
+    at: int = 0  # where reading stopped
+    sections: int = 0  # section heads met on the way
 
 
 def unpacked(stream: BinaryIO) -> BinaryIO:
@@ -117,7 +121,7 @@ def _interface(body: bytes, order: str) -> tuple[int, int, int]:
 
 def records(stream: BinaryIO, state: State, stop: int | None = None, at: int = 0, bodies: bool = True) -> Iterator[tuple[int, tuple]]:
     """(place, packet) of each packet that begins before ``stop``; state follows.  A cut-off end is a clean end."""
-    order = state.order
+    order, state.at = state.order, at
     while stop is None or at < stop:
         if state.kind == "pcap":
             head = stream.read(16)
@@ -130,8 +134,9 @@ def records(stream: BinaryIO, state: State, stop: int | None = None, at: int = 0
             if bodies and len(data) < cap:
                 return
             state.number += 1
-            yield at, (state.number, sec + sub / state.rate, cap, wire, state.linktype, data)
-            at += 16 + cap
+            here, at = at, at + 16 + cap
+            state.at = at
+            yield here, (state.number, sec + sub / state.rate, cap, wire, state.linktype, data)
             continue
         head = stream.read(8)
         if len(head) < 8:
@@ -142,7 +147,9 @@ def records(stream: BinaryIO, state: State, stop: int | None = None, at: int = 0
             size = struct.unpack(order + "I", head[4:])[0]
             stream.read(size - 12)
             state.interfaces = []
+            state.sections += 1
             at += size
+            state.at = at
             continue
         kind, size = struct.unpack(order + "II", head)
         if size < 12 or size % 4 or size > MOST_BYTES:
@@ -151,6 +158,7 @@ def records(stream: BinaryIO, state: State, stop: int | None = None, at: int = 0
         if len(body) < size - 8:
             return
         here, at, body = at, at + size, body[:-4]
+        state.at = at
         if kind == 1:
             state.interfaces.append(_interface(body, order))
         elif kind == 6 and len(body) >= 20:
@@ -184,16 +192,212 @@ def packets_of(content: bytes) -> Iterator[tuple]:
         yield p
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """The packets of all capture files under a path in any store that Spark reads."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+#: Stores that tasks open by themselves, to read a part of a file; files in others come whole through Spark (2 GB at most).
+OPENED = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+#: Bytes of a file that one task reads, and records that must follow each other where one begins in the middle of a file.
+SPLIT = 128 << 20
+CHAIN = 8
+LONGEST = 1 << 18
+
+
+def open_path(path: str) -> BinaryIO:
+    """A file of one of the OPENED stores, buffered."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    store, name = fs.FileSystem.from_uri(f"{OPENED[scheme]}:///{rest.lstrip('/')}" if scheme == "file" else f"{OPENED[scheme]}:{rest}")
+    return io.BufferedReader(store.open_input_file(name), 1 << 20)  # type: ignore[arg-type]
+
+
+def _is_record(data: bytes, at: int, state: State, last: int | None) -> tuple[int, int] | None:
+    """(size, seconds) of what may be a record or block at a place."""
+    if state.kind == "pcap":
+        sec, sub, cap, wire = struct.unpack_from(state.order + "IIII", data, at)
+        ok = sub < state.rate and 0 < cap <= LONGEST and cap <= wire <= LONGEST and (last is None or abs(sec - last) < 864_000)
+        return (16 + cap, sec) if ok else None
+    kind, size = struct.unpack_from(state.order + "II", data, at)
+    ok = (kind in (1, 2, 3, 4, 5, 6, 10) or kind == 0x0A0D0D0A or kind >> 31) and 12 <= size <= LONGEST and size % 4 == 0 and at + size <= len(data) and data[at + size - 4 : at + size] == data[at + 4 : at + 8]
+    return (size, 0) if ok else None
+
+
+def first_record(f: BinaryIO, start: int, state: State) -> int | None:
+    """The place of the first record at or after ``start`` from which CHAIN records follow each other; None if there is none."""
+    f.seek(start)
+    data = f.read((CHAIN + 1) * LONGEST)
+    step = 4 if state.kind == "pcapng" else 1
+    for begin in range(-start % step if step == 4 else 0, max(0, len(data) - 16), step):
+        at, last = begin, None
+        for n in range(CHAIN + 1):
+            if n == CHAIN or (n and at == len(data)):
+                return start + begin
+            if at + 16 > len(data) or (found := _is_record(data, at, state, last)) is None:
+                break
+            at, last = at + found[0], found[1]
+    return None
+
+
+def _scanned(path: str, start: int, stop: int) -> tuple:
+    """(begin, end, packets, reset, interfaces) of the records that begin in a range; begin is -1 where none is found, and
+    end where the next range has to begin.  Compressed files are one range."""
+    with open_path(path) as f:
+        head = f.read(4)
+        if head not in PCAP_MAGICS and head != SECTION:
+            return (0, -1, 0, False, []) if start == 0 else (-1, -1, 0, False, [])
+        f.seek(0)
+        state = opened(f)
+        begin = f.tell() if start == 0 else first_record(f, start, state)
+        if begin is None or begin >= stop:
+            return (-1, begin if begin is not None else -1, 0, False, [])
+        f.seek(begin)
+        order, end = state.order, begin
+        for _ in records(f, state, stop, begin, bodies=state.kind != "pcap"):
+            pass
+        end = state.at
+        return (begin, end, state.number, state.sections > 0 or state.order != order, [list(x) for x in state.interfaces])
+
+
+def _ranges(files: DataFrame, split: int) -> DataFrame:
+    """(path, begin, end, first, interfaces) of the parts that tasks read; end is -1 for a whole file.
+
+    Tasks look for the first record of each range and count those that begin in it.  Where each range ends at the place that
+    the next one found for itself, the ranges are right; a file in which they don't meet is one range.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import Window as W
+
+    kind = T.ArrayType(T.ArrayType(T.LongType()))
+    schema = T.StructType([T.StructField("path", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("start", "begin", "end", "n")], T.StructField("reset", T.BooleanType()), T.StructField("interfaces", kind)])
+    large = files.where(F.col("length") > split).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("start"), "length")
+    parts = large.select("path", "start", F.least(F.col("start") + split, F.col("length")).alias("stop"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, s, *_scanned(p, s, e)) for p, s, e in zip(*(c.to_pylist() for c in b.columns))]
+            types = [pa.string(), *[pa.int64()] * 4, pa.bool_(), pa.list_(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=schema.names)
+
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = written(parts.repartition(tasks, "path", "start").mapInArrow(scan, schema), "ranges")
+    order = W.partitionBy("path").orderBy("start")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    some = found.where("begin >= 0")
+    some = some.withColumn("next", F.lead("begin").over(order)).withColumn("meets", F.coalesce(F.col("next") == F.col("end"), F.lit(True)))
+    some = some.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("seen", F.collect_list(F.struct("reset", "interfaces")).over(before)).withColumn("right", F.min("meets").over(W.partitionBy("path")))
+    known = F.aggregate("seen", F.array().cast(kind), lambda a, x: F.when(x["reset"], x["interfaces"]).otherwise(F.concat(a, x["interfaces"])))
+    good = some.where("right").select("path", "begin", "end", "first", known.alias("interfaces"))
+    none = F.array().cast(kind)
+    whole = files.where(F.col("length") <= split).select("path").union(some.where("NOT right").select("path").distinct())
+    return good.union(whole.select("path", F.lit(0).cast("long"), F.lit(-1).cast("long"), F.lit(0).cast("long"), none))
+
+
+def _packets_between(path: str, begin: int, end: int, first: int, interfaces: list) -> Iterator[tuple]:
+    with open_path(path) as f:
+        if end < 0:
+            stream = unpacked(f)
+            state = opened(stream)
+            yield from (p for _, p in records(stream, state))
+            return
+        state = opened(f)
+        state.number = first
+        if begin > f.tell():
+            state.interfaces = [tuple(x) for x in interfaces]
+        f.seek(begin)
+        yield from (p for _, p in records(f, state, end, begin))
+
+
+def read_captures(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """The packets of all capture files under a path.
+
+    Only paths and sizes are listed; tasks read the files, of which those over ``split`` bytes in ranges.  Files in stores that
+    tasks can't open by themselves come whole through Spark.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    files = listed.select("path", "length")
+    some = files.first()
+    if some is None or some.path.partition(":")[0] not in OPENED:
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+                    yield from batches(name, packets_of(content.as_py()))
+
+        return listed.select("path", "content").mapInArrow(run, SCHEMA)
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for name, begin, end, first, interfaces in zip(*(c.to_pylist() for c in b.columns)):
+                yield from batches(name, _packets_between(name, begin, end, first, interfaces))
+
+    ranges = _ranges(files, split)
+    return ranges.repartition(max(1, min(ranges.count(), 100_000)), "path", "begin").mapInArrow(read, SCHEMA)
+
+
+#: Texts that pcapng sections and interfaces have (option number, name).
+SECTION_TEXTS = ((2, "hardware"), (3, "os"), (4, "application"))
+PROBED = "capture_id string, format string, compression string, byte_order string, snaplen long, linktypes array<long>, interfaces array<string>, hardware string, os string, application string, drops long"
+
+
+def probed(stream: BinaryIO, whole: bool) -> tuple:
+    """What a capture's head says; with ``whole`` also the drops that its statistics blocks count."""
+    head = stream.read(4)
+    stream.seek(0)
+    packed = {b"\x1f\x8b": "gzip", b"BZ": "bzip2", b"\x28\xb5": "zstd"}.get(head[:2])
+    stream = unpacked(stream)
+    first = stream.read(4)
+    if first in PCAP_MAGICS:
+        order, _ = PCAP_MAGICS[first]
+        rest = stream.read(20)
+        if len(rest) < 20:
+            raise CaptureError("truncated pcap header")
+        snap, link = struct.unpack(order + "II", rest[12:20])
+        return ("pcap", packed, "little" if order == "<" else "big", snap, [link & 0x0FFFFFFF], [], None, None, None, 0)
+    if first != SECTION:
+        raise CaptureError("not a capture file")
+    order, told, links, names, snap, drops = "<", {}, [], [], None, 0
+    kind, head = first, stream.read(4)
+    while len(head) == 4:
+        if kind == SECTION:
+            magic = stream.read(4)
+            order = "<" if magic == b"\x4d\x3c\x2b\x1a" else ">"
+            size = struct.unpack(order + "I", head)[0]
+            body = stream.read(size - 12)
+            for code, name in SECTION_TEXTS:
+                told.setdefault(name, _options(body[12:-4], order).get(code, b"").decode("utf-8", "replace") or None)
+            number = 0
+        else:
+            number, size = struct.unpack(order + "I", kind)[0], struct.unpack(order + "I", head)[0]
+            if size < 12 or size % 4 or size > MOST_BYTES:
+                raise CaptureError(f"block of {size} bytes")
+            if number in (2, 3, 6) and not whole:
+                break
+            body = stream.read(size - 8)
+        if number == 1 and len(body) >= 12:
+            links.append(struct.unpack_from(order + "H", body)[0])
+            snap = struct.unpack_from(order + "I", body, 4)[0]
+            names.append(_options(body[8:-4], order).get(2, b"").decode("utf-8", "replace"))
+        elif number == 5 and len(lost := _options(body[12:-4], order).get(5, b"")) >= 8:
+            drops += struct.unpack(order + "Q", lost[:8])[0]
+        kind, head = stream.read(4), stream.read(4)
+    return ("pcapng", packed, "little" if order == "<" else "big", snap, sorted(set(links)), names, *(told.get(n) for _, n in SECTION_TEXTS), drops)
+
+
+def probe(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """One row for each capture under a path, from its head only: format, compression, byte order, snap length, link types, names
+    of interfaces, what captured it.  With ``whole`` pcapng files are read to their end for the packets that were dropped."""
+    listed = spark.read.format("binaryFile").load(path)
+    some = listed.select("path").first()
+    local = some is not None and some.path.partition(":")[0] in OPENED
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int64()]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                yield from batches(name, packets_of(content.as_py()))
+            rows = []
+            for i, name in enumerate(b.column(0).to_pylist()):
+                with open_path(name) if local else io.BytesIO(b.column(1)[i].as_py()) as f:
+                    rows.append((name, *probed(f, whole)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in PROBED.split(", ")])
 
-    return files.mapInArrow(run, SCHEMA)
+    return listed.select("path", *([] if local else ["content"])).mapInArrow(run, PROBED)
 
 
 @dataclass
