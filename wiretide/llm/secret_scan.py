@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and long strings that dictionary-primed zstandard can't shorten.
 
-A candidate of the method is a string of 16 or more token characters with a letter and a digit, at most 64 characters
+A candidate of the method is a run of 16 or more token characters with a letter and a digit, at most 64 characters
 after a sensitive word, that no pattern has found.  Its novelty is the number of bytes that it adds to the compressed
-surroundings, with a dictionary of common identifiers: what the context or the dictionary has costs next to nothing,
+surroundings, with a dictionary of the corpus's words and of common identifiers: what the context or the dictionary has costs next to nothing,
 a random key costs most of its entropy.
 """
 
@@ -14,6 +14,7 @@ import re
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns
@@ -22,6 +23,7 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs [0-9a-f]+ that are long enough
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]")
 KINDS = ("assign", "access", "hex", "novel")
 #: Words that make their surroundings sensitive, in lower case.
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "credential", "private key", "bearer", "auth", "signature", "access key")
@@ -39,21 +41,33 @@ IDENTIFIERS = (
     "configuration environment production development documentation implementation authentication initialization"
 )
 
-_compressor: list[zstandard.ZstdCompressor] = []
+#: Most frequent words of the corpus that join the dictionary, and the most bytes of it.
+WORDS = 4096
+MOST_DICTIONARY = 64 << 10
+_compressors: dict[bytes, zstandard.ZstdCompressor] = {}
 
 
-def _size(data: bytes) -> int:
-    if not _compressor:
-        d = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def _size(data: bytes, dictionary: bytes) -> int:
+    if dictionary not in _compressors:
+        _compressors.clear()
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
-        _compressor.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
-    return len(_compressor[0].compress(data))
+        _compressors[dictionary] = zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+    return len(_compressors[dictionary].compress(data))
 
 
-def novelty(before: str, candidate: str, after: str) -> int:
-    """Compressed bytes that the candidate adds to what stands around it."""
-    around = (before + after).encode()
-    return _size(around + candidate.encode()) - _size(around)
+def novelty(before: str, candidate: str, after: str, dictionary: bytes = IDENTIFIERS.encode()) -> int:
+    """Compressed bytes that the candidate adds to what stands around it, in lower case: a name in another case is no news."""
+    around = (before + after).lower().encode()
+    return _size(around + candidate.lower().encode(), dictionary) - _size(around, dictionary)
+
+
+def corpus_dictionary(df: DataFrame, text_col: str = "text") -> bytes:
+    """The fixed identifiers after the corpus's most frequent words without digits, counted over all texts; WORDS of them at most
+    (the bound of what comes to the driver), the most frequent last, where a reference is cheapest."""
+    word = F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]{4,24}"), 0)).alias("w")
+    top = df.select(word).groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(WORDS).collect()
+    return (" ".join(r.w for r in reversed(top)) + " " + IDENTIFIERS).encode()[-MOST_DICTIONARY:]
 
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -71,7 +85,7 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def novel_spans(text: str, base: list[Span], least: int = 10, rate: float = 0.45) -> list[Span]:
+def novel_spans(text: str, base: list[Span], least: int = 10, rate: float = 0.5, dictionary: bytes = IDENTIFIERS.encode()) -> list[Span]:
     """Candidates that add ``least`` bytes and ``rate`` bytes a character."""
     low = text.encode().lower()
     if not any(w.encode() in low for w in SENSITIVE):
@@ -86,6 +100,8 @@ def novel_spans(text: str, base: list[Span], least: int = 10, rate: float = 0.45
                 break
             # a candidate is a whole run, wherever the search began or ended
             s, e = m.start(), m.end()
+            while s > 0 and RUN.match(text, s - 1):
+                s -= 1
             while e < len(text) and CANDIDATE.match(text, e - 15, e + 1):
                 e += 1
             done = e
@@ -96,7 +112,10 @@ def novel_spans(text: str, base: list[Span], least: int = 10, rate: float = 0.45
             c = text[s:e]
             if not (re.search("[0-9]", c) and re.search("[A-Za-z]", c)):
                 continue
-            new = novelty(text[max(0, s - AROUND) : s], c, text[e : e + AROUND])
+            # copies of the candidate say nothing of it: they leave its surroundings
+            wide = AROUND + len(c)
+            before, after = text[max(0, s - wide) : s].replace(c, "")[-AROUND:], text[e : e + wide].replace(c, "")[:AROUND]
+            new = novelty(before, c, after, dictionary)
             if new >= least and new >= rate * len(c):
                 out.append((s, 3, e))
     return out
@@ -106,20 +125,23 @@ def render(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, rate: float = 0.45) -> DataFrame:
+def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, rate: float = 0.5, dictionary: bytes | None = None) -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end in code points).
 
     Null and empty texts have no spans (the digest of an empty string).  Overlapping spans of different kinds all
-    count; repeated rows and null ids keep their rows; an empty table gives none; other columns are left out.
+    count; repeated rows and null ids keep their rows; an empty table gives none; other columns are left out.  Very long
+    texts are read whole.
     """
 
+    known = corpus_dictionary(df, text_col) if dictionary is None else dictionary
+
     def run(values: pa.Array) -> list[pa.Array]:
         counts, digests, spans = [], [], []
         for text in values.to_pylist():
             base = base_spans(text) if text else []
             counts.append([sum(s[1] == k for s in base) for k in range(3)])
             digests.append(hashlib.sha256(render(base).encode()).hexdigest())
-            spans.append(render(sorted(base + novel_spans(text, base, least, rate)) if text else []))
+            spans.append(render(sorted(base + novel_spans(text, base, least, rate, known)) if text else []))
         return [*(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(digests), pa.array(spans)]
 
     fields = [T.StructField("n_" + k, T.LongType()) for k in KINDS[:3]] + [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")]
