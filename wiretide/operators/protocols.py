@@ -470,7 +470,7 @@ _mqtt = parser(pa.struct([("type", pa.string()), ("client_id", pa.string()), ("u
 
 
 def mqtt(packets: DataFrame) -> DataFrame:
-    p = packets.where((F.col("protocol") == 6) & port_is(1883) & (F.octet_length("payload") >= 2))
+    p = packets.where((F.col("protocol") == 6) & port_is(1883, 8883) & (F.octet_length("payload") >= 2))
     return p.select(*WHO, _mqtt("payload").alias("m")).where("m IS NOT NULL").select(*WHO, "m.*")
 
 
