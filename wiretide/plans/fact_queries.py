@@ -215,16 +215,7 @@ hits AS ({of("recon.network_sweep", "Network sweep", 3, group("flows", "capture_
 found AS (SELECT id, title, max(rank) AS rank, count(*) AS count, least({rules.MOST_HOSTS}, count(DISTINCT host)) AS n_hosts FROM hits GROUP BY id, title)"""
 
 
-@query(f"WITH {HITS} SELECT id, title, ['info', 'low', 'medium', 'high', 'critical'][rank + 1] AS severity, count, CAST(n_hosts AS BIGINT) AS n_hosts FROM found")
-def capture_findings_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules over the packets made of events, which only sweeps and tunnels can meet."""
-    t = captures.tables(captures.made_packets(spark, sf_dir))
-    found = rules.folded(rules.EVENTS["recon.network_sweep"](t).unionByName(rules.EVENTS["dns.tunneling"](t)).unionByName(rules.EVENTS["dns.dga"](t)).unionByName(rules.EVENTS["recon.port_scan"](t)))
-    return found.select("id", "title", "severity", "count", F.size("hosts").cast("long").alias("n_hosts"))
-
-
-@query(f"""WITH {HITS}, p AS (SELECT CASE rank WHEN 4 THEN 0.42 ELSE 0.24 END AS p FROM found), r AS (SELECT CAST(round((1 - exp(sum(ln(1 - p)))) * 100) AS BIGINT) AS risk FROM p)
-SELECT 'events' AS capture_id, risk, CASE WHEN risk >= 75 THEN 'critical' WHEN risk >= 50 THEN 'high' WHEN risk >= 25 THEN 'elevated' WHEN risk >= 10 THEN 'low' ELSE 'clean' END AS band FROM r""")
-def capture_risk_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = captures.tables(captures.made_packets(spark, sf_dir))
-    return report.capture_risk(rules.detect(t, ["recon.network_sweep", "dns.tunneling", "dns.dga", "recon.port_scan"])).select("capture_id", "risk", "band")
+#: SQL for queries of whole captures that stand in ``captures``.
+FACT_SQL["capture_findings"] = f"WITH {HITS} SELECT id, title, ['info', 'low', 'medium', 'high', 'critical'][rank + 1] AS severity, count, CAST(n_hosts AS BIGINT) AS n_hosts FROM found"
+FACT_SQL["capture_risk"] = f"""WITH {HITS}, p AS (SELECT CASE rank WHEN 4 THEN 0.42 ELSE 0.24 END AS p FROM found), r AS (SELECT CAST(round((1 - exp(sum(ln(1 - p)))) * 100) AS BIGINT) AS risk FROM p)
+SELECT 'events' AS capture_id, risk, CASE WHEN risk >= 75 THEN 'critical' WHEN risk >= 50 THEN 'high' WHEN risk >= 25 THEN 'elevated' WHEN risk >= 10 THEN 'low' ELSE 'clean' END AS band FROM r"""
