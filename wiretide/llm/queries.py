@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, quality_rules, secret_scan, simhash_dedup, source_mix, suffix_dedup, token_counts, token_store
+from . import decontaminate, fill_middle, language_id, license_scan, line_dedup, quality_rules, secret_scan, simhash_dedup, source_mix, suffix_dedup, token_counts, token_store, vector_codes
 from .common import read_table
 
 
@@ -59,6 +59,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_language(read_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.fill_middle(read_table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_source_mix, op3_secret_scan, op4_suffix_dedup, op5_simhash_dedup, op6_decontaminate, op7_license_scan, op8_token_store, op9_line_dedup, op9_line_dedup_two_pages, op10_token_counts, pipeline)
+    for f in (op1_quality_rules, op2_source_mix, op3_secret_scan, op4_suffix_dedup, op5_simhash_dedup, op6_decontaminate, op7_license_scan, op8_token_store, op9_line_dedup, op9_line_dedup_two_pages, op10_token_counts, op11_vector_codes, op12_language_id, op13_fill_middle, pipeline)
 }
 
 
@@ -142,4 +156,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mix": _mix_sql(), "op4_suffix_dedup": _REPEATS_SQL, "op6_decontaminate": _DECONTAMINATE_SQL, "op9_line_dedup": _line_sql(), "op9_line_dedup_two_pages": _line_sql(" AND n >= 2")}
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Assignment and means, once a round; ``d * entries + entry`` puts the lower index first among equal distances."""
+    near = """SELECT r, part, min(d * {e} + entry) // {e} AS d, min(d * {e} + entry) % {e} AS entry FROM (
+      SELECT r, p.part, c.entry, CAST(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) AS BIGINT) AS d FROM p JOIN c{k} c ON p.part = c.part) GROUP BY r, part"""
+    steps = ""
+    for k in range(rounds):
+        steps += f"""
+a{k} AS ({near.format(e=entries, k=k)}),
+m{k} AS (SELECT part, entry, list(x ORDER BY i) AS v FROM (
+    SELECT part, entry, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM (SELECT a.part, a.entry, p.v, unnest(range(1, len(p.v) + 1)) AS i FROM a{k} a JOIN p USING (r, part)) GROUP BY part, entry, i) GROUP BY part, entry),
+c{k + 1} AS (SELECT part, entry, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m USING (part, entry)),"""
+    return f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v FROM (SELECT r, v, unnest(range({parts})) AS part FROM k)),
+c0 AS (SELECT part, r - 1 AS entry, v FROM p WHERE r <= {entries}),{steps}
+f AS ({near.format(e=entries, k=rounds)}),
+o AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN o USING (r), h
+"""
+
+
+_FILL_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT doc_id, text, u, len(u) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS h FROM d),
+r AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+x AS (SELECT doc_id, n, form, text, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM r)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM x
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": _codes_sql(), "op13_fill_middle": _FILL_SQL, "op2_source_mix": _mix_sql(), "op4_suffix_dedup": _REPEATS_SQL, "op6_decontaminate": _DECONTAMINATE_SQL, "op9_line_dedup": _line_sql(), "op9_line_dedup_two_pages": _line_sql(" AND n >= 2")}
