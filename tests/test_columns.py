@@ -36,6 +36,8 @@ def test_small_ones(spark):
     assert one(spark, C.csv_guard, "=1+1") == "'=1+1" and one(spark, C.csv_guard, "x") == "x"
     assert one(spark, lambda x: C.file_type(x.cast("binary")), "MZ\0") == "exe"
     assert one(spark, C.subnet, "10.1.2.3") == "10.1.2.0/24"
+    assert one(spark, C.subnet, "2001:db8::1") == "2001:0db8:0000:0000::/64" and one(spark, C.subnet, "fe80::1:2") == "fe80:0000:0000:0000::/64"
+    assert one(spark, C.subnet, "1:2:3:4:5:6:7:8") == "0001:0002:0003:0004::/64" and one(spark, C.subnet, "no address") == "unknown"
     assert one(spark, lambda x: C.service_name(F.lit(443), F.lit(True)), "") == "QUIC"
     assert one(spark, lambda x: C.service_name(F.lit(50000), F.lit(False)), "") == "Ephemeral"
     assert one(spark, lambda x: C.service_name(F.lit(4), F.lit(False)), "") == "TCP/4"

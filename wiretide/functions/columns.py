@@ -87,7 +87,7 @@ def first_range(number: Column, ranges: list[tuple[str, str]], otherwise: Column
 
 def ip_scope(ip: Column) -> Column:
     """Reserved purpose of an IPv4 address, else public; null if it is none."""
-    return F.when(ip.rlike(IP4), first_range(ip4_number(ip), list(fixed.SPECIAL_RANGES), F.lit("public")))
+    return F.when(ip.rlike(IP4), first_range(ip4_number(ip), [(c, scope) for c, _, scope in fixed.SPECIAL_RANGES if ":" not in c], F.lit("public")))
 
 
 IP6 = r"(?i)^(?=.*:)(?!.*::.*::)[0-9a-f:]{2,39}$"
@@ -123,8 +123,8 @@ def enriched(ip: Column) -> Column:
     """What fixed tables say of an address: (operator, category, scope, registry, country_hint); scope is null for no address."""
     none = F.lit(None).cast("string")
     n, d = ip4_number(ip), ip6_digits(ip)
-    named = [(c, f"{name}|{scope}") for (c, scope), name in zip(fixed.SPECIAL_RANGES, fixed.SPECIAL_NAMES)]
-    special = F.coalesce(first_range(n, named, none), first_range6(d, [(c, f"{name}|{scope}") for c, name, scope in fixed.SPECIAL_RANGES_V6], none))
+    named = [(c, f"{name}|{scope}") for c, name, scope in fixed.SPECIAL_RANGES]
+    special = F.coalesce(first_range(n, [x for x in named if ":" not in x[0]], none), first_range6(d, [x for x in named if ":" in x[0]], none))
     known = F.coalesce(first_range(n, [(c, f"{o}|{k}") for c, o, k in fixed.KNOWN_NETWORKS], none), first_range6(d, [(c, f"{o}|{k}") for c, o, k in fixed.KNOWN_NETWORKS_V6], none))
     octet = F.floor(n / (1 << 24))
     registry = F
@@ -151,8 +151,10 @@ def is_private(ip: Column) -> Column:
 
 
 def subnet(ip: Column) -> Column:
-    """The /24 of an IPv4 address, the first four groups of an IPv6 one."""
-    return F.when(ip.contains(":"), F.concat(F.substring_index(ip, ":", 4), F.lit("::/64"))).otherwise(F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24")))
+    """The /24 of an IPv4 address, the first four groups of an IPv6 one, written out; unknown for other strings."""
+    six = F.concat(F.regexp_replace(F.substring(ip6_digits(ip), 1, 16), "(....)(?=.)", "$1:"), F.lit("::/64"))
+    four = F.when(ip.rlike(IP4), F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24")))
+    return F.coalesce(four, six, F.lit("unknown"))
 
 
 def by_map(key: Column, table: dict) -> Column:

@@ -34,28 +34,21 @@ TOR_AUTHORITIES = (
     "171.25.193.9", "154.35.175.225", "199.58.81.140", "204.13.164.118", "66.111.2.131",
 )
 
-# Reserved IPv4 ranges that count as internal, first match wins.
+# Reserved ranges (range, name, purpose), first match wins.
 SPECIAL_RANGES = (
-    ("0.0.0.0/8", "reserved"),
-    ("10.0.0.0/8", "private"),
-    ("100.64.0.0/10", "cgnat"),
-    ("127.0.0.0/8", "loopback"),
-    ("169.254.0.0/16", "link-local"),
-    ("172.16.0.0/12", "private"),
-    ("192.0.2.0/24", "documentation"),
-    ("192.168.0.0/16", "private"),
-    ("198.18.0.0/15", "reserved"),
-    ("198.51.100.0/24", "documentation"),
-    ("203.0.113.0/24", "documentation"),
-    ("224.0.0.0/4", "multicast"),
-    ("240.0.0.0/4", "reserved"),
-)
-#: Names of the reserved ranges above, in their order, and the reserved IPv6 ranges (range, name, purpose).
-SPECIAL_NAMES = (
-    "This network", "Private network", "Carrier-grade NAT", "Loopback", "Link-local", "Private network", "Documentation", "Private network", "Benchmark testing",
-    "Documentation", "Documentation", "Multicast", "Reserved",
-)
-SPECIAL_RANGES_V6 = (
+    ("0.0.0.0/8", "This network", "reserved"),
+    ("10.0.0.0/8", "Private network", "private"),
+    ("100.64.0.0/10", "Carrier-grade NAT", "cgnat"),
+    ("127.0.0.0/8", "Loopback", "loopback"),
+    ("169.254.0.0/16", "Link-local", "link-local"),
+    ("172.16.0.0/12", "Private network", "private"),
+    ("192.0.2.0/24", "Documentation", "documentation"),
+    ("192.168.0.0/16", "Private network", "private"),
+    ("198.18.0.0/15", "Benchmark testing", "reserved"),
+    ("198.51.100.0/24", "Documentation", "documentation"),
+    ("203.0.113.0/24", "Documentation", "documentation"),
+    ("224.0.0.0/4", "Multicast", "multicast"),
+    ("240.0.0.0/4", "Reserved", "reserved"),
     ("fc00::/7", "Unique local", "private"),
     ("fe80::/10", "Link-local", "link-local"),
     ("ff00::/8", "Multicast", "multicast"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,6 @@ from . import captures, report, rules
 from .rule_queries import CAP, CLIENT, TS, case, group, of
 from .rule_queries import MADE as RULE_MADE
 from .rule_queries import TUNNEL
-from .tables import values
 
 FACT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FACT_SQL: dict[str, str] = {}
@@ -22,7 +22,7 @@ MADE: dict[str, str] = {
     "sip": f"""SELECT 'a' AS capture_id, event_id AS number, {TS} AS ts, concat('c', event_id % 700) AS call_id, event_id % 2 = 0 AS is_request, {case("user_id % 5", "INVITE", "BYE", "ACK", "CANCEL", otherwise="'INVITE'")} AS method,
   CASE WHEN event_id % 2 = 0 THEN NULL ELSE CAST({case("user_id % 4", 180, 200, 486, otherwise=100)} AS BIGINT) END AS status, concat('sip:', user_id % 9, '@x') AS from_uri, concat('sip:', user_id % 7, '@y') AS to_uri, {CLIENT} AS src_ip, concat('10.0.1.', event_id % 9) AS dst_ip,
   CASE WHEN event_id % 3 = 0 THEN {CLIENT} ELSE NULL END AS media_ip, CASE WHEN event_id % 3 = 0 THEN 10000 + event_id % 4 ELSE NULL END AS media_port, event_id % 11 = 0 AS srtp, CASE WHEN event_id % 5 = 0 THEN 'me' ELSE '' END AS auth_user FROM events""",
-    "rtp": f"SELECT 'a' AS capture_id, event_id AS number, {TS} AS ts, concat('10.0.0.', event_id % 50) AS src_ip, CAST(4000 AS BIGINT) AS src_port, '10.0.1.1' AS dst_ip, CAST(5000 AS BIGINT) AS dst_port, event_id % 50 AS ssrc, (event_id - event_id % 50) / 25 + user_id % 3 AS seq, CAST({case('event_id % 50', 0, 3, 8, 9, 18, 34, 96, 97, otherwise=0)} AS BIGINT) AS payload_type, 100 + user_id AS bytes FROM events WHERE user_id % 10 > 0",
+    "rtp": f"SELECT 'a' AS capture_id, event_id AS number, {TS} AS ts, concat('10.0.0.', event_id % 50) AS src_ip, CAST(4000 AS BIGINT) AS src_port, '10.0.1.1' AS dst_ip, CAST(5000 AS BIGINT) AS dst_port, event_id % 50 AS ssrc, (event_id - event_id % 50) / 25 + user_id % 3 AS seq, CAST({case('event_id % 50', 0, 3, 8, 9, 18, 34, 96, 97, otherwise=0)} AS BIGINT) AS payload_type, 100 + user_id AS bytes FROM events",
     "packets": f"""SELECT {CAP}, event_id AS number, {TS} AS ts, 60 + event_id % 900 AS wirelen, CASE WHEN event_id % 20 = 0 THEN NULL ELSE {CLIENT} END AS src_ip, CASE WHEN event_id % 20 = 0 THEN NULL ELSE concat('10.0.1.', event_id % 9) END AS dst_ip, CASE WHEN event_id % 20 = 0 THEN NULL ELSE CAST({case("event_id % 6", 1, 6, 17, 58, 50, otherwise=200)} AS BIGINT) END AS protocol,
   CASE WHEN event_id % 40 = 0 THEN CAST(1 AS BIGINT) ELSE NULL END AS arp_op, CASE WHEN event_id % 6 = 2 THEN CAST(CASE WHEN user_id % 5 = 0 THEN 137 ELSE 5000 END AS BIGINT) ELSE NULL END AS src_port, CAST(NULL AS BIGINT) AS dst_port, {case("event_id % 4", "VLAN", "MPLS x", "GRE", otherwise="'VLAN y'")} AS enclosing,
   CAST({case("event_id % 3", 1, 113, otherwise=101)} AS INT) AS linktype, CAST({case("event_id % 2", 2048, otherwise=34525)} AS BIGINT) AS ethertype FROM events""",
@@ -31,18 +31,18 @@ MADE: dict[str, str] = {
     "hosts": f"SELECT {CAP}, concat(CASE WHEN user_id % 3 = 0 THEN '45.77.0.' ELSE '10.0.0.' END, user_id % 50) AS ip, count(*) AS n_peers, CAST(sum(event_id) AS BIGINT) AS bytes_sent, CAST(sum(user_id) AS BIGINT) AS bytes_received, max(user_id) % 7 = 0 AS serves, user_id % 3 > 0 AS is_private FROM events GROUP BY user_id % 2, user_id % 3, user_id % 50",
     "flows": f"SELECT {CAP}, concat(CASE WHEN user_id % 3 = 0 THEN '45.77.0.' ELSE '10.0.0.' END, user_id % 50) AS src, concat('10.0.0.', event_id % 50) AS dst, event_id AS bytes_out, event_id % 7 AS bytes_in, event_id % 5 AS packets FROM events",
     "findings": f"""SELECT {CAP}, {case("event_id % 6", "c2.beacon", "dns.tunneling", "web.sqli", "tls.rare_fingerprint", "infra.ip_literal_http", otherwise="'quic.in_use'")} AS id, concat('t', user_id % 4) AS title, {case("event_id % 5", "critical", "high", "medium", "low", otherwise="'info'")} AS severity, {case("event_id % 3", "high", "medium", otherwise="'low'")} AS confidence,
-  concat(CASE WHEN user_id % 3 = 0 THEN '45.77.0.' ELSE '10.0.0.' END, user_id % 50) AS host, concat('evil', user_id % 20, '.example') AS domain, md5(CAST(user_id AS STRING)) AS ja3, event_id FROM events WHERE event_id % 400 = 7 OR event_id % 400 = 12 OR event_id % 400 = 18""",
+  concat(CASE WHEN user_id % 3 = 0 THEN '45.77.0.' ELSE '10.0.0.' END, user_id % 50) AS host, concat('evil', user_id % 20, '.example') AS domain, md5(CAST(user_id AS STRING)) AS ja3, event_id FROM events""",
 }
-BYTES = {
-    "MZ" + "x" * 40: "exe", "%PDF-1.7": "pdf", "PK\x03\x04 word/document.xml": "docx", "PK\x03\x04 META-INF/MANIFEST.MF": "jar", "PK\x03\x04 a.txt": "zip", "RIFF1234WAVEfmt": "wav", "RIFF1234WEBPVP8": "webp", "RIFF1234zzzz": "riff",
-    "plain words and more of them": "txt", "<?php echo 1; ?>": "php", "var x = function() { return 1 }": "js", "powershell -EncodedCommand AAAA": "ps1", "\x01\x02\x03\x04abc\x05\x06": "bin", "": "bin",
-}
-ADDRESSES = (
-    ("10.1.2.3", "Private network", "private", "private", None, None), ("8.8.8.8", "Google Public DNS", "dns", "public", "ARIN", None), ("176.9.1.1", "Hetzner", "vps", "public", "RIPE", "DE"), ("104.17.0.9", "Cloudflare", "cdn", "public", "ARIN", "US"),
-    ("41.1.1.1", None, None, "public", "AFRINIC", None), ("201.1.1.1", None, None, "public", "LACNIC", None), ("224.0.0.5", "Multicast", "multicast", "multicast", None, None), ("fe80::1", "Link-local", "link-local", "link-local", None, None),
-    ("2001:db8::5", "Documentation", "documentation", "documentation", None, None), ("2606:4700:10::1", "Cloudflare", "cdn", "public", "ARIN", "US"), ("2a03:2880::1", "Meta", "service", "public", "RIPE", "US"), ("2001:679::1", "RIPE allocation", "registry", "public", "IANA allocation", None),
-    ("2400::1", None, None, "public", "APNIC", None), ("not an address", None, None, None, None, None),
+#: What texts are put behind to make files of them, and heads of IPv6 addresses with their digits.
+HEADS = (
+    *(m for m, _, _ in fixed.FILE_MAGICS), *(b"PK\x03\x04 " + m.encode() for m, _, _ in fixed.ZIP_SUBTYPES), b"RIFF1234WAVEfmt", b"RIFF1234AVI ", b"RIFF1234WEBPVP8", b"<?PHP echo 1; ?>", b"var x = function() { return 1 }",
+    b"PowerShell -e AAAA", b"run -EncodedCommand AAAA", b"\x01\x02\x03\x04abc\x05\x06", b"\x01\x02\x03" * 14, b"",
 )
+NETS = (("2606:4700", "26064700"), ("2a03:2880", "2a032880"), ("2001:db8", "20010db8"), ("fe80", "fe80"), ("2001:67a", "2001067a"), ("2400", "2400"), ("fc01", "fc01"), ("2620:1ec", "262001ec"), ("2803", "2803"), ("3fff", "3fff"))
+MADE["addresses"] = f"""SELECT event_id, CASE WHEN event_id % 3 > 0 THEN concat(event_id * 37 % 256, '.', user_id * 11 % 256, '.', event_id % 256, '.', user_id % 256) WHEN event_id % 33 = 0 THEN concat('host', user_id, '.example')
+    ELSE concat({case(f"event_id % {len(NETS)}", *(n for n, _ in NETS), otherwise="''")}, '::', lower(hex(user_id % 65536)), ':', lower(hex(event_id % 65536))) END AS ip,
+  CASE WHEN event_id % 3 > 0 THEN (event_id * 37 % 256) * 16777216 + (user_id * 11 % 256) * 65536 + (event_id % 256) * 256 + user_id % 256 ELSE NULL END AS n,
+  CASE WHEN event_id % 3 > 0 OR event_id % 33 = 0 THEN NULL ELSE concat(rpad({case(f"event_id % {len(NETS)}", *(d for _, d in NETS), otherwise="''")}, 24, '0'), lpad(lower(hex(user_id % 65536)), 4, '0'), lpad(lower(hex(event_id % 65536)), 4, '0')) END AS d FROM events"""
 
 
 def made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -187,22 +187,63 @@ def report_iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.iocs({"files": rule_made(spark, sf_dir, "files")}, _findings(spark, sf_dir))
 
 
-@query(f"SELECT * FROM (VALUES {values([(i, k) for i, k in enumerate(BYTES.values())])}) t(i, kind)")
+def _hex(x: bytes | str) -> str:
+    return (x if isinstance(x, bytes) else x.encode()).hex().upper()
+
+
+def _has(where: str, what: str) -> str:
+    """SQL: whether hex digits hold a text's bytes."""
+    return f"list_contains(list_transform(range(0, len({where}) // 2), lambda i: substr({where}, 2 * i + 1, {2 * len(what)})), '{_hex(what)}')" if len(what) < 4 else f"contains({where}, '{_hex(what)}')"
+
+
+@query(f"""WITH f AS (SELECT doc_id, concat([{", ".join(f"'{_hex(h)}'" for h in HEADS)}][CAST(doc_id % {len(HEADS)} AS INT) + 1], hex(encode(coalesce(text, '')))) AS h FROM documents),
+p AS (SELECT doc_id, h, substr(h, 1, 16384) AS head, regexp_extract_all(substr(h, 1, 1024), '..') AS b FROM f),
+l AS (SELECT *, array_to_string(list_transform(b, lambda x: CASE WHEN x BETWEEN '41' AND '5A' THEN concat(CASE WHEN x < '50' THEN '6' ELSE '7' END, x[2]) ELSE x END), '') AS low, len(list_filter(b, lambda x: x IN ('09', '0A', '0D') OR x BETWEEN '20' AND '7E')) AS shown FROM p)
+SELECT doc_id, CASE WHEN starts_with(h, '{_hex(b"PK" + bytes([3, 4]))}') THEN CASE {" ".join(f"WHEN {_has('head', m)} THEN '{k}'" for m, k, _ in fixed.ZIP_SUBTYPES)} ELSE 'zip' END
+  WHEN starts_with(h, '{_hex("RIFF")}') THEN CASE substr(h, 17, 8) WHEN '{_hex("WAVE")}' THEN 'wav' WHEN '{_hex("AVI ")}' THEN 'avi' WHEN '{_hex("WEBP")}' THEN 'webp' ELSE 'riff' END
+  {" ".join(f"WHEN starts_with(h, '{_hex(m)}') THEN '{k}'" for m, k, _ in fixed.FILE_MAGICS)}
+  WHEN len(b) > 0 AND shown > 0.92 * len(b) THEN CASE WHEN {_has('low', '<?php')} THEN 'php' WHEN {_has('low', 'function')} AND {_has('low', 'var ')} THEN 'js' WHEN {_has('low', 'powershell')} OR {_has('low', '-encodedcommand')} THEN 'ps1' ELSE 'txt' END ELSE 'bin' END AS kind FROM l""")
 def fact_file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of files by their number; the expected types stand in the SQL."""
-    rows = spark.createDataFrame([(i, x.encode("latin-1")) for i, x in enumerate(BYTES)], "i int, data binary")
-    return rows.select("i", columns.identified(F.col("data")).alias("kind"))
+    """The type of a file made of each document: first bytes of some kind, then its text."""
+    heads = F.array(*[F.lit(h) for h in HEADS])
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", columns.identified(F.concat(F.element_at(heads, (F.col("doc_id") % len(HEADS)).cast("int") + 1), text)).alias("kind"))
+
 
+def _among(ranges: list[tuple[str, str]]) -> str:
+    """SQL: label of the first range that holds the number n or the digits d."""
 
-def _known(x: object) -> str:
-    return "NULL" if x is None else f"'{x}'"
+    def test(cidr: str) -> str:
+        if ":" not in cidr:
+            return "n BETWEEN {} AND {}".format(*columns.bounds(cidr))
+        net = ipaddress.ip_network(cidr)
+        return f"d BETWEEN '{net.network_address.packed.hex()}' AND '{net.broadcast_address.packed.hex()}'"
 
+    return "CASE " + " ".join(f"WHEN {test(c)} THEN '{label}'" for c, label in ranges) + " END"
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_known, r)) + ")" for r in ADDRESSES) + ") t(ip, operator, category, scope, registry, country_hint)")
+
+KNOWN = [*fixed.KNOWN_NETWORKS, *fixed.KNOWN_NETWORKS_V6]
+
+
+@query(f"""WITH m AS ({MADE['addresses']}),
+s AS (SELECT *, {_among([(c, x) for c, x, _ in fixed.SPECIAL_RANGES])} AS s1, {_among([(c, x) for c, _, x in fixed.SPECIAL_RANGES])} AS s2, {_among([(c, x) for c, x, _ in KNOWN])} AS k1, {_among([(c, x) for c, _, x in KNOWN])} AS k2 FROM m)
+SELECT event_id, ip, coalesce(s1, k1) AS operator, coalesce(s2, k2) AS category, CASE WHEN n IS NOT NULL OR d IS NOT NULL THEN coalesce(s2, 'public') END AS scope,
+  CASE WHEN s1 IS NULL THEN CASE {" ".join(f"WHEN {' OR '.join(f'n // 16777216 BETWEEN {a} AND {b}' for a, b in spans)} THEN '{r}'" for r, spans in fixed.REGISTRIES.items())}
+    {" ".join(f"WHEN substr(d, 1, 4) IN ({', '.join(repr(x) for x in heads)}) THEN '{r}'" for r, heads in fixed.REGISTRIES_V6.items())} END END AS registry,
+  CASE WHEN s1 IS NULL THEN CASE k1 {" ".join(f"WHEN '{o}' THEN '{c}'" for o, c in fixed.COUNTRY_HINTS.items())} END END AS country_hint FROM s""")
 def fact_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of addresses; what is known of them stands in the SQL."""
-    rows = spark.createDataFrame([(r[0],) for r in ADDRESSES], "ip string")
-    return rows.select("ip", columns.enriched(F.col("ip")).alias("e")).select("ip", "e.operator", "e.category", "e.scope", "e.registry", "e.country_hint")
+    """What fixed tables say of an address of either version for each event."""
+    rows = made(spark, sf_dir, "addresses").select("event_id", "ip")
+    return rows.select("event_id", "ip", columns.enriched(F.col("ip")).alias("e")).select("event_id", "ip", "e.operator", "e.category", "e.scope", "e.registry", "e.country_hint")
+
+
+@query(f"""WITH m AS ({MADE['addresses']})
+SELECT CASE WHEN d IS NOT NULL THEN concat(d[1:4], ':', d[5:8], ':', d[9:12], ':', d[13:16], '::/64') WHEN n IS NOT NULL THEN concat(array_to_string(string_split(ip, '.')[1:3], '.'), '.0/24') ELSE 'unknown' END AS subnet, count(*) AS n_events, count(DISTINCT ip) AS n_hosts FROM m GROUP BY ALL""")
+def subnet_group_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of either version by network."""
+    rows = made(spark, sf_dir, "addresses").groupBy("ip").agg(F.count("*").alias("n"))
+    return rows.groupBy(columns.subnet(F.col("ip")).alias("subnet")).agg(F.sum("n").alias("n_events"), F.count("*").alias("n_hosts"))
 
 
 # whole captures -----------------------------------------------------------------------------------------------

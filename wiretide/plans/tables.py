@@ -275,7 +275,7 @@ def _cases(ranges: list[tuple[str, str]], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN n BETWEEN {C.bounds(c)[0]} AND {C.bounds(c)[1]} THEN '{x}'" for c, x in ranges) + f" ELSE {otherwise} END"
 
 
-@query(SQL_IPS + f"SELECT doc_id, ip, {_cases(list(fixed.SPECIAL_RANGES), chr(39) + 'public' + chr(39))} AS scope FROM ips")
+@query(SQL_IPS + f"SELECT doc_id, ip, {_cases([(c, s) for c, _, s in fixed.SPECIAL_RANGES if ':' not in c], chr(39) + 'public' + chr(39))} AS scope FROM ips")
 def ip_extract_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ips(spark, sf_dir).select("doc_id", "ip", C.ip_scope(F.col("ip")).alias("scope"))
 
