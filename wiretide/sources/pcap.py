@@ -4,7 +4,7 @@ Two ways in, one parser:
 
 * ``read_captures`` lists paths and sizes; tasks look for the first record of each byte range of a large file, count what
   begins in it, and read the ranges with the number of their first packet and the interfaces known there.  Files in stores
-  that tasks can't open come whole through Spark's ``binaryFile`` reader (2 GB at most).
+  that tasks can't open come in blocks through Spark's text reader (``blocks``).
 * the ``pcap`` data source reads one file on a mounted path, where the driver hops over record headers once.
 
 gzip, bzip2 and zstd captures are unpacked as they are read and are one range each.
@@ -22,6 +22,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -62,12 +63,14 @@ class State:
     number: int = 0
     at: int = 0  # where reading stopped
     sections: int = 0  # section heads met on the way
+    rest: bytes = b""  # what stands behind the last whole record
 
 
-def unpacked(stream: BinaryIO) -> BinaryIO:
-    """The stream behind gzip, bzip2 or zstd, by its first bytes."""
-    head = stream.read(4)
-    stream.seek(0)
+def unpacked(stream: BinaryIO, head: bytes | None = None) -> BinaryIO:
+    """The stream behind gzip, bzip2 or zstd, by its first bytes (``head``, where the stream can't go back)."""
+    if head is None:
+        head = stream.read(4)
+        stream.seek(0)
     if head[:2] == b"\x1f\x8b":
         return gzip.GzipFile(fileobj=stream)  # type: ignore[return-value]
     if head[:3] == b"BZh":
@@ -114,63 +117,83 @@ def _options(body: bytes, order: str) -> dict[int, bytes]:
 def _interface(body: bytes, order: str) -> tuple[int, int, int]:
     opts = _options(body[8:], order)
     res = opts.get(9, b"\x06")[0]
-    rate = 2 ** (res & 0x7F) if res & 0x80 else 10**res
+    rate = 2 ** min(res & 0x7F, 62) if res & 0x80 else 10 ** min(res, 18)
     offset = struct.unpack(order + "q", opts[14])[0] if len(opts.get(14, b"")) == 8 else 0
     return struct.unpack_from(order + "H", body)[0], rate, offset
 
 
-def records(stream: BinaryIO, state: State, stop: int | None = None, at: int = 0, bodies: bool = True) -> Iterator[tuple[int, tuple]]:
-    """(place, packet) of each packet that begins before ``stop``; state follows.  A cut-off end is a clean end."""
-    order, state.at = state.order, at
+def items(stream: BinaryIO, state: State, stop: int | None = None, at: int = 0, bodies: bool = True) -> Iterator[tuple[int, tuple]]:
+    """(place, item) of what begins before ``stop``: ("packet", interface, seconds, ticks, length, length on the wire, data),
+    ("interface", link type, ticks per second, offset) or ("section",).  A cut-off end is a clean end, and stays in ``state.rest``."""
+    order, state.at, state.rest = state.order, at, b""
     while stop is None or at < stop:
         if state.kind == "pcap":
             head = stream.read(16)
             if len(head) < 16:
+                state.rest = head
                 return
             sec, sub, cap, wire = struct.unpack(order + "IIII", head)
             if cap > MOST_BYTES:
                 raise CaptureError(f"packet of {cap} bytes")
             data = stream.read(cap) if bodies else (stream.seek(cap, 1), b"")[1]
             if bodies and len(data) < cap:
+                state.rest = head + data
                 return
-            state.number += 1
             here, at = at, at + 16 + cap
             state.at = at
-            yield here, (state.number, sec + sub / state.rate, cap, wire, state.linktype, data)
+            yield here, ("packet", 0, sec, sub, cap, wire, data)
             continue
         head = stream.read(8)
         if len(head) < 8:
+            state.rest = head
             return
         if head[:4] == SECTION:
             magic = stream.read(4)
             order = state.order = "<" if magic == b"\x4d\x3c\x2b\x1a" else ">"
             size = struct.unpack(order + "I", head[4:])[0]
-            stream.read(size - 12)
-            state.interfaces = []
-            state.sections += 1
+            body = stream.read(size - 12)
+            if len(body) < size - 12:
+                state.rest = head + magic + body
+                return
             at += size
             state.at = at
+            yield at - size, ("section",)
             continue
         kind, size = struct.unpack(order + "II", head)
         if size < 12 or size % 4 or size > MOST_BYTES:
             raise CaptureError(f"block of {size} bytes")
         body = stream.read(size - 8)
         if len(body) < size - 8:
+            state.rest = head + body
             return
         here, at, body = at, at + size, body[:-4]
         state.at = at
         if kind == 1:
-            state.interfaces.append(_interface(body, order))
+            yield here, ("interface", *_interface(body, order))
         elif kind == 6 and len(body) >= 20:
             face, high, low, cap, wire = struct.unpack_from(order + "IIIII", body)
-            link, rate, offset = state.interfaces[face] if face < len(state.interfaces) else (1, 10**6, 0)
-            state.number += 1
-            yield here, (state.number, (high << 32 | low) / rate + offset, cap, wire, link, body[20 : 20 + cap])
+            yield here, ("packet", face, 0, min(high << 32 | low, (1 << 63) - 1), cap, wire, body[20 : 20 + cap])
         elif kind == 3 and len(body) >= 4:
             wire = struct.unpack_from(order + "I", body)[0]
-            link = state.interfaces[0][0] if state.interfaces else 1
+            yield here, ("packet", 0, 0, -1, min(wire, len(body) - 4), wire, body[4 : 4 + wire])  # has no time
+
+
+def records(stream: BinaryIO, state: State, stop: int | None = None, at: int = 0, bodies: bool = True) -> Iterator[tuple[int, tuple]]:
+    """(place, packet) of each packet that begins before ``stop``; state follows."""
+    for here, (kind, *x) in items(stream, state, stop, at, bodies):
+        if kind == "section":
+            state.interfaces = []
+            state.sections += 1
+        elif kind == "interface":
+            state.interfaces.append(tuple(x))
+        else:
+            face, sec, ticks, cap, wire, data = x
+            if state.kind == "pcap":
+                link, rate, offset = state.linktype, state.rate, 0
+            else:
+                link, rate, offset = state.interfaces[face] if face < len(state.interfaces) else (1, 10**6, 0)
             state.number += 1
-            yield here, (state.number, 0.0, min(wire, len(body) - 4), wire, link, body[4 : 4 + wire])
+            yield here, (state.number, sec + ticks // rate + ticks % rate / rate + offset if ticks >= 0 else 0.0, cap, wire, link, data)
 
 
 def batches(name: str, packets: Iterator[tuple], rows: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -192,7 +215,7 @@ def packets_of(content: bytes) -> Iterator[tuple]:
         yield p
 
 
-#: Stores that tasks open by themselves, to read a part of a file; files in others come whole through Spark (2 GB at most).
+#: Stores that tasks open by themselves, to read a part of a file; files in others come in blocks through Spark.
 OPENED = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
 #: Bytes of a file that one task reads, and records that must follow each other where one begins in the middle of a file.
 SPLIT = 128 << 20
@@ -225,11 +248,17 @@ def first_record(f: BinaryIO, start: int, state: State) -> int | None:
     f.seek(start)
     data = f.read((CHAIN + 1) * LONGEST)
     step = 4 if state.kind == "pcapng" else 1
-    for begin in range(-start % step if step == 4 else 0, max(0, len(data) - 16), step):
+    found = record_in(data, range(-start % step if step == 4 else 0, max(0, len(data) - 16), step), state)
+    return None if found is None else start + found
+
+
+def record_in(data: bytes, places: range, state: State) -> int | None:
+    """The first of ``places`` from which CHAIN records follow each other, or as many as there are up to the end of data."""
+    for begin in places:
         at, last = begin, None
         for n in range(CHAIN + 1):
             if n == CHAIN or (n and at == len(data)):
-                return start + begin
+                return begin
             if at + 16 > len(data) or (found := _is_record(data, at, state, last)) is None:
                 break
             at, last = at + found[0], found[1]
@@ -262,7 +291,6 @@ def _ranges(files: DataFrame, split: int) -> DataFrame:
     Tasks look for the first record of each range and count those that begin in it.  Where each range ends at the place that
     the next one found for itself, the ranges are right; a file in which they don't meet is one range.
     """
-    from pyspark.sql import functions as F
     from pyspark.sql import Window as W
 
     kind = T.ArrayType(T.ArrayType(T.LongType()))
@@ -309,19 +337,15 @@ def read_captures(spark: SparkSession, path: str, split: int = SPLIT) -> DataFra
     """The packets of all capture files under a path.
 
     Only paths and sizes are listed; tasks read the files, of which those over ``split`` bytes in ranges.  Files in stores that
-    tasks can't open by themselves come whole through Spark.
+    tasks can't open by themselves come in blocks through Spark's text reader.
     """
     listed = spark.read.format("binaryFile").load(path)
     files = listed.select("path", "length")
     some = files.first()
     if some is None or some.path.partition(":")[0] not in OPENED:
+        from .blocks import read_blocks
 
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in parts:
-                for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                    yield from batches(name, packets_of(content.as_py()))
-
-        return listed.select("path", "content").mapInArrow(run, SCHEMA)
+        return read_blocks(spark, path)
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -332,6 +356,8 @@ def read_captures(spark: SparkSession, path: str, split: int = SPLIT) -> DataFra
     return ranges.repartition(max(1, min(ranges.count(), 100_000)), "path", "begin").mapInArrow(read, SCHEMA)
 
 
+#: Bytes of a file that is taken whole from a store that tasks can't open.
+WHOLE_BYTES = 1 << 29
 #: Texts that pcapng sections and interfaces have (option number, name).
 SECTION_TEXTS = ((2, "hardware"), (3, "os"), (4, "application"))
 PROBED = "capture_id string, format string, compression string, byte_order string, snaplen long, linktypes array<long>, interfaces array<string>, hardware string, os string, application string, drops long"
@@ -383,10 +409,21 @@ def probed(stream: BinaryIO, whole: bool) -> tuple:
 
 def probe(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """One row for each capture under a path, from its head only: format, compression, byte order, snap length, link types, names
-    of interfaces, what captured it.  With ``whole`` pcapng files are read to their end for the packets that were dropped."""
+    of interfaces, what captured it.  With ``whole`` pcapng files are read to their end for the packets that were dropped; of
+    files over WHOLE_BYTES in a store that tasks can't open the drops stay unknown (null)."""
     listed = spark.read.format("binaryFile").load(path)
     some = listed.select("path").first()
     local = some is not None and some.path.partition(":")[0] in OPENED
+    if some is not None and not local and not listed.where(F.col("length") > WHOLE_BYTES).isEmpty():
+        from .blocks import heads
+
+        small = probe_rows(listed.where(F.col("length") <= WHOLE_BYTES).select("path", "content"), False, whole)
+        return small.union(probe_rows(heads(spark, path).where(F.col("size") > WHOLE_BYTES).select("path", "head"), False, False).withColumn("drops", F.lit(None).cast("long")))
+    return probe_rows(listed.select("path", *([] if local else ["content"])), local, whole)
+
+
+def probe_rows(files: DataFrame, local: bool, whole: bool) -> DataFrame:
+    """(path) or (path, bytes) -> what ``probe`` gives."""
     types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int64()]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +434,7 @@ def probe(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
                     rows.append((name, *probed(f, whole)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in PROBED.split(", ")])
 
-    return listed.select("path", *([] if local else ["content"])).mapInArrow(run, PROBED)
+    return files.mapInArrow(run, PROBED)
 
 
 @dataclass
@@ -460,8 +497,6 @@ class PcapSource(DataSource):
 def capture_info(packets: DataFrame) -> DataFrame:
     """One row per capture: packets, bytes on the wire and captured, first and last time, cut packets, and the packets that the
     capturing host says it dropped (column ``drops`` of the packets, if they have one)."""
-    from pyspark.sql import functions as F
-
     drops = F.col("drops") if "drops" in packets.columns else F.lit(0).cast("long")
 
     return packets.groupBy("capture_id").agg(
