@@ -28,7 +28,11 @@ def interval_stats(df: DataFrame, keys: list[str], us: str, least: int = 3) -> D
         F.min("gap").alias("min_us"), F.max("gap").alias("max_us"),
     ).where(F.col("n_gaps") >= least)
     mad = g.join(stats.select(*keys, "median_us"), keys).groupBy(*keys).agg(F.median(F.abs(F.col("gap") - F.col("median_us"))).alias("mad_us"))
-    out = stats.join(mad, keys)
+    return ratios(stats.join(mad, keys))
+
+
+def ratios(out: DataFrame) -> DataFrame:
+    """cv and mad_ratio beside the statistics that they are made of."""
     return out.withColumn("cv", F.when(F.col("mean_us") > 0, F.col("stdev_us") / F.col("mean_us")).otherwise(0.0)).withColumn(
         "mad_ratio", F.when(F.col("median_us") > 0, F.col("mad_us") / F.col("median_us")).otherwise(1.0)
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import columns as C
 from ..functions import fixed
-from ..operators import intervals, patterns
+from ..operators import intervals, patterns, spread
 
 TABLE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,6 +110,26 @@ def collapse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.collapse(events(spark, sf_dir), "user_id", "us", 12 * 3600 * 1_000_000)
 
 
+HOT = "CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END"
+SQL_HOT = SQL_STATS.replace("event_type, epoch_us", "event_type, epoch_us").replace("FROM events)", f"FROM (SELECT {HOT} AS user_id, 'x' AS event_type, ts FROM events))")
+
+
+@query(SQL_HOT + "SELECT user_id, n_gaps, mean_us, median_us, round(stdev_us, 3) AS stdev_us, mad_us, min_us, max_us FROM st")
+def interval_stats_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval statistics where one key has half of all rows."""
+    e = events(spark, sf_dir).select(F.expr(HOT).alias("user_id"), "us")
+    return spread.interval_stats(e, ["user_id"], "us").select("user_id", "n_gaps", "mean_us", "median_us", F.round("stdev_us", 3).alias("stdev_us"), "mad_us", "min_us", "max_us")
+
+
+@query(f"""
+WITH l AS (SELECT user_id, list(us ORDER BY us) AS t FROM (SELECT {HOT} AS user_id, epoch_us(ts) AS us FROM events) GROUP BY user_id),
+k AS (SELECT user_id, list_reduce(list_transform(t, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] > 1800000000 THEN list_concat(a, x) ELSE a END) AS kept FROM l)
+SELECT user_id, unnest(kept) AS us FROM k""")
+def collapse_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that are over half an hour after the last kept one, where one key has half of all rows."""
+    return spread.kept(events(spark, sf_dir).select(F.expr(HOT).alias("user_id"), "us"), ["user_id"], "us", 1_800_000_000)
+
+
 # fan-out, rates, rare values ----------------------------------------------------------------------------------
 
 
