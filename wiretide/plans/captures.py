@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
-from ..operators import credentials, facts, programs, protocols, quic, reassembly
+from ..operators import credentials, facts, long_streams, programs, protocols, quic, reassembly
 from ..operators.decode import decode
 from ..sources.pcap import SCHEMA, capture_info, probe, read_captures
 from ..sources.store import written
@@ -22,7 +22,7 @@ from .rules import detect
 #: What is written once where tables are stored: all that several rules or reports read and that costs a parser or a shuffle.
 STORED = (
     "decoded", "datagrams", "dns", "http_requests", "http_responses", "tls", "certificates", "icmp", "arp", "smb", "ntlm", "kerberos", "ics", "mqtt", "ssdp", "quic", "quic_hellos", "sip", "rtp_streams", "calls", "call_media", "wifi",
-    "hosts", "flows", "connection_events", "streams", "carved", "files", "programs", "credentials", "info",
+    "hosts", "flows", "connection_events", "streams", "long", "carved", "files", "programs", "credentials", "info",
 )
 
 
@@ -64,8 +64,9 @@ def tables(packets: DataFrame, persist: bool = False) -> CaptureTables:
         "links": lambda t: facts.links(t["decoded"]),
         "smb_names": lambda t: protocols.smb_names(t["smb"]),
         "quic_hellos": lambda t: quic.hellos(t["packets"]),
-        "carved": lambda t: reassembly.http_files(t["streams"]).unionByName(reassembly.smb_files(t["streams"], t["smb"])).unionByName(reassembly.raw_files(t["streams"])),
-        "files": lambda t: reassembly.described(t["carved"]),
+        "carved": lambda t: carved(t),
+        "long": lambda t: long_streams.long_conversations(t["streams"]),
+        "files": lambda t: reassembly.described(t["carved"]) if t["long"].isEmpty() else reassembly.described(t["carved"]).unionByName(long_streams.files(t["packets"], t["streams"], t["long"])),
         "programs": lambda t: programs.programs(t["carved"]),
         "credentials": lambda t: credentials.exposed(t["streams"]).unionByName(credentials.ntlm_exposed(t["ntlm"])),
         "stream_summaries": lambda t: reassembly.summaries(t["streams"]),
@@ -77,6 +78,16 @@ def tables(packets: DataFrame, persist: bool = False) -> CaptureTables:
     return CaptureTables(makers, written if persist else None)
 
 
+def carved(t: CaptureTables) -> DataFrame:
+    """Files of the conversations that ``streams`` holds whole; ``files`` has those of longer ones too."""
+    s, smb = t["streams"], t["smb"]
+    if not t["long"].isEmpty():
+        s = s.join(t["long"], reassembly.CONVERSATION, "left_anti")
+        one = t["long"].select("capture_id", F.col("client").alias("src_ip"), F.col("client_port").alias("src_port"), F.col("server").alias("dst_ip"), F.col("server_port").alias("dst_port"))
+        smb = smb.join(one, one.columns, "left_anti")
+    return reassembly.http_files(s).unionByName(reassembly.smb_files(s, smb)).unionByName(reassembly.raw_files(s))
+
+
 def settled(df: DataFrame) -> DataFrame:
     return written(df, "settled")
 
