@@ -106,6 +106,14 @@ def ip6_digits(ip: Column) -> Column:
     return F.when(ip.rlike(IP6) & (F.length(whole) == 32), whole)
 
 
+def ip6_prefix(digits: Column, bits: Column) -> Column:
+    """The first ``bits`` bits of an IPv6 address's digits, as a text that is equal for equal prefixes of one length."""
+    whole = F.floor(bits / 4).cast("int")
+    rest = (bits % 4).cast("int")
+    digit = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    return F.concat(F.substring(digits, F.lit(1), whole), F.when(rest > 0, F.concat(F.lit("/"), F.floor(digit / F.pow(F.lit(2), 4 - rest)).cast("string"))).otherwise(F.lit("")))
+
+
 def first_range6(digits: Column, ranges: list[tuple[str, str]], otherwise: Column) -> Column:
     """Label of the first IPv6 range that holds the address."""
 

@@ -535,6 +535,13 @@ def quic(packets: DataFrame) -> DataFrame:
 SIP_METHODS = "INVITE|ACK|BYE|CANCEL|OPTIONS|REGISTER|PRACK|SUBSCRIBE|NOTIFY|PUBLISH|INFO|REFER|MESSAGE|UPDATE"
 
 
+def digest(ending: str) -> Column:
+    """Parameters of the last digest header whose name ends so; null if there is none."""
+    said = F.nullif(F.regexp_extract("head", rf"(?is)^.*\r?\n(?:www-|proxy-)?{ending}:[ \t]*digest[ \t]+([^\r\n]*)", 1), F.lit(""))
+    of = lambda name: F.nullif(F.coalesce(F.nullif(F.regexp_extract(said, rf'(?i)(?:^|[,\s]){name}[ \t]*=[ \t]*"([^"]*)"', 1), F.lit("")), F.regexp_extract(said, rf"(?i)(?:^|[,\s]){name}[ \t]*=[ \t]*([^\s,\"]+)", 1)), F.lit(""))
+    return F.when(said.isNotNull(), F.struct(*[of(n).alias(n) for n in ("username", "realm", "nonce", "uri", "response", "algorithm")]))
+
+
 def sip(packets: DataFrame) -> DataFrame:
     """SIP messages, told by SIP/2.0 in their first line."""
     p = packets.where(F.octet_length("payload") >= 16).withColumn("head", text(F.col("payload")))
@@ -548,6 +555,7 @@ def sip(packets: DataFrame) -> DataFrame:
         F.when(~request, F.regexp_extract("head", r"^SIP/2\.0 ([0-9]{3})", 1).cast("long")).alias("status"), uri("from", "f").alias("from_uri"), uri("to", "t").alias("to_uri"), F.coalesce(header("call-id"), header("i")).alias("call_id"),
         header("user-agent").alias("user_agent"), F.regexp_extract("head", r'(?is)authorization:\s*digest.*?username="([^"]*)"', 1).alias("auth_user"), vias.alias("via_hosts"), uri("contact", "m").alias("contact"),
         F.nullif(media, F.lit("")).alias("media_ip"), F.regexp_extract("head", r"(?m)^m=audio (\d+)", 1).try_cast("long").alias("media_port"), F.col("head").contains("RTP/SAVP").alias("srtp"),
+        digest("authorization").alias("answer"), digest("authenticate").alias("challenge"),
     )
 
 

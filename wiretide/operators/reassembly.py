@@ -54,6 +54,40 @@ def datagrams(packets: DataFrame) -> DataFrame:
     return decode(frags.select(*key, "number", "ts", "frag_offset", "more", "payload").groupBy(*key).applyInArrow(join, schema))
 
 
+MOST_DATAGRAM = 65_535
+FRAGMENT_WAIT = 60.0
+
+
+def fragment_sets(packets: DataFrame) -> DataFrame:
+    """One row for each datagram that came in fragments: parts, repeated (parts that came again at their offset), overlapping (parts
+    that begin before the end of one that stands before them), bytes, and state: ``whole``, ``dropped`` (over 64 KB, or its last part
+    came over a minute before the capture's end) or ``incomplete``.  Windows only: the union of a datagram's parts is followed by
+    the largest end so far."""
+    key = ["capture_id", "src_ip", "dst_ip", "ip_id", "ip_version", "protocol"]
+    size = F.octet_length("payload").cast("long")
+    p = packets.where("is_fragment AND src_ip IS NOT NULL AND octet_length(payload) > 0").select(*key, "number", "ts", F.col("frag_offset").cast("long").alias("off"), (F.col("ip_flags").bitwiseAND(1) > 0).alias("more"), size.alias("n"))
+    p = p.withColumn("again", F.row_number().over(W.partitionBy(*key, "off").orderBy("number")) > 1)
+    end = F.when(~F.col("again"), F.col("off") + F.col("n"))
+    before = F.coalesce(F.max(end).over(W.partitionBy(*key).orderBy("off", "number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    p = p.withColumn("upto", before)
+    fresh = ~F.col("again")
+    sets = p.groupBy(*key).agg(
+        F.count_if(fresh).alias("parts"), F.count_if("again").alias("repeated"), F.count_if(fresh & (F.col("off") < F.col("upto"))).alias("overlapping"), F.sum(F.when(fresh, F.col("n"))).alias("bytes"), F.count_if(fresh & (F.col("off") > F.col("upto"))).alias("holes"),
+        F.max(F.when(~F.col("more"), F.col("off") + F.col("n"))).alias("total"), F.max(F.col("off") + F.col("n")).alias("upto"), F.max("ts").alias("last_ts"),
+    )
+    last = packets.groupBy("capture_id").agg(F.max("ts").alias("end_ts"))
+    large = F.col("bytes") > MOST_DATAGRAM
+    whole = (F.col("holes") == 0) & F.col("total").isNotNull() & (F.col("upto") >= F.col("total")) & (F.col("parts") > 1) & ~large
+    late = F.col("end_ts") - F.col("last_ts") > FRAGMENT_WAIT
+    return sets.join(last, "capture_id").select(*key, "parts", "repeated", "overlapping", "bytes", F.when(whole, "whole").when(large | late, "dropped").otherwise("incomplete").alias("state"))
+
+
+def fragment_stats(packets: DataFrame) -> DataFrame:
+    """Per capture: datagrams reassembled, incomplete and dropped, and the fragments that overlap or came again."""
+    n = lambda s: F.count_if(F.col("state") == s)
+    return fragment_sets(packets).groupBy("capture_id").agg(n("whole").alias("datagrams_reassembled"), n("incomplete").alias("fragment_sets_incomplete"), n("dropped").alias("fragment_sets_dropped"), F.sum(F.col("repeated") + F.col("overlapping")).alias("overlapping_fragments"))
+
+
 def streams(packets: DataFrame, most: int = MOST_STREAM, most_hole: int = MOST_HOLE) -> DataFrame:
     """Bytes of each direction of each TCP conversation: client, server, ports, to_server, data, missing, lost, repeated, reset.
 

@@ -1,7 +1,8 @@
 """Blocklists: from feed files to verdicts and scores.
 
 A feeds table has name, kind (ip, domain or url), parser (lines or cidr), severity and path; its text files are read by Spark.
-Ranges are spread over the first octets that they touch, so addresses meet them in an equality join at any size of list.
+Ranges are spread over the first octets that they touch, so addresses meet them in an equality join at any size of list.  IPv6
+addresses and ranges meet by prefix length and prefix, for the lengths that the feeds have.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_map, ip4_number, is_private, url_host
+from ..functions.columns import by_map, ip4_number, ip6_digits, ip6_prefix, is_private, url_host
 from .patterns import domain_matches
 
 # Points of a listing by severity, and of what is known of an address.
@@ -29,21 +30,43 @@ def read_feed(spark: SparkSession, path: str, name: str, kind: str, parser: str,
         base, bits = F.split(entry, "/")[0], F.coalesce(F.try_element_at(F.split(entry, "/"), F.lit(2)).try_cast("int"), F.lit(32))
         size = F.pow(F.lit(2), 32 - bits).cast("long")
         lo = ip4_number(base) - F.pmod(ip4_number(base), size)
-        out = rows.select(entry.alias("v"), lo.alias("lo"), (lo + size - 1).alias("hi")).where("lo IS NOT NULL")
+        six = F.lower(base).contains(":") & _six(F.lower(entry))["digits"].isNotNull()
+        out = rows.select(F.when(six, F.lower(entry)).otherwise(entry).alias("v"), lo.alias("lo"), (lo + size - 1).alias("hi"), six.alias("six")).where("lo IS NOT NULL OR six").drop("six")
     else:
         value = {"ip": F.when(ip4_number(first).isNotNull() | first.contains(":"), first), "url": F.coalesce(F.nullif(url_host(line), F.lit("")), F.lower(F.regexp_extract(line, r"^([^/:?#\s]+\.[^/:?#\s]+)", 1))), "domain": F.when(first.contains("."), F.regexp_replace(first, r"^[*.]+", ""))}[kind]
         out = rows.select(value.alias("v"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")).where("v IS NOT NULL AND v <> ''")
     return out.distinct().select(F.lit(name).alias("feed"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.col("v").alias("value"), "lo", "hi")
 
 
+def _six(value: Column) -> Column:
+    """Digits and prefix length of an IPv6 address or range; both null for other texts."""
+    base, tail = F.split(value, "/")[0], F.try_element_at(F.split(value, "/"), F.lit(2))
+    bits = F.when(value.contains("/"), tail.try_cast("int")).otherwise(F.lit(128))
+    ok = ip6_digits(base).isNotNull() & bits.between(0, 128)
+    return F.struct(F.when(ok, ip6_digits(base)).alias("digits"), F.when(ok, bits).alias("bits"))
+
+
+def _within6(a: DataFrame, feeds: DataFrame) -> DataFrame:
+    """(ip, feed, severity, detail) of IPv6 addresses: one equality join by length and prefix, an address having a row for each of
+    the 129 lengths at most that some feed has."""
+    nets = feeds.where(F.col("kind") == "ip").where(F.col("value").contains(":")).select("feed", "severity", "value", _six(F.lower("value")).alias("n")).where("n.bits IS NOT NULL")
+    nets = nets.select("feed", "severity", "value", F.col("n.bits").alias("bits"), ip6_prefix(F.col("n.digits"), F.col("n.bits")).alias("prefix"))
+    lengths = nets.groupBy().agg(F.collect_set("bits").alias("lengths"))
+    six = a.withColumn("digits", ip6_digits(F.col("ip"))).where("digits IS NOT NULL").crossJoin(F.broadcast(lengths)).withColumn("bits", F.explode("lengths"))
+    hits = six.select("ip", "bits", ip6_prefix(F.col("digits"), F.col("bits")).alias("prefix")).join(nets, ["bits", "prefix"])
+    # of the ranges of a feed that hold an address, the narrowest; the address itself is listed
+    best = hits.groupBy("ip", "feed", "severity").agg(F.max_by("value", F.struct("bits", "value")).alias("value"), F.max("bits").alias("bits"))
+    return best.select("ip", "feed", "severity", F.when(F.col("bits") == 128, "listed").otherwise(F.concat(F.lit("within "), "value")).alias("detail"))
+
+
 def check_ips(ips: DataFrame, feeds: DataFrame, ip: str = "ip") -> DataFrame:
     """(ip, feed, severity, detail) of outside addresses that are listed or lie in a listed range."""
     a = ips.select(F.lower(ip).alias("ip")).distinct().where(~is_private(F.col("ip")))
-    exact = a.join(feeds.where("kind = 'ip' AND lo IS NULL").select("feed", "severity", F.col("value").alias("ip")), "ip").select("ip", "feed", "severity", F.lit("listed").alias("detail"))
+    exact = a.join(feeds.where("kind = 'ip' AND lo IS NULL AND NOT contains(value, ':')").select("feed", "severity", F.col("value").alias("ip")), "ip").select("ip", "feed", "severity", F.lit("listed").alias("detail"))
     spread = feeds.where("lo IS NOT NULL").withColumn("octet", F.explode(F.sequence(F.shiftright("lo", 24), F.shiftright("hi", 24))))
     n = a.withColumn("n", ip4_number(F.col("ip"))).where("n IS NOT NULL").withColumn("octet", F.shiftright("n", 24))
     within = n.join(spread, "octet").where("n BETWEEN lo AND hi").groupBy("ip", "feed", "severity").agg(F.concat(F.lit("within "), F.min("value")).alias("detail"))
-    return exact.union(within.select("ip", "feed", "severity", "detail"))
+    return exact.union(within.select("ip", "feed", "severity", "detail")).union(_within6(a, feeds))
 
 
 def check_domains(names: DataFrame, feeds: DataFrame, name: str = "domain") -> DataFrame:

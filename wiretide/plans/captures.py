@@ -15,7 +15,7 @@ from ..operators import credentials, facts, long_streams, programs, protocols, q
 from ..operators.decode import decode
 from ..sources.pcap import SCHEMA, capture_info, probe, read_captures
 from ..sources.store import written
-from . import report
+from . import report, rules
 from .rules import detect
 
 
@@ -68,7 +68,9 @@ def tables(packets: DataFrame, persist: bool = False) -> CaptureTables:
         "long": lambda t: long_streams.long_conversations(t["streams"]),
         "files": lambda t: reassembly.described(t["carved"]) if t["long"].isEmpty() else reassembly.described(t["carved"]).unionByName(long_streams.files(t["packets"], t["streams"], t["long"])),
         "programs": lambda t: programs.programs(t["carved"]),
-        "credentials": lambda t: credentials.exposed(t["streams"]).unionByName(credentials.ntlm_exposed(t["ntlm"])),
+        "credentials": lambda t: credentials.exposed(t["streams"]).unionByName(credentials.ntlm_exposed(t["ntlm"])).unionByName(credentials.sip_exposed(t["sip"])),
+        "fragment_stats": lambda t: reassembly.fragment_stats(t["decoded"]),
+        "web_evidence": lambda t: rules.web_evidence(t),
         "stream_summaries": lambda t: reassembly.summaries(t["streams"]),
         "profile": lambda t: facts.profile(t),
         "smb_summary": lambda t: facts.smb_summary(t["smb"]),

@@ -246,6 +246,22 @@ def subnet_group_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(columns.subnet(F.col("ip")).alias("subnet")).agg(F.sum("n").alias("n_events"), F.count("*").alias("n_hosts"))
 
 
+_SEEN = "concat_ws(' ', uri, body, concat_ws(' ', user_agent, referer, cookie))"
+
+
+@query(f"""WITH r AS (SELECT *, {_SEEN} AS seen FROM ({RULE_MADE['http_requests'].replace('AS STRING', 'AS VARCHAR')})), a AS (SELECT capture_id, number - 1 AS number, status FROM ({RULE_MADE['http_responses']})),
+h AS ({" UNION ALL ".join(f"SELECT r.*, $${title}$$ AS title, $${kind}$$ AS kind, {w} AS weight, regexp_extract(seen, $${p}$$, 0) AS m FROM r WHERE regexp_matches(seen, $${p}$$)" for title, kind, w, p in fixed.WEB_PATTERNS)}),
+p AS (SELECT *, strpos(seen, m) AS pos FROM h)
+SELECT p.capture_id, p.number, title, kind, CAST(weight AS INT) AS weight, left(m, 200) AS matched, CASE WHEN contains(uri, m) THEN 'URI' WHEN contains(body, m) THEN 'request body' ELSE 'header' END AS location,
+  substr(seen, greatest(pos - 60, 1), pos + len(m) + 60 - greatest(pos - 60, 1)) AS context, status FROM p LEFT JOIN a ON a.capture_id = p.capture_id AND a.number = p.number""")
+def web_attack_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What matched in each request, with what stands around it and where."""
+    from .rule_queries import made as rule_made
+
+    t = {n: rule_made(spark, sf_dir, n) for n in ("http_requests", "http_responses")}
+    return rules.web_evidence(t).select("capture_id", "number", "title", "kind", "weight", "matched", "location", "context", "status")
+
+
 # whole captures -----------------------------------------------------------------------------------------------
 
 _NAME = f"concat({captures._LABEL}, '.user', user_id % 7, '.example.com')"

@@ -177,6 +177,24 @@ def web_attacks(t: Tables) -> DataFrame:
     return findings(r, F.concat(F.lit("web."), kind), F.col("hit"), F.when(weight >= 50, "critical").when(weight >= 40, "high").otherwise("medium"), "Web attack", F.col("src_ip"), ["number", "src_ip", "dst_ip", "host", "uri", "status"])
 
 
+def web_evidence(t: Tables, around: int = 60) -> DataFrame:
+    """Each pattern that a request meets: the text that matched (200 characters), ``around`` characters on both sides of it, where it
+    stands (URI, request body or header), all after URL decoding, and the answer's status."""
+    r = t["http_requests"]
+    part = lambda *c: url_decoded(F.concat_ws(" ", *c))
+    r = r.withColumns({"in_uri": part("uri"), "in_body": part("body"), "seen": F.concat_ws(" ", part("uri"), part("body"), part("user_agent", "referer", "cookie"))})
+    every = [F.struct(F.lit(title).alias("title"), F.lit(kind).alias("kind"), F.lit(w).alias("weight"), F.regexp_extract("seen", p, 0).alias("matched"), F.regexp_instr("seen", F.lit(p)).alias("at")) for title, kind, w, p in fixed.WEB_PATTERNS]
+    hits = F.array(*[F.when(F.col("seen").rlike(p), s) for s, (_, _, _, p) in zip(every, fixed.WEB_PATTERNS)])
+    r = r.withColumn("h", F.explode(F.filter(hits, lambda x: x.isNotNull())))
+    answer = t["http_responses"].select("capture_id", (F.col("number") - 1).alias("number"), "status")
+    first = F.greatest(F.col("h.at") - around, F.lit(1))
+    place = F.when(F.instr("in_uri", F.col("h.matched")) > 0, "URI").when(F.instr("in_body", F.col("h.matched")) > 0, "request body").otherwise("header")
+    return r.join(answer, ["capture_id", "number"], "left").select(
+        "capture_id", "number", "ts", "src_ip", "dst_ip", "method", "host", F.substring("uri", 1, 200).alias("uri"), "h.title", "h.kind", "h.weight", F.substring("h.matched", 1, 200).alias("matched"), place.alias("location"),
+        F.substring("seen", first, F.col("h.at") + F.length("h.matched") + around - first).alias("context"), "status",
+    )
+
+
 @rule("web.scanner")
 def web_scanner(t: Tables) -> DataFrame:
     return findings(t["http_requests"].where(F.col("user_agent").rlike(fixed.SCANNER_AGENTS)), "web.scanner", "Scanner's user agent", "high", "Web attack", F.col("src_ip"), ["src_ip", "dst_ip", "user_agent"])
