@@ -161,6 +161,58 @@ def misp_events(findings: DataFrame, risk: DataFrame) -> DataFrame:
     return risk.join(tags, "capture_id", "left").select("capture_id", F.to_json(F.struct(event.alias("Event"))).alias("event"))
 
 
+#: Objects of one part of a document.
+PER_PART = 1000
+
+
+def _listed(rows: DataFrame, rank: int, per: int) -> DataFrame:
+    """(capture_id, text) -> parts of texts, each behind a comma.  A part is a row, so a list may be of any length."""
+    n = rows.groupBy("capture_id").agg(F.count("*").alias("n"))
+    dealt = rows.join(n, "capture_id").withColumn("part", F.pmod(F.xxhash64("text"), F.expr(f"n div {per} + 1")))
+    joined = F.concat(F.lit(","), F.array_join(F.array_sort(F.collect_list("text")), ",\n"))
+    return dealt.groupBy("capture_id", "part").agg(joined.alias("text")).select("capture_id", F.lit(rank).alias("rank"), "part", "text")
+
+
+def _one(rows: DataFrame, rank: int, text: Column) -> DataFrame:
+    return rows.select("capture_id", F.lit(rank).alias("rank"), F.lit(0).cast("long").alias("part"), text.alias("text"))
+
+
+def stix_documents(findings: DataFrame, indicators: DataFrame, created: str | None = None, per: int = PER_PART) -> DataFrame:
+    """(capture_id, rank, part, text): the texts of a capture, in order of rank and part, are one STIX 2.1 bundle.  The objects that
+    its report refers to are listed in parts too, so no row grows with the capture."""
+    objects = stix_bundle(findings, indicators, created)
+    kind, id_ = F.get_json_object("object", "$.type"), F.get_json_object("object", "$.id")
+    first, report_ = objects.where(kind == "identity"), objects.where(kind == "report")
+    rest = objects.where(~kind.isin("identity", "report"))
+    # the report's own list is made anew from the rows
+    head = F.regexp_extract("object", r'(?s)^(.*"object_refs":\[)', 1)
+    return (
+        _one(first, 0, F.concat(F.lit('{"type":"bundle","id":"'), "bundle", F.lit('","objects":['), "object"))
+        .union(_listed(rest.select("capture_id", F.col("object").alias("text")), 1, per))
+        .union(_one(report_.join(first.select("capture_id", id_.alias("who")), "capture_id"), 2, F.concat(F.lit(","), head, F.lit('"'), "who", F.lit('"'))))
+        .union(_listed(rest.select("capture_id", F.concat(F.lit('"'), id_, F.lit('"')).alias("text")), 3, per))
+        .union(_one(first, 4, F.lit("]}]}")))
+    )
+
+
+def misp_documents(findings: DataFrame, indicators: DataFrame, risk: DataFrame, per: int = PER_PART) -> DataFrame:
+    """(capture_id, rank, part, text): the texts of a capture, in order, are one MISP event with its attributes; the first one
+    tells the capture's risk."""
+    events = misp_events(findings, risk).join(risk, "capture_id")
+    said = F.to_json(F.struct(F.lit("comment").alias("type"), F.lit("Other").alias("category"), F.format_string("Risk %d of 100 (%s)", F.col("risk").cast("long"), "band").alias("value"), F.lit(False).alias("to_ids")))
+    head = F.regexp_replace("event", r"\}\}$", "")
+    return (
+        _one(events, 0, F.concat(head, F.lit(',"Attribute":['), said))
+        .union(_listed(misp(findings, indicators).select("capture_id", F.col("attribute").alias("text")), 1, per))
+        .union(_one(events, 2, F.lit("]}}")))
+    )
+
+
+def write_documents(parts: DataFrame, path: str) -> None:
+    """One file for each capture, in a folder of its own: its parts in order, which stream past the task that writes them."""
+    parts.repartition("capture_id").sortWithinPartitions("capture_id", "rank", "part").select("capture_id", "text").write.mode("append").partitionBy("capture_id").text(path)
+
+
 def verdict(risk: DataFrame, findings: DataFrame) -> DataFrame:
     """A sentence for each capture by its band; from "high" up with the number of grave findings behind it."""
     n = findings.groupBy("capture_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
@@ -210,6 +262,8 @@ def write(t: Tables, findings: DataFrame, path: str, with_bodies: bool = False)
         df.write.mode("append").option("header", True).csv(f"{path}/csv/{name}")
     found = iocs(t, findings)
     stix_bundle(findings, found).select("object").write.mode("append").text(f"{path}/stix")
+    write_documents(stix_documents(findings, found), f"{path}/stix_bundles")
+    write_documents(misp_documents(findings, found, risk), f"{path}/misp_events")
     misp(findings, found).select("attribute").write.mode("append").text(f"{path}/misp/attributes")
     misp_events(findings, risk).select("event").write.mode("append").text(f"{path}/misp/events")
     if with_bodies:
