@@ -75,11 +75,14 @@ def sip_digests(sip: DataFrame, disclose: bool = False) -> DataFrame:
     """SIP digest answers with the challenge that they answer (same call and nonce), which can be tried against word lists: user,
     realm, nonce, uri, algorithm, response (its SHA-256 unless ``disclose``), and the packet and station of the challenge, null if
     the capture hasn't got it."""
-    a = sip.where("answer.response IS NOT NULL").select(
+    of = lambda c, name: F.nullif(F.coalesce(F.nullif(F.regexp_extract(c, rf'(?i)(?:^|[,\s]){name}[ \t]*=[ \t]*"([^"]*)"', 1), F.lit("")), F.regexp_extract(c, rf"(?i)(?:^|[,\s]){name}[ \t]*=[ \t]*([^\s,\"]+)", 1)), F.lit("")).alias(name)
+    names = ("username", "realm", "nonce", "uri", "response", "algorithm")
+    told = lambda c: sip.where(F.col(c) != "").withColumn(c, F.struct(*[of(c, n) for n in names]))
+    a = told("answer").where("answer.response IS NOT NULL").select(
         "capture_id", "call_id", "method", "number", "ts", F.col("src_ip").alias("client"), F.col("dst_ip").alias("server"), F.coalesce(F.nullif("dst_port", F.lit(0)), "src_port", F.lit(0)).alias("server_port"), "answer.username", "answer.realm", "answer.nonce", "answer.uri",
         F.coalesce("answer.algorithm", F.lit("MD5")).alias("algorithm"), F.col("answer.response").alias("secret"),
     )
-    c = sip.where("challenge.nonce IS NOT NULL").groupBy("capture_id", "call_id", F.col("challenge.nonce").alias("nonce")).agg(F.min_by(F.struct("number", "src_ip", "challenge.realm"), "number").alias("c"))
+    c = told("challenge").where("challenge.nonce IS NOT NULL").groupBy("capture_id", "call_id", F.col("challenge.nonce").alias("nonce")).agg(F.min_by(F.struct("number", "src_ip", "challenge.realm"), "number").alias("c"))
     out = a.join(c, ["capture_id", "call_id", "nonce"], "left").withColumns({"realm": F.coalesce("realm", "c.realm"), "challenged": F.col("c.number"), "challenger": F.col("c.src_ip")}).drop("c")
     return out if disclose else out.withColumn("secret", F.sha2("secret", 256))
 

@@ -536,10 +536,8 @@ SIP_METHODS = "INVITE|ACK|BYE|CANCEL|OPTIONS|REGISTER|PRACK|SUBSCRIBE|NOTIFY|PUB
 
 
 def digest(ending: str) -> Column:
-    """Parameters of the last digest header whose name ends so; null if there is none."""
-    said = F.nullif(F.regexp_extract("head", rf"(?is)^.*\r?\n(?:www-|proxy-)?{ending}:[ \t]*digest[ \t]+([^\r\n]*)", 1), F.lit(""))
-    of = lambda name: F.nullif(F.coalesce(F.nullif(F.regexp_extract(said, rf'(?i)(?:^|[,\s]){name}[ \t]*=[ \t]*"([^"]*)"', 1), F.lit("")), F.regexp_extract(said, rf"(?i)(?:^|[,\s]){name}[ \t]*=[ \t]*([^\s,\"]+)", 1)), F.lit(""))
-    return F.when(said.isNotNull(), F.struct(*[of(n).alias(n) for n in ("username", "realm", "nonce", "uri", "response", "algorithm")]))
+    """The last digest header whose name ends so; empty if there is none."""
+    return F.regexp_extract("head", rf"(?is)^.*\r?\n(?:www-|proxy-)?{ending}:[ \t]*digest[ \t]+([^\r\n]*)", 1)
 
 
 def sip(packets: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def tables(packets: DataFrame, persist: bool = False) -> CaptureTables:
     """All tables of captures, made when they are asked for.
 
     Captures are decoded in one pass; fragmented datagrams are put together and decoded with the packets.  ``persist`` writes
-    what several readers need as Parquet to the shared folder, so each parser and each shuffle runs once.
+    what several readers need as Parquet to the shared folder, so each parser and each shuffle runs once; only then are files of
+    conversations over 6 MB a direction told whole.
     """
     raw = packets.withColumn("frame", F.when(F.col("linktype").isin(105, 127), F.col("data")))
     keep = ("capture_id", "number", "ts", "caplen", "wirelen", "linktype", "frame")
@@ -64,9 +65,9 @@ def tables(packets: DataFrame, persist: bool = False) -> CaptureTables:
         "links": lambda t: facts.links(t["decoded"]),
         "smb_names": lambda t: protocols.smb_names(t["smb"]),
         "quic_hellos": lambda t: quic.hellos(t["packets"]),
-        "carved": lambda t: carved(t),
+        "carved": lambda t: carved(t, persist),
         "long": lambda t: long_streams.long_conversations(t["streams"]),
-        "files": lambda t: reassembly.described(t["carved"]) if t["long"].isEmpty() else reassembly.described(t["carved"]).unionByName(long_streams.files(t["packets"], t["streams"], t["long"])),
+        "files": lambda t: reassembly.described(t["carved"]) if not persist or t["long"].isEmpty() else reassembly.described(t["carved"]).unionByName(long_streams.files(t["packets"], t["streams"], t["long"])),
         "programs": lambda t: programs.programs(t["carved"]),
         "credentials": lambda t: credentials.exposed(t["streams"]).unionByName(credentials.ntlm_exposed(t["ntlm"])).unionByName(credentials.sip_exposed(t["sip"])),
         "fragment_stats": lambda t: reassembly.fragment_stats(t["decoded"]),
@@ -80,10 +81,11 @@ def tables(packets: DataFrame, persist: bool = False) -> CaptureTables:
     return CaptureTables(makers, written if persist else None)
 
 
-def carved(t: CaptureTables) -> DataFrame:
-    """Files of the conversations that ``streams`` holds whole; ``files`` has those of longer ones too."""
+def carved(t: CaptureTables, stored: bool) -> DataFrame:
+    """Files of the conversations that ``streams`` holds whole; ``files`` has those of longer ones too.  Where tables aren't stored,
+    longer ones are cut off, as looking for them would run all that makes the streams once more."""
     s, smb = t["streams"], t["smb"]
-    if not t["long"].isEmpty():
+    if stored and not t["long"].isEmpty():
         s = s.join(t["long"], reassembly.CONVERSATION, "left_anti")
         one = t["long"].select("capture_id", F.col("client").alias("src_ip"), F.col("client_port").alias("src_port"), F.col("server").alias("dst_ip"), F.col("server_port").alias("dst_port"))
         smb = smb.join(one, one.columns, "left_anti")
