@@ -51,7 +51,9 @@ def test_repeated_and_lost_segments(spark, tmp_path):
     data = b"GET / HTTP/1.1\r\n" + bytes(range(65, 91)) * 20
     p = stream(1, ME, WEB, 4000, 80, data, 100) + stream(2, ME, WEB, 4000, 80, data[:300], 100) + [(3, f.tcp4(ME, WEB, 4000, 80, 24, 2_000_000, b"far away")), (4, f.tcp4(WEB, ME, 80, 4000, 4, 1))]
     r = tables(spark, tmp_path, p)["streams"].first()
-    assert (bytes(r.data), r.repeated, r.lost, r.missing, r.reset) == (data, 300, 8, 0, True)
+    assert (bytes(r.data), r.repeated, r.lost, r.missing, r.reset, r.closed) == (data, 300, 8, 0, True, False)
+    p += [(5, f.tcp4(WEB, ME, 80, 4000, 17, 1))]
+    assert tables(spark, tmp_path, p)["stream_summaries"].first().closed
 
 
 def test_ftp_and_tftp_files(spark, tmp_path):

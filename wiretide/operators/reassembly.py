@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.columns import identified, identified_category
 from .decode import decode
+from .literals import Literal, automaton, ids_in
 
 MOST_STREAM = 6 << 20
 MOST_HOLE = 512 << 10
@@ -89,7 +90,7 @@ def fragment_stats(packets: DataFrame) -> DataFrame:
 
 
 def streams(packets: DataFrame, most: int = MOST_STREAM, most_hole: int = MOST_HOLE) -> DataFrame:
-    """Bytes of each direction of each TCP conversation: client, server, ports, to_server, data, missing, lost, repeated, reset.
+    """Bytes of each direction of each TCP conversation: client, server, ports, to_server, data, missing, lost, repeated, reset, closed.
 
     Offsets are sequence numbers less the direction's first (modulo 2 ** 32); of segments at one offset the longest, then the
     first to arrive counts.  A direction keeps ``most`` bytes, as a row is one stream, and ends at a hole over ``most_hole``;
@@ -123,18 +124,19 @@ def streams(packets: DataFrame, most: int = MOST_STREAM, most_hole: int = MOST_H
         return pa.table([pa.array([v], t_) for v, t_ in zip(row, types)], names=names)
 
     built = seg.select(*side, "number", "ts", "off", "payload").groupBy(*side).applyInArrow(build, schema)
-    ends = packets.where("protocol = 6 AND src_ip IS NOT NULL").groupBy(*side).agg(F.max((F.col("tcp_flags").bitwiseAND(18) == 2)).alias("bare"), F.max(F.col("tcp_flags").bitwiseAND(4) > 0).alias("rst"))
+    ends = packets.where("protocol = 6 AND src_ip IS NOT NULL").groupBy(*side).agg(F.max((F.col("tcp_flags").bitwiseAND(18) == 2)).alias("bare"), F.max(F.col("tcp_flags").bitwiseAND(4) > 0).alias("rst"), F.max(F.col("tcp_flags").bitwiseAND(1) > 0).alias("fin"))
     turn = lambda c: [F.col("capture_id"), F.col("dst_ip").alias("src_ip"), F.col("dst_port").alias("src_port"), F.col("src_ip").alias("dst_ip"), F.col("src_port").alias("dst_port"), *c]
-    back = ends.select(*turn([F.col("bare").alias("answered"), F.col("rst").alias("rst_back")]))
+    back = ends.select(*turn([F.col("bare").alias("answered"), F.col("rst").alias("rst_back"), F.col("fin").alias("fin_back")]))
     # what came is what is kept, what came again and what lies beyond; the distinct offsets kept say which
     distinct = p.join(base.drop("came"), side).select(*side, F.pmod(F.col("tcp_seq") - F.col("base"), F.lit(1 << 32)).alias("off"), size.alias("n")).groupBy(*side, "off").agg(F.max("n").alias("n"), F.sum("n").alias("all"))
     again = distinct.groupBy(*side).agg(F.sum(F.col("all") - F.col("n")).alias("repeated"))
     s = built.join(base.select(*side, "came"), side).join(again, side).join(ends, side, "left").join(back, side, "left")
     up = F.when(F.col("bare"), True).when(F.col("answered"), False).otherwise(F.col("src_port") > F.col("dst_port"))
     pick = lambda x, y: F.when(F.col("to_server"), F.col(x)).otherwise(F.col(y))
+    either = lambda x, y: F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False))
     return s.withColumn("to_server", up).select(
         "capture_id", pick("src_ip", "dst_ip").alias("client"), pick("src_port", "dst_port").alias("client_port"), pick("dst_ip", "src_ip").alias("server"), pick("dst_port", "src_port").alias("server_port"), "to_server", "number", "first_seen", "last_seen",
-        "data", "missing", F.greatest(F.col("came") - F.col("repeated") - F.col("fresh"), F.lit(0)).alias("lost"), "repeated", (F.coalesce("rst", F.lit(False)) | F.coalesce("rst_back", F.lit(False))).alias("reset"),
+        "data", "missing", F.greatest(F.col("came") - F.col("repeated") - F.col("fresh"), F.lit(0)).alias("lost"), "repeated", either("rst", "rst_back").alias("reset"), either("fin", "fin_back").alias("closed"),
     )
 
 
@@ -143,7 +145,7 @@ PREVIEW = 900
 
 
 def summaries(streams_: DataFrame) -> DataFrame:
-    """One row for each conversation: bytes each way, missing and lost bytes, times, reset, complete, and the first ``PREVIEW``
+    """One row for each conversation: bytes each way, missing and lost bytes, times, reset, closed, complete, and the first ``PREVIEW``
     bytes each way as text, in which a dot stands for each byte that can't be printed."""
     from .protocols import text
 
@@ -153,7 +155,7 @@ def summaries(streams_: DataFrame) -> DataFrame:
     said = F.when(rest > 0, F.concat(said, F.format_string("\n(%d more bytes)", rest))).otherwise(said)
     rows = streams_.groupBy(*CONVERSATION).agg(
         F.coalesce(side(True, F.octet_length("data").cast("long")), F.lit(0)).alias("bytes_to_server"), F.coalesce(side(False, F.octet_length("data").cast("long")), F.lit(0)).alias("bytes_to_client"), F.sum("missing").alias("missing_bytes"),
-        F.sum("lost").alias("lost_bytes"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("number").alias("packet"), F.max("reset").alias("reset"),
+        F.sum("lost").alias("lost_bytes"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("number").alias("packet"), F.max("reset").alias("reset"), F.max("closed").alias("closed"),
         F.coalesce(side(True, said), F.lit("")).alias("preview_to_server"), F.coalesce(side(False, said), F.lit("")).alias("preview_to_client"),
     )
     return rows.withColumn("complete", (F.col("missing_bytes") == 0) & (F.col("lost_bytes") == 0))
@@ -358,6 +360,48 @@ SIGNATURES = (
 )
 
 
+#: Bytes of a file that signatures are sought in.
+SIGNED = 2 << 20
+# What each match of a signature's pattern has at least one of, letters in either case, in the order of its patterns.
+NEEDED = {
+    "Embedded PowerShell with encoded command": (("powershell",),),
+    "PowerShell download and execute": (("downloadstring", "downloadfile", "invoke-webrequest", "iwr"),),
+    "Office document with auto-executing macro": (("autoopen", "auto_open", "documentopen", "document_open", "workbookopen", "workbook_open", "autoexec"),),
+    "Office macro shelling out": (("shell", "createobject"),),
+    "Web shell": (("$_get", "$_post", "$_request", "$_cookie"), ("request.item", "request.querystring", "request.form")),
+    "Reverse shell": (("/dev/tcp/", "/bin/sh", "/bin/bash", "socket.socket("), ("system.net.sockets.tcpclient",)),
+    "Ransomware note": (("your files",), ("bitcoin", "monero", "btc address", "decryption key", "decrypt key", "onion")),
+    "Shadow copy deletion": (("vssadmin", "wbadmin", "bcdedit"),),
+    "Cloud credentials": (("akia",), ("aws_secret_access_key",), ("ghp_",), ("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-")),
+    "Mining configuration": (("stratum+tcp://", '"pool"', "--donate-level", "xmrig"),),
+}
+
+
+def _tests() -> list[list[tuple[str, bool, tuple[str, ...]]]]:
+    """The tests of each signature: its text, whether that is a pattern, and the literals of which a value must have one."""
+    return [[(w, False, (w,)) for w in words] + [(p, True, NEEDED[name][i]) for i, p in enumerate(patterns)] for name, _, words, patterns, _, _ in SIGNATURES]
+
+
+def signature_literals() -> list[Literal]:
+    """The literals of all signatures, those of one test under one id: byte strings as they are, needs of patterns in either case."""
+    tests = [x for some in _tests() for x in some]
+    return [Literal(i, need.encode("latin-1"), pattern) for i, (_, pattern, needs) in enumerate(tests) for need in needs]
+
+
+def signatures(literals: Column, head: Column, kind: Column) -> Column:
+    """The signatures that match: byte strings by the ids found in one pass, patterns only where what they need was found."""
+    out, i = [], 0
+    for (name, severity, _, _, least, types), tests in zip(SIGNATURES, _tests()):
+        hits = []
+        for test, pattern, _ in tests:
+            has = F.array_contains(literals, i)
+            hits.append(F.when(has & head.rlike(test) if pattern else has, 1).otherwise(0))
+            i += 1
+        hit = sum(hits[1:], hits[0]) >= (least or len(hits))
+        out.append(F.when((kind.isin(*types) & hit) if types else hit, F.struct(F.lit(name).alias("name"), F.lit(severity).alias("severity"))))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
 def entropies(data: pa.Array, most: int = 1 << 20) -> pa.Array:
     """Entropy of each value's first ``most`` bytes, in bits a byte."""
     out = []
@@ -374,22 +418,19 @@ def described(files: DataFrame, order: bool = False) -> DataFrame:
     from .protocols import text
 
     names = files.columns
-    schema = T.StructType([*files.schema, T.StructField("entropy", T.DoubleType())])
+    schema = T.StructType([*files.schema, T.StructField("entropy", T.DoubleType()), T.StructField("literals", T.ArrayType(T.IntegerType()))])
+    at, words = names.index("data"), signature_literals()
 
     def run(batches):
+        tree = automaton(words)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, entropies(b.column(names.index("data")))], names=schema.names)
-
-    kind, head = F.col("kind"), F.col("head")
-    hits = []
-    for name, severity, words, patterns, least, types in SIGNATURES:
-        tests = [head.contains(w).cast("int") for w in words] + [head.rlike(p).cast("int") for p in patterns]
-        hit = sum(tests[1:], tests[0]) >= (least or len(tests))
-        hits.append(F.when((kind.isin(*types) & hit) if types else hit, F.struct(F.lit(name).alias("name"), F.lit(severity).alias("severity"))))
-    f = files.mapInArrow(run, schema).withColumn("kind", identified(F.col("data"))).withColumn("head", text(F.substring("data", 1, 2 << 20)))
+            yield pa.RecordBatch.from_arrays([*b.columns, entropies(b.column(at)), ids_in(b.column(at), tree, SIGNED)], names=schema.names)
+
+    f = files.mapInArrow(run, schema).withColumn("kind", identified(F.col("data"))).withColumn("head", text(F.substring("data", 1, SIGNED)))
+    kind = F.col("kind")
     out = f.select(
         *[c for c in names if c != "data"], F.octet_length("data").alias("size"), F.md5("data").alias("md5"), F.sha1("data").alias("sha1"), F.sha2("data", 256).alias("sha256"), "kind", identified_category(kind).alias("category"), F.round("entropy", 4).alias("entropy"),
-        F.filter(F.array(*hits), lambda x: x.isNotNull()).alias("signatures"),
+        signatures(F.col("literals"), F.col("head"), kind).alias("signatures"),
     )
     if not order:
         return out
