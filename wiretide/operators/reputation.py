@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_map, ip4_number, ip6_digits, ip6_prefix, is_private, url_host
-from .patterns import domain_matches
 
 # Points of a listing by severity, and of what is known of an address.
 POINTS = {"critical": 55, "high": 35, "medium": 18, "low": 8}
@@ -70,11 +69,14 @@ def check_ips(ips: DataFrame, feeds: DataFrame, ip: str = "ip") -> DataFrame:
 
 
 def check_domains(names: DataFrame, feeds: DataFrame, name: str = "domain") -> DataFrame:
-    """(domain, feed, severity, detail) of names of which they or a parent are listed."""
+    """(domain, feed, severity, detail) of names of which they or a parent are listed, by each feed that lists one: a name meets
+    the lists with all its parents of two labels and more, and of what one feed lists the first by code point is told."""
     d = names.select(F.lower(F.regexp_replace(name, r"\.+$", "")).alias("domain")).distinct().where(F.col("domain").contains("."))
-    listed = feeds.where("kind IN ('domain', 'url')").select("feed", "severity", "value")
-    hits = domain_matches(d, "domain", listed, "value")
-    return hits.join(listed, F.col("listed") == F.col("value")).select("domain", "feed", "severity", F.concat(F.lit("matched "), "listed").alias("detail"))
+    labels = F.split("domain", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    listed = feeds.where("kind IN ('domain', 'url')").select("feed", "severity", "value").distinct()
+    hits = d.select("domain", F.explode(F.array_distinct(parents)).alias("value")).join(listed, "value")
+    return hits.groupBy("domain", "feed", "severity").agg(F.concat(F.lit("matched "), F.min("value")).alias("detail"))
 
 
 def verdicts(hits: DataFrame, key: str) -> DataFrame:
@@ -92,3 +94,66 @@ def scores(hits: DataFrame, context: DataFrame, key: str = "ip") -> DataFrame:
     more: Column = F.when(F.col("proxy"), CONTEXT_POINTS["proxy"]).otherwise(0) + F.when(F.col("hosting"), CONTEXT_POINTS["hosting"]).otherwise(0)
     more = more + F.when(F.col("proxy").isNotNull() & (F.coalesce("reverse_dns", F.lit("")) == ""), CONTEXT_POINTS["no_reverse_dns"]).otherwise(0)
     return both.select(key, F.least(F.coalesce("points", F.lit(0)) + more, F.lit(100)).cast("long").alias("score"))
+
+
+#: How old a feed may be before a clean answer means less.
+STALE_HOURS = 168.0
+# Pages where an analyst looks on, which ask for no account; the indicator stands for {}.
+IP_LINKS = (
+    ("VirusTotal", "https://www.virustotal.com/gui/ip-address/{}"),
+    ("AbuseIPDB", "https://www.abuseipdb.com/check/{}"),
+    ("Shodan", "https://www.shodan.io/host/{}"),
+    ("GreyNoise", "https://viz.greynoise.io/ip/{}"),
+    ("RDAP registry", "https://rdap.org/ip/{}"),
+    ("ThreatFox", "https://threatfox.abuse.ch/browse.php?search=ioc%3A{}"),
+)
+NAME_LINKS = (
+    ("VirusTotal", "https://www.virustotal.com/gui/domain/{}"),
+    ("URLhaus", "https://urlhaus.abuse.ch/browse.php?search={}"),
+    ("crt.sh certificates", "https://crt.sh/?q={}"),
+    ("URLScan", "https://urlscan.io/search/#{}"),
+)
+
+
+def pivot_links(indicator: Column, kind: Column) -> Column:
+    """An array of (name, url): where to look on after an address (kind ``ip``) or a name; the indicator is escaped for a URL, but
+    for ``.:-_``.  Null for a null indicator."""
+    escaped = F.url_encode(indicator)
+    for made, kept in (("+", "%20"), ("*", "%2A"), ("%3A", ":"), ("%7E", "~")):
+        escaped = F.replace(escaped, F.lit(made), F.lit(kept))
+    links = lambda some: F.array(*[F.struct(F.lit(name).alias("name"), F.replace(F.lit(url), F.lit("{}"), escaped).alias("url")) for name, url in some])
+    return F.when(indicator.isNotNull(), F.when(kind == "ip", links(IP_LINKS)).otherwise(links(NAME_LINKS)))
+
+
+def feed_status(listed: DataFrame, feeds: DataFrame, now: Column | None = None) -> DataFrame:
+    """A row for each feed: name, kind, severity, entries, fetched_at, age_hours, cached, stale.
+
+    ``listed`` names the feeds (name, kind, severity, fetched_at: timestamp or null), ``feeds`` has the entries as ``read_feed``
+    gives them; entries are counted before they meet the names.  A feed without entries is not cached, one of over a week is
+    stale, of one with no time both age and staleness are unknown and told as null and false."""
+    n = feeds.groupBy(F.col("feed").alias("name")).agg(F.count("*").alias("entries"))
+    at = F.unix_micros(F.current_timestamp() if now is None else now)
+    hours = (at - F.unix_micros("fetched_at")) / F.lit(3_600_000_000)
+    rows = listed.select("name", "kind", "severity", "fetched_at").join(n, "name", "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+    return rows.select("name", "kind", "severity", "entries", "fetched_at", F.round(hours, 1).alias("age_hours"), (F.col("entries") > 0).alias("cached"), F.coalesce(hours > STALE_HOURS, F.lit(False)).alias("stale"))
+
+
+def enriched_report(addresses: DataFrame, names: DataFrame, feeds: DataFrame, status: DataFrame) -> DataFrame:
+    """One row for each listed outside address (``ip``) and name (``domain``) of a report: indicator, kind, worst_severity, sources
+    (feed, severity, detail, fetched_at; by feed), checked_feeds, stale_feeds and links.
+
+    Addresses are checked against feeds of kind ip, names against those of kind domain and url.  All are checked: there's no
+    limit, as a join over all costs what a join over some costs.  ``checked_feeds`` counts the cached feeds of the indicator's
+    kind; ``stale_feeds`` names all that are over a week old.  Sources of one indicator are as many as there are feeds, so no row
+    grows with the report; the two numbers are of one row and reach all rows by a join with it."""
+    hits = check_ips(addresses, feeds).select(F.col("ip").alias("indicator"), F.lit("ip").alias("kind"), "feed", "severity", "detail")
+    hits = hits.union(check_domains(names, feeds).select("domain", F.lit("domain"), "feed", "severity", "detail"))
+    when = status.select(F.col("name").alias("feed"), "fetched_at")
+    source = F.struct("feed", "severity", "detail", "fetched_at")
+    rank = by_map(F.col("severity"), RANK)
+    found = hits.join(when, "feed", "left").groupBy("indicator", "kind").agg(F.max_by("severity", rank).alias("worst_severity"), F.sort_array(F.collect_set(source)).alias("sources"))
+    cached = lambda *kinds: F.count_if(F.col("cached") & F.col("kind").isin(*kinds))
+    state = status.agg(cached("ip").alias("for_ips"), cached("domain", "url").alias("for_names"), F.sort_array(F.collect_set(F.when(F.col("stale"), F.col("name")))).alias("stale_feeds"))
+    return found.crossJoin(F.broadcast(state)).select(
+        "indicator", "kind", "worst_severity", "sources", F.when(F.col("kind") == "ip", F.col("for_ips")).otherwise(F.col("for_names")).alias("checked_feeds"), "stale_feeds", pivot_links(F.col("indicator"), F.col("kind")).alias("links")
+    )
