@@ -24,9 +24,11 @@ def exposed(streams: DataFrame, disclose: bool = False) -> DataFrame:
     """FTP, POP3, IMAP, SMTP, Telnet and HTTP log-ins of reassembled streams (``reassembly.streams``): each that a stream
     has, wherever it stands, once."""
     key = ["capture_id", "client", "client_port", "server", "server_port"]
-    side = lambda up, name: streams.where(F.col("to_server") if up else ~F.col("to_server")).select(*key, text(F.col("data")).alias(name), "number", F.col("first_seen").alias("ts"))
-    up, down = side(True, "said"), side(False, "answer").drop("number", "ts").where(F.col("server_port") == 23)  # only Telnet's answers are read
-    s = up.join(down, key, "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    up, port_ = F.col("to_server"), F.col("server_port")
+    # both directions in one pass; only Telnet's answers are read
+    first = lambda c: F.max(F.when(up, c))
+    s = streams.where(up | (port_ == 23)).groupBy(*key).agg(first(F.col("data")).alias("said"), F.max(F.when(~up, F.col("data"))).alias("answer"), first(F.col("number")).alias("number"), first(F.col("first_seen")).alias("ts"))
+    s = s.where("said IS NOT NULL").withColumns({"said": text(F.col("said")), "answer": F.coalesce(text(F.col("answer")), F.lit(""))})
     said, answer = F.col("said"), F.col("answer")
     every = lambda p, g=1: F.regexp_extract_all(said, F.lit(p), g)
     port = lambda *p: F.col("server_port").isin(*p)
