@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -166,14 +168,24 @@ def hardware(macs: DataFrame, vendors: DataFrame, mac: str = "mac") -> DataFrame
     return m.join(vendors.select(F.lower("prefix").alias("prefix"), "vendor"), "prefix", "left").withColumn("vendor", F.coalesce(kind, "vendor", local)).drop("prefix")
 
 
-def statistics(tables: dict[str, DataFrame]) -> DataFrame:
-    """(capture_id, name, value): how much of each kind of record a capture has."""
-    out = None
-    for name in ("dns", "http_requests", "tls", "smb", "ntlm", "kerberos", "ics", "mqtt", "sip", "quic", "files", "credentials"):
-        rows = tables[name].groupBy("capture_id").agg(F.count("*").alias("value")).select("capture_id", F.lit(name).alias("name"), "value")
-        out = rows if out is None else out.union(rows)
-    names = tables["dns"].select("capture_id", F.explode("queries.name").alias("n")).distinct().groupBy("capture_id").agg(F.count("*").alias("value"))
-    return out.union(names.select("capture_id", F.lit("domains"), "value"))
+def statistics(tables: dict[str, DataFrame], findings: DataFrame | None = None) -> DataFrame:
+    """(capture_id, name, value): how much of each kind of record a capture has; questions (dns_questions), different names asked for
+    in questions and answers (domains) and different server names of TLS (server_names); with findings their number, whole
+    (findings) and by severity (findings_high and so on).  What a capture has none of has no row."""
+    one = F.count("*")
+
+    def rows(df: DataFrame, name: Column, value: Column = one) -> DataFrame:
+        return df.groupBy("capture_id", name.alias("name")).agg(value.alias("value"))
+
+    kinds = ("hosts", "flows", "dns", "http_requests", "tls", "certificates", "smb", "ntlm", "kerberos", "ics", "mqtt", "sip", "quic", "files", "credentials")
+    parts = [rows(tables[k].select("capture_id"), F.lit(k)) for k in kinds]
+    names = tables["dns"].select("capture_id", "is_response", F.explode("queries.name").alias("n"))
+    parts.append(rows(names.where("NOT is_response"), F.lit("dns_questions")))
+    different = lambda df, c: df.select("capture_id", F.lower(c).alias("n")).where("n <> ''").distinct()
+    parts += [rows(different(names, "n"), F.lit("domains")), rows(different(tables["tls"], "sni"), F.lit("server_names"))]
+    if findings is not None:
+        parts += [rows(findings, F.lit("findings")), rows(findings, F.concat(F.lit("findings_"), "severity"))]
+    return reduce(DataFrame.union, parts)
 
 
 def smb_summary(smb: DataFrame, commands: int = 12, pairs: int = 50) -> DataFrame:

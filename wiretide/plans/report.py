@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.columns import csv_guard, defang, is_private, registered_domain, risk_band, subnet
-from ..operators import patterns, reassembly
+from ..operators import facts, patterns, reassembly
+from ..sources.store import written
 from .rules import Tables, rank_of
 
 
@@ -66,15 +67,63 @@ def compare(now: DataFrame, before: DataFrame) -> DataFrame:
     return patterns.compare(now, before, ["id", "title"])
 
 
+def domains(dns: DataFrame) -> DataFrame:
+    """(capture_id, domain): the registered domains that a capture's questions and answers name."""
+    names = dns.select("capture_id", F.explode("queries.name").alias("name"))
+    return names.select("capture_id", registered_domain(F.lower("name")).alias("domain")).where("domain <> ''").distinct()
+
+
+def _values(found: DataFrame, hosts: DataFrame, domains_: DataFrame) -> DataFrame:
+    """(kind, value) of what two captures are compared by."""
+    out = found.select(F.lit("finding").alias("kind"), F.concat_ws(": ", "id", "title").alias("value"))
+    out = out.union(hosts.select(F.lit("host"), "ip")).union(hosts.where("NOT is_private").select(F.lit("external"), "ip"))
+    return out.union(domains_.select(F.lit("domain"), "domain")).where("value IS NOT NULL")
+
+
 def compare_captures(now: tuple[Tables, DataFrame], before: tuple[Tables, DataFrame]) -> DataFrame:
-    """(kind, value, state) of findings, hosts and domains of two analysed captures: new, missing or common."""
+    """(kind, value, state) of findings, hosts, external hosts and domains of two analysed captures: new, missing or common."""
+    of = lambda t, found: _values(found, t["hosts"], domains(t["dns"]))
+    return patterns.compare(of(*now), of(*before), ["kind", "value"])
+
+
+#: What is read back of a report on disk.  The types are stated, as a folder of a clean capture has no file to tell them, and a
+#: capture named by digits is a text.
+KEPT = {
+    "findings": "id string, title string, severity string, hosts array<string>, capture_id string",
+    "hosts": "ip string, is_private boolean, capture_id string",
+    "domains": "domain string, capture_id string",
+    "runs": "capture_id string, risk long, band string, created timestamp",
+}
+
 
-    def values(t: Tables, found: DataFrame) -> DataFrame:
-        names = t["dns"].select(F.explode("queries.name").alias("value"))
-        out = found.select(F.lit("finding").alias("kind"), F.concat_ws(": ", "id", "title").alias("value"))
-        return out.union(t["hosts"].select(F.lit("host"), "ip")).union(names.select(F.lit("domain"), registered_domain(F.lower("value"))))
+def stored(spark: SparkSession, path: str, capture: str | None = None) -> dict[str, DataFrame]:
+    """The tables of KEPT of a report folder, of all its captures or of one."""
+    out = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in KEPT.items()}
+    return {name: df.where(F.col("capture_id") == capture) if capture is not None else df for name, df in out.items()}
 
-    return patterns.compare(values(*now).where("value IS NOT NULL"), values(*before).where("value IS NOT NULL"), ["kind", "value"])
+
+def compare_stored(now: dict[str, DataFrame], before: dict[str, DataFrame]) -> DataFrame:
+    """(kind, value, state) as ``compare_captures`` gives it, of two reports that ``stored`` read.  Captures that were written to
+    a folder several times count once."""
+    of = lambda r: _values(r["findings"], r["hosts"], r["domains"])
+    return patterns.compare(of(now), of(before), ["kind", "value"])
+
+
+def compare_summary(now: dict[str, DataFrame], before: dict[str, DataFrame]) -> DataFrame:
+    """One row: the risk of both reports (the highest of their captures, each by its latest run; 0 of a report without runs), the
+    difference, how many findings, hosts, external hosts and domains are new, how many findings are gone, and a sentence."""
+
+    def risk(r: dict[str, DataFrame], name: str) -> DataFrame:
+        return r["runs"].groupBy("capture_id").agg(F.max_by("risk", "created").alias("risk")).agg(F.coalesce(F.max("risk"), F.lit(0)).alias(name))
+
+    n = lambda kind, state: F.count_if((F.col("kind") == kind) & (F.col("state") == state))
+    counts = compare_stored(now, before).agg(
+        *[n(kind, "new").alias(f"new_{kind}s") for kind in ("finding", "host", "external", "domain")], n("finding", "missing").alias("resolved_findings"), n("host", "missing").alias("missing_hosts")
+    )
+    rows = counts.crossJoin(risk(now, "risk")).crossJoin(risk(before, "risk_before")).withColumn("risk_delta", F.col("risk") - F.col("risk_before"))
+    way = F.when(F.col("risk_delta") > 0, "Risk rose").when(F.col("risk_delta") < 0, "Risk fell").otherwise("Risk is as before")
+    said = F.format_string("%s (%d to %d): %d new findings, %d resolved; %d new hosts, %d of them external.", way, F.col("risk_before"), F.col("risk"), F.col("new_findings"), F.col("resolved_findings"), F.col("new_hosts"), F.col("new_externals"))
+    return rows.withColumn("summary", said)
 
 
 def as_csv(df: DataFrame) -> DataFrame:
@@ -84,8 +133,8 @@ def as_csv(df: DataFrame) -> DataFrame:
     return rows.select(*[csv_guard(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes])
 
 
-def csv_tables(t: Tables, findings: DataFrame) -> dict[str, DataFrame]:
-    """The six tables of a report for spreadsheets: findings, hosts, flows, files, credentials, iocs."""
+def csv_tables(t: Tables, findings: DataFrame, indicators: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The six tables of a report for spreadsheets: findings, hosts, flows, files, credentials, iocs (``indicators``, where they were made before)."""
     scope = F.when(F.col("is_private"), "internal").otherwise("external")
     version = F.when(F.col("ip").contains(":"), 6).otherwise(4)
     named = t["tls"].where("sni IS NOT NULL").groupBy("capture_id", F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"), F.col("dst_port").alias("dport")).agg(F.min("sni").alias("sni"))
@@ -97,7 +146,7 @@ def csv_tables(t: Tables, findings: DataFrame) -> dict[str, DataFrame]:
         "flows": flows.select("capture_id", F.col("src").alias("source"), F.col("dst").alias("destination"), F.col("dport").alias("port"), "protocol", "service", "packets", (F.col("bytes_out") + F.col("bytes_in")).alias("bytes"), "duration", F.coalesce("sni", F.lit("")).alias("sni")),
         "files": t["files"].select("capture_id", F.col("name").alias("filename"), F.col("kind").alias("type"), "size", "md5", "sha256", "entropy", "source", F.col("target").alias("destination"), "protocol", F.array_join("signatures.name", " | ").alias("signatures")),
         "credentials": t["credentials"].select("capture_id", "protocol", "method", "username", "secret", "secret_kind", "client", "server", F.col("server_port").alias("port"), "crackable"),
-        "iocs": iocs(t, findings).select("capture_id", F.col("kind").alias("type"), "value", "defanged"),
+        "iocs": (iocs(t, findings) if indicators is None else indicators).select("capture_id", F.col("kind").alias("type"), "value", "defanged"),
     }
     return {name: as_csv(df) for name, df in made.items()}
 
@@ -249,18 +298,22 @@ def html(t: Tables, findings: DataFrame, hosts: int = 120) -> str:
 
 
 def write(t: Tables, findings: DataFrame, path: str, with_bodies: bool = False) -> None:
-    """Findings and fact tables as Parquet by capture, findings as compressed JSON, six tables as CSV, STIX and MISP objects as
-    JSON lines; with ``with_bodies`` also the carved files' contents, each once, by SHA-256."""
+    """Findings, statistics and fact tables as Parquet by capture, findings as compressed JSON, six tables as CSV, STIX and MISP objects as
+    JSON lines; with ``with_bodies`` also the carved files' contents, each once, by SHA-256.  Tables that weren't stored are written once first."""
+    if getattr(t, "makers", None) and t.store is None:
+        t = type(t)(t.makers, written)
     risk = capture_risk(findings)
     findings.write.mode("append").partitionBy("capture_id").parquet(f"{path}/findings")
     for name in ("hosts", "flows", "timeline"):
         t[name].write.mode("append").partitionBy("capture_id").parquet(f"{path}/{name}")
     for name in ("profile", "files", "stream_summaries", "smb_summary", "protocol_counts"):
         t[name].write.mode("append").parquet(f"{path}/{name}")
+    domains(t["dns"]).write.mode("append").partitionBy("capture_id").parquet(f"{path}/domains")
+    facts.statistics(t, findings).write.mode("append").parquet(f"{path}/statistics")
     findings.write.mode("append").option("compression", "gzip").json(f"{path}/json")
-    for name, df in csv_tables(t, findings).items():
+    found = written(iocs(t, findings), "indicators")
+    for name, df in csv_tables(t, findings, found).items():
         df.write.mode("append").option("header", True).csv(f"{path}/csv/{name}")
-    found = iocs(t, findings)
     stix_bundle(findings, found).select("object").write.mode("append").text(f"{path}/stix")
     write_documents(stix_documents(findings, found), f"{path}/stix_bundles")
     write_documents(misp_documents(findings, found, risk), f"{path}/misp_events")
