@@ -49,8 +49,12 @@ def url_host(url: Column) -> Column:
 
 def url_decoded(text: Column, rounds: int = 3) -> Column:
     """Form-decoded again and again; a round that meets a bad escape leaves the text as it is."""
+
+    def decoded(x: Column) -> Column:
+        return F.when(x.contains("%") | x.contains("+"), F.coalesce(F.try_url_decode(x), x)).otherwise(x)
+
     for _ in range(rounds):
-        text = F.coalesce(F.try_url_decode(text), text)
+        text = let(text, decoded)
     return text
 
 
