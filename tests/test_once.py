@@ -48,3 +48,9 @@ def test_requests_are_decoded_once(spark, sf_dir):
     assert 0 < plan(rules.EVENTS["web.attack"](t), "optimizedPlan").count("decode(") <= 3
     for text, want in (("a%252520b+c", "a b c"), ("%41%zz", "%41%zz"), ("plain", "plain"), ("%2541%25zz", "%41%zz"), (None, None)):
         assert spark.createDataFrame([(text,)], "x string").select(C.url_decoded(F.col("x"))).first()[0] == want
+
+
+def test_brands_are_sought_among_distinct_names(spark, sf_dir):
+    t = {x: rule_queries.made(spark, sf_dir, x) for x in ("dns", "http_requests", "tls", "quic_hellos")}
+    shown = plan(rules.EVENTS["phishing.lookalike_domain"](t))
+    assert shown.rindex("levenshtein") < shown.index("Aggregate(")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import fixed
-from ..functions.columns import by_map
+from ..functions.columns import by_map, let
 
 
 def fan_out(df: DataFrame, keys: list[str], target: str, least: int, name: str = "n_targets") -> DataFrame:
@@ -76,9 +76,12 @@ def domain_matches(names: DataFrame, name: str, listed: DataFrame, entry: str) -
 
 def imitates(name: Column, brands: tuple[str, ...] = fixed.BRANDS) -> Column:
     """The first brand within an edit distance of 1 or 2 of the name's last two labels; null for a brand itself."""
-    tail = F.array_join(F.slice(F.split(name, r"\."), -2, 2), ".")
-    near = [F.when((F.levenshtein(tail, F.lit(b)).between(1, 2)) & (F.abs(F.length(tail) - len(b)) <= 2), F.lit(b)) for b in brands]
-    return F.when(~tail.isin(*brands) & (F.size(F.split(name, r"\.")) >= 2), F.coalesce(*near))
+
+    def first(tail: Column) -> Column:
+        near = [F.when((F.abs(F.length(tail) - len(b)) <= 2) & F.levenshtein(tail, F.lit(b), 2).between(1, 2), F.lit(b)) for b in brands]
+        return F.when(~tail.isin(*brands), F.coalesce(*near))
+
+    return let(F.split(name, r"\."), lambda p: F.when(F.size(p) >= 2, let(F.array_join(F.slice(p, -2, 2), "."), first)))
 
 
 def matched(text: Column, patterns: tuple = fixed.WEB_PATTERNS) -> Column:

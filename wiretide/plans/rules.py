@@ -620,8 +620,10 @@ def media_loss(t: Tables) -> DataFrame:
 def lookalike(t: Tables) -> DataFrame:
     asked = t["dns"].select("capture_id", "ts", "src_ip", F.explode("queries.name").alias("name"))
     seen = asked.union(t["http_requests"].select("capture_id", "ts", "src_ip", "host")).union(t["tls"].select("capture_id", "ts", "src_ip", "sni")).union(t["quic_hellos"].select("capture_id", "ts", "src_ip", "sni"))
-    n = seen.where("name IS NOT NULL").groupBy("capture_id", F.lower("name").alias("name")).agg(F.min("ts").alias("ts"), F.min("src_ip").alias("src_ip"))
-    return findings(n.withColumn("brand", patterns.imitates(F.col("name"))).where("brand IS NOT NULL"), "phishing.lookalike_domain", "A name close to a known one", "high", "Phishing", F.col("src_ip"), ["name", "brand", "src_ip"])
+    # by hash first, as a least text is found by sorting; "asked" is the name, as a filter on a key would be asked of every row
+    n = seen.where("name IS NOT NULL").groupBy("capture_id", F.lower("name").alias("name"), "src_ip").agg(F.min("ts").alias("ts"))
+    n = n.groupBy("capture_id", "name").agg(F.min("ts").alias("ts"), F.min("src_ip").alias("src_ip"), F.min("name").alias("asked"))
+    return findings(n.withColumn("brand", patterns.imitates(F.col("asked"))).where("brand IS NOT NULL"), "phishing.lookalike_domain", "A name close to a known one", "high", "Phishing", F.col("src_ip"), ["name", "brand", "src_ip"])
 
 
 @rule("environment.simulated")
