@@ -54,3 +54,12 @@ def test_brands_are_sought_among_distinct_names(spark, sf_dir):
     t = {x: rule_queries.made(spark, sf_dir, x) for x in ("dns", "http_requests", "tls", "quic_hellos")}
     shown = plan(rules.EVENTS["phishing.lookalike_domain"](t))
     assert shown.rindex("levenshtein") < shown.index("Aggregate(")
+
+
+def test_an_address_is_parsed_once(spark):
+    df = spark.createDataFrame([(x,) for x in ("8.8.8.8", "10.0.0.1", "2001:db8::1", "2606:4700::1", "::1", "no", "1.2.3", "1::2::3", None)], "ip string")
+    rows = df.select("ip", C.enriched(F.col("ip")).alias("e")).select("ip", "e.*")
+    assert plan(rows, "optimizedPlan").count("RLIKE") <= 2
+    got = {r.ip: r for r in rows.collect()}
+    assert got["8.8.8.8"].scope == "public" and got["10.0.0.1"].scope != "public" and got["2001:db8::1"].scope != "public" and got["2606:4700::1"].scope == "public"
+    assert all(got[x].scope is None and got[x].operator is None for x in ("no", "1.2.3", "1::2::3", None))

@@ -60,8 +60,7 @@ def url_decoded(text: Column, rounds: int = 3) -> Column:
 
 def ip4_number(ip: Column) -> Column:
     """An IPv4 address as a number; null for other strings."""
-    p = F.split(ip, r"\.")
-    value = reduce(lambda a, i: a * 256 + F.try_element_at(p, F.lit(i)).try_cast("long"), (1, 2, 3, 4), F.lit(0).cast("long"))
+    value = let(F.split(ip, r"\."), lambda p: reduce(lambda a, i: a * 256 + F.try_element_at(p, F.lit(i)).try_cast("long"), (1, 2, 3, 4), F.lit(0).cast("long")))
     return F.when(ip.rlike(IP4), value)
 
 
@@ -105,9 +104,9 @@ def ip6_digits(ip: Column) -> Column:
 
     low = F.lower(ip)
     left, right = groups(F.substring_index(low, "::", 1)), groups(F.when(low.contains("::"), F.substring_index(low, "::", -1)).otherwise(F.lit("")))
-    fill = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
-    whole = F.array_join(F.transform(F.concat(left, fill, right), lambda x: F.lpad(x, 4, "0")), "")
-    return F.when(ip.rlike(IP6) & (F.length(whole) == 32), whole)
+    fill = lambda both: F.array_repeat(F.lit("0"), F.lit(8) - F.size(both["l"]) - F.size(both["r"]))
+    whole = let(F.struct(left.alias("l"), right.alias("r")), lambda both: F.array_join(F.transform(F.concat(both["l"], fill(both), both["r"]), lambda x: F.lpad(x, 4, "0")), ""))
+    return F.when(ip.rlike(IP6), let(whole, lambda w: F.when(F.length(w) == 32, w)))
 
 
 def ip6_prefix(digits: Column, bits: Column) -> Column:
@@ -134,23 +133,35 @@ def first_range6(digits: Column, ranges: list[tuple[str, str]], otherwise: Colum
 def enriched(ip: Column) -> Column:
     """What fixed tables say of an address: (operator, category, scope, registry, country_hint); scope is null for no address."""
     none = F.lit(None).cast("string")
-    n, d = ip4_number(ip), ip6_digits(ip)
     named = [(c, f"{name}|{scope}") for c, name, scope in fixed.SPECIAL_RANGES]
-    special = F.coalesce(first_range(n, [x for x in named if ":" not in x[0]], none), first_range6(d, [x for x in named if ":" in x[0]], none))
-    known = F.coalesce(first_range(n, [(c, f"{o}|{k}") for c, o, k in fixed.KNOWN_NETWORKS], none), first_range6(d, [(c, f"{o}|{k}") for c, o, k in fixed.KNOWN_NETWORKS_V6], none))
-    octet = F.floor(n / (1 << 24))
-    registry = F
-    for name, spans in fixed.REGISTRIES.items():
-        registry = registry.when(reduce(lambda a, b: a | b, [octet.between(*s) for s in spans]), F.lit(name))
-    for name, heads in fixed.REGISTRIES_V6.items():
-        registry = registry.when(F.substring(d, 1, 4).isin(*heads), F.lit(name))
+    listed = [(c, f"{o}|{k}") for c, o, k in (*fixed.KNOWN_NETWORKS, *fixed.KNOWN_NETWORKS_V6)]
+    four, six = (lambda rows: [x for x in rows if ":" not in x[0]]), (lambda rows: [x for x in rows if ":" in x[0]])
     first, second = (lambda x: F.substring_index(x, "|", 1)), (lambda x: F.substring_index(x, "|", -1))
-    valid = n.isNotNull() | d.isNotNull()
-    operator = F.coalesce(first(special), first(known))
-    return F.struct(
-        operator.alias("operator"), F.coalesce(second(special), second(known)).alias("category"), F.when(valid, F.coalesce(second(special), F.lit("public"))).alias("scope"),
-        F.when(special.isNull(), registry.otherwise(none)).alias("registry"), F.when(special.isNull(), by_map(operator, fixed.COUNTRY_HINTS)).alias("country_hint"),
-    )
+
+    def by_range(n: Column, d: Column, ranges: list[tuple[str, str]]) -> Column:
+        return F.when(n.isNotNull(), first_range(n, four(ranges), none)).otherwise(first_range6(d, six(ranges), none))
+
+    def registry(n: Column, d: Column) -> Column:
+        out = F
+        for name, spans in fixed.REGISTRIES.items():
+            out = out.when(reduce(lambda a, b: a | b, [F.floor(n / (1 << 24)).between(*s) for s in spans]), F.lit(name))
+        for name, heads in fixed.REGISTRIES_V6.items():
+            out = out.when(F.substring(d, 1, 4).isin(*heads), F.lit(name))
+        return out.otherwise(none)
+
+    def told(a: Column) -> Column:
+        n, d = a["n"], a["d"]
+        of = let(by_range(n, d, named), lambda x: F.struct(x.alias("special"), F.when(x.isNull(), by_range(n, d, listed)).alias("known"), F.when(x.isNull(), registry(n, d)).alias("registry"), (n.isNotNull() | d.isNotNull()).alias("valid")))
+        return let(of, shown)
+
+    def shown(x: Column) -> Column:
+        special, known = x["special"], x["known"]
+        return F.struct(
+            first(F.coalesce(special, known)).alias("operator"), second(F.coalesce(special, known)).alias("category"), F.when(x["valid"], F.coalesce(second(special), F.lit("public"))).alias("scope"),
+            x["registry"].alias("registry"), by_map(first(known), fixed.COUNTRY_HINTS).alias("country_hint"),
+        )
+
+    return let(F.struct(ip4_number(ip).alias("n"), ip6_digits(ip).alias("d")), told)
 
 
 def is_private(ip: Column) -> Column:
