@@ -90,3 +90,12 @@ def test_lines_by_salted_hosts(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").unionByName(spark.createDataFrame([(None, None, "<p>x</p>"), (1, "http://a.example/", None)], "page_id long, url string, html string"))
     small, large = (line_dedup.drop_site_lines(pages, broadcast_bytes=b).collect() for b in (1 << 30, 0))
     assert sorted(map(str, small)) == sorted(map(str, large)) and len(small) == pages.count()
+
+
+def test_lines_are_dealt_once(spark):
+    """The hosts' page counts go to the lines where they are few, whatever is done first; else both are dealt by host."""
+    pages = spark.createDataFrame([(h, [f"line{i % 5}", "menu"]) for h in ("a", "b") for i in range(4)], "host string, lines array<string>")
+    few, many = (line_dedup.boilerplate(pages, 0.3, 3, 2, b) for b in (1 << 30, 0))
+    shown = [x._jdf.queryExecution().executedPlan().toString() for x in (few, many)]
+    assert "BroadcastHashJoin" in shown[0] and "SortMergeJoin" not in shown[0]
+    assert sorted(few.collect()) == sorted(many.collect()) and {r.host: r.common for r in few.collect()} == {"a": ["menu"], "b": ["menu"]}

@@ -40,6 +40,16 @@ def lines_of(html: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
+def boilerplate(pages: DataFrame, ratio: float, min_pages: int, least: int, broadcast_bytes: int) -> DataFrame:
+    """(host, lines) of pages -> (host, common): each host's lines that go.  Where the hosts' page counts are small they go to the
+    lines, which are then dealt once, by host and line; which join is taken isn't left to what happens to be done first."""
+    total = materialise(pages.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages), "sites")
+    held = pages.where("host IS NOT NULL").select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    size = total.agg(F.sum(F.octet_length("host") + 16)).first()[0] or 0
+    rows = held.join(F.broadcast(total) if size <= broadcast_bytes else total, "host").where((F.col("n") > ratio * F.col("pages")) & (F.col("n") >= least))
+    return rows.groupBy("host").agg(F.collect_list("line").alias("common"))
+
+
 def drop_site_lines(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.3, min_pages: int = 3, least: int = 2, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """One row per input row: id, host, n_lines, n_dropped and text, the lines that stay.
 
@@ -49,9 +59,7 @@ def drop_site_lines(df: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     pages = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(html_col)).alias("lines"))
     pages = materialise(pages, "lines")
-    total = pages.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    held = pages.where("host IS NOT NULL").select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    common = held.join(total, "host").where((F.col("n") > ratio * F.col("pages")) & (F.col("n") >= least)).groupBy("host").agg(F.collect_list("line").alias("common"))
+    common = boilerplate(pages, ratio, min_pages, least, broadcast_bytes)
     common = materialise(common, "boilerplate")
     size = common.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("common", "\n")) + 16 * F.size("common"))).first()[0] or 0
     if size <= broadcast_bytes:
