@@ -30,17 +30,26 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 4
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """SimHash of a text's shingles: bit set where over half of the shingles' XXH64 have it. No words, or null: 0."""
+def shingle_hashes(text: bytes | None, shingle: int = 4) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, repeats included; under so many words the whole sequence is one; none without words."""
     words = text.lower().split() if text else []  # of bytes: lowers A-Z only, splits at \x20 and \x09-\x0D only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, n = b" ".join(words), len(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     k = min(shingle, n)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[: n - k + 1].tolist(), (ends[k - 1 :] - 1).tolist())], np.uint64)
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(starts[: n - k + 1].tolist(), (ends[k - 1 :] - 1).tolist())], np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """SimHash of a text's shingles: bit set where over half of the shingles' XXH64 have it. No words, or null: 0."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)

@@ -74,8 +74,7 @@ def encode_documents(texts: pa.Array, name: str, cache_words: int = 500_000) ->
     start = np.cumsum(length) - length
     index = coded.indices.to_numpy(zero_copy_only=False)
     if len(known) > cache_words:  # two generations: words that don't come again leave with the older one
-        _older[name] = dict(known)
-        known.clear()
+        _older[name], _known[name] = known, {}
     size = length[index]
     upto = np.cumsum(size)
     ids = flat[np.repeat(start[index] - (upto - size), size) + np.arange(int(size.sum()))]
